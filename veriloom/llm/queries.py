@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriloom.llm import bpe, records, spans
+from veriloom.llm import bpe, lookalike, records, spans
 from veriloom.sources.tables import table
 
 
@@ -25,10 +25,25 @@ def p1_shared(spark: SparkSession, d: str) -> DataFrame:
     return _spans(spark, d)
 
 
+def _forms(spark: SparkSession, d: str) -> DataFrame:
+    texts = records.passage_texts(spark, d).unionByName(records.quote_texts(spark, d)).unionByName(records.route_texts(spark, d))
+    return lookalike.canonical(texts)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of passages, quotes and route paragraphs that look the same but differ."""
+    return lookalike.equal_looking_pairs(_forms(spark, d))
+
+
+def p2_forms(spark: SparkSession, d: str) -> DataFrame:
+    """The one form of every passage, quote and route paragraph."""
+    return _forms(spark, d).select("rec", "canonical")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     """The token ids of every document."""
     return bpe.encoded(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_shared, p8_ids)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_shared, p2_found, p2_forms, p8_ids)}
 SQL: dict[str, str] = {}

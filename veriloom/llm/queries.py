@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriloom.llm import bpe, lookalike, records, spans
+from veriloom.llm import bpe, consensus, langid, lookalike, records, spans
 from veriloom.sources.tables import table
 
 
@@ -40,10 +40,54 @@ def p2_forms(spark: SparkSession, d: str) -> DataFrame:
     return _forms(spark, d).select("rec", "canonical")
 
 
+def _adjudicated(spark: SparkSession, d: str) -> DataFrame:
+    a = table(spark, d, "adjudications")
+    return a.select(F.col("id").alias("item"), F.upper(F.btrim("initials")).alias("annotator"), consensus.verdict_of(F.col("verdict")).alias("label"), F.col("judged_at").alias("at"), F.col("adj_id").alias("row_id"))
+
+
+def _judged(spark: SparkSession, d: str) -> DataFrame:
+    """Judge runs and the merged rows as further annotators."""
+    runs = table(spark, d, "chains").select(F.col("claim_id").alias("item"), F.concat(F.lit("run:"), "chain").alias("annotator"), consensus.verdict_of(F.col("verdict")).alias("label"), F.col("written_at").alias("at"), F.col("record_id").alias("row_id"))
+    brief = table(spark, d, "brief_rows").select(F.col("id").alias("item"), F.lit("brief").alias("annotator"), consensus.verdict_of(F.col("faith")).alias("label"), F.lit(None).cast("timestamp").alias("at"), F.xxhash64("id", "faith").alias("row_id"))
+    return runs.unionByName(brief)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """The consensus verdict of each claim that at least three adjudicators judged."""
+    items, _ = consensus.fit(consensus.latest_labels(_adjudicated(spark, d)))
+    return items.where("n_labels >= 3").select(F.col("item").alias("claim_id"), F.col("label").alias("verdict"))
+
+
+def p4_consensus(spark: SparkSession, d: str) -> DataFrame:
+    """Consensus, confidence and agreement of every claim over adjudicators and judge runs."""
+    labels = consensus.latest_labels(_adjudicated(spark, d).unionByName(_judged(spark, d)))
+    return consensus.fit(labels)[0].withColumnRenamed("item", "claim_id").withColumnRenamed("label", "verdict")
+
+
+def p4_reliability(spark: SparkSession, d: str) -> DataFrame:
+    """The reliability and guesses of every adjudicator."""
+    return consensus.fit(consensus.latest_labels(_adjudicated(spark, d)))[1]
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     """The token ids of every document."""
     return bpe.encoded(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_shared, p2_found, p2_forms, p8_ids)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Languages with a full sentence in a document that its label does not name."""
+    return langid.unnamed_languages(table(spark, d, "documents"))
+
+
+def p10_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The language of every document with a confidence."""
+    return langid.document_languages(table(spark, d, "documents"))
+
+
+def p10_segments(spark: SparkSession, d: str) -> DataFrame:
+    """The language of every stretch of every document with a confidence."""
+    return langid.segments(table(spark, d, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_shared, p2_found, p2_forms, p4_found, p4_consensus, p4_reliability, p8_ids, p10_found, p10_documents, p10_segments)}
 SQL: dict[str, str] = {}

@@ -32,8 +32,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veriloom.llm.records import one_per_record
-
 SPAN, ANCHOR = 160, 64
 #: Different texts with one phrase beyond which its stretches are spread by window.
 HOT = 20_000
@@ -146,8 +144,11 @@ def _union_length(iv: Column) -> Column:
 def shared_spans(texts: DataFrame, span: int = SPAN, anchor: int = ANCHOR, hot: int = HOT) -> DataFrame:
     """For each record of ``texts`` (rec, ord, text): rec, n_chars, n_shared, n_copies."""
     a1, a2 = F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(7), "text").alias("t2")
-    recs = one_per_record(texts).select("rec", a1, a2, "text")
-    whole = recs.groupBy("t1", "t2").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("n_copies"))
+    keyed = texts.where("rec is not null and text is not null").select("rec", "ord", a1, a2, "text")
+    # Names meet digests only, so each text is shuffled once, by its digest; superseded texts fall out in the join.
+    recs = keyed.groupBy("rec").agg(F.max(F.struct("ord", "t1", "t2")).alias("x")).select("rec", "x.t1", "x.t2")
+    copies = recs.groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("n_copies"))
+    whole = keyed.groupBy("t1", "t2").agg(F.first("text").alias("text")).join(copies, ["t1", "t2"])
     long_ = whole.where(F.char_length("text") >= span).select("t1", "t2", "text")
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -188,4 +189,4 @@ def shared_spans(texts: DataFrame, span: int = SPAN, anchor: int = ANCHOR, hot:
     sized = whole.select("t1", "t2", "n_copies", F.char_length("text").alias("n_chars")).join(parts, ["t1", "t2"], "left")
     amount = F.when((F.col("n_copies") > 1) & (F.col("n_chars") >= span), F.col("n_chars")).otherwise(F.coalesce("part", F.lit(0)))
     per_text = sized.select("t1", "t2", "n_chars", "n_copies", amount.alias("n_shared"))
-    return recs.select("rec", "t1", "t2").join(per_text, ["t1", "t2"]).select("rec", "n_chars", "n_shared", "n_copies")
+    return recs.join(per_text, ["t1", "t2"]).select("rec", "n_chars", "n_shared", "n_copies")

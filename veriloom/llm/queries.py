@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriloom.llm import bpe, consensus, langid, lookalike, records, spans
+from veriloom.llm import bpe, consensus, langid, lookalike, records, scans, spans
 from veriloom.sources.tables import table
 
 
@@ -69,6 +69,25 @@ def p4_reliability(spark: SparkSession, d: str) -> DataFrame:
     return consensus.fit(consensus.latest_labels(_adjudicated(spark, d)))[1]
 
 
+def _scan_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """All texts with a flag for those that were scanned, and the scanned pages with their document."""
+    p = table(spark, d, "passages").select(F.concat(F.lit("p:"), "id").alias("rec"), F.col("passage_no").cast("long").alias("ord"), "text", (F.col("source_kind") == "report").alias("scanned"))
+    r = records.route_texts(spark, d).withColumn("scanned", F.lit(True))
+    pages = p.where("scanned").select("rec", "ord", scans.doc_of(F.col("rec")).alias("doc"), "text").unionByName(r.select("rec", "ord", F.lit(None).cast("string").alias("doc"), "text"))
+    return p.unionByName(r).select("text", F.coalesce("scanned", F.lit(False)).alias("scanned")), pages
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Noise lines, broken words and misrecognised words of every scanned page and paragraph."""
+    texts, pages = _scan_inputs(spark, d)
+    return scans.repairs(texts, pages).select("rec", "noise", "item").distinct()
+
+
+def p6_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """Every scanned page and route paragraph as a continuous paragraph."""
+    return scans.paragraphs(*_scan_inputs(spark, d))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     """The token ids of every document."""
     return bpe.encoded(table(spark, d, "documents"))
@@ -89,5 +108,5 @@ def p10_segments(spark: SparkSession, d: str) -> DataFrame:
     return langid.segments(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_shared, p2_found, p2_forms, p4_found, p4_consensus, p4_reliability, p8_ids, p10_found, p10_documents, p10_segments)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_shared, p2_found, p2_forms, p4_found, p4_consensus, p4_reliability, p6_found, p6_paragraphs, p8_ids, p10_found, p10_documents, p10_segments)}
 SQL: dict[str, str] = {}

@@ -30,16 +30,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veriloom.llm.lookalike import by_table
 from veriloom.llm.records import one_per_record
 from veriloom.sources.tables import checkpointed
 
 # Pairs that scanners confuse, right form and reading.
 CONFUSIONS = [
     ("o", "0"), ("l", "1"), ("i", "1"), ("i", "l"), ("l", "i"), ("s", "5"), ("b", "8"), ("b", "6"), ("g", "9"), ("z", "2"), ("e", "c"), ("c", "e"),
-    ("t", "f"), ("f", "t"), ("g", "q"), ("q", "g"), ("a", "@"), ("h", "b"), ("b", "h"), ("n", "u"), ("u", "n"), ("v", "y"), ("y", "v"), ("a", "o"), ("o", "a"), ("i", "j"), ("i", "!"), ("l", "!"), ("l", "|"), ("i", "|"), ("e", "o"), ("o", "e"), ("s", "$"), ("t", "r"),
-    ("m", "rn"), ("rn", "m"), ("n", "ri"), ("ri", "n"), ("u", "ii"), ("d", "cl"), ("cl", "d"), ("h", "li"), ("w", "vv"), ("m", "nn"), ("u", "li"), ("k", "lc"), ("fi", "fl"), ("n", "ii"), ("m", "ni"), ("m", "in"),
+    ("t", "f"), ("f", "t"), ("g", "q"), ("q", "g"), ("a", "@"), ("h", "b"), ("b", "h"), ("n", "u"), ("u", "n"), ("v", "y"), ("y", "v"), ("a", "o"), ("o", "a"),
+    ("i", "j"), ("i", "!"), ("l", "!"), ("l", "|"), ("i", "|"), ("e", "o"), ("o", "e"), ("s", "$"), ("t", "r"), ("r", "t"),
+    ("m", "rn"), ("rn", "m"), ("n", "ri"), ("ri", "n"), ("u", "ii"), ("ii", "u"), ("d", "cl"), ("cl", "d"), ("h", "li"), ("li", "h"), ("w", "vv"), ("vv", "w"),
+    ("m", "nn"), ("nn", "m"), ("m", "in"), ("in", "m"), ("m", "ni"), ("ni", "m"), ("k", "lc"), ("lc", "k"), ("fi", "fl"), ("fl", "fi"), ("u", "li"), ("n", "ii"),
 ]
-CHEAP, EDIT, REACH = 0.3, 1.0, 1.0
+#: The cost of a confusion pair and of any other edit, and the reach: up to three confusions, no free edit.
+CHEAP, EDIT, REACH = 0.3, 1.0, 0.9
 #: Times in unscanned text that make a word known; how much more frequent a repair must be; commonest words sent to tasks.
 KNOWN, RATIO, COMMON = 2, 3, 50_000
 HYPHENS = "-‐‑¬­"
@@ -54,17 +58,37 @@ NUMBERED = re.compile(r"^\W*(?:[0-9]{1,4}\s+)?[^\W\d][\w@]*\s+[0-9]{1,4}\s*:\s+\
 EDGE_NUMBER = re.compile(r"^\s*[0-9]{1,4}(?=[\s|])\W*|\W*(?<=[\s|])[0-9]{1,4}\s*$")
 
 
+_FOLDED = str.maketrans("0@o1!|ij5$869cqfbvu2r", "eaelllllsshhgegthynzt")
+
+
 def fold(word: str) -> str:
-    """A word with the letters that scanners confuse made one."""
-    for a, b in (("rn", "m"), ("ri", "n"), ("nn", "m"), ("ii", "u"), ("li", "h"), ("cl", "d"), ("vv", "w"), ("lc", "k")):
-        word = word.replace(a, b)
-    return word.translate(str.maketrans("0@o1!|ij5$869cqfbvu2", "eaelllllssbbgegthynz"))
+    """A word with the single letters that scanners confuse made one."""
+    return word.translate(_FOLDED)
 
 
-def delete_keys(word: str) -> set[str]:
-    """The folded word and each form of it with one letter deleted."""
+def delete_keys(word: str, read: bool) -> set[str]:
+    """The folded word and each form of it with one letter deleted.
+
+    Of a reading also the folded forms in which one run of letters is put right by a confusion pair
+    of more than one letter.
+    """
     f = fold(word)
-    return {f} | {f[:i] + f[i + 1 :] for i in range(len(f))}
+    keys = {f} | {f[:i] + f[i + 1 :] for i in range(len(f))}
+    if read:
+        for right, wrong in CONFUSIONS:
+            if len(right) != 1 or len(wrong) != 1:
+                i = word.find(wrong)
+                while i >= 0:
+                    keys.add(fold(word[:i] + right + word[i + len(wrong) :]))
+                    i = word.find(wrong, i + 1)
+    return keys
+
+
+def clean_page(text: str) -> str:
+    """A page's text in the one form of look-alike characters, lines and soft hyphens at line ends kept."""
+    if text.isascii():
+        return text
+    return "\n".join(line if line.isascii() else by_table(line) + ("\u00ad" if line.rstrip().endswith("\u00ad") and "\n" in text else "") for line in text.split("\n"))
 
 
 @lru_cache(maxsize=1)
@@ -113,6 +137,18 @@ def marked(line: str) -> bool:
     return bool(re.match(r"^\s*[0-9]{1,4}\s{2,}\S", line) or re.search(r"\s\|\s+[0-9]{1,4}\s*$", line))
 
 
+def nearly(a: str, b: str, region: int = 3) -> bool:
+    """Whether two keys are equal but for one region of a few letters, as a misreading leaves."""
+    n = min(len(a), len(b))
+    i = 0
+    while i < n and a[i] == b[i]:
+        i += 1
+    j = 0
+    while j < n - i and a[-1 - j] == b[-1 - j]:
+        j += 1
+    return max(len(a), len(b)) - i - j <= region
+
+
 def noise_lines(text: str, heads: set[str] | list[str]) -> list[bool]:
     """For each line of a text, whether it is no part of the paragraph."""
     out = []
@@ -125,7 +161,7 @@ def noise_lines(text: str, heads: set[str] | list[str]) -> list[bool]:
             key = head_key(line)
             hit = key is not None and (marked(line) or bool(NUMBERED.match(line)) or key in heads)
             if not hit and key is not None and len(key) >= 10:
-                hit = any(abs(len(h) - len(key)) <= 1 and h[:3] == key[:3] and sum(x != y for x, y in zip(h, key)) <= 2 for h in heads)
+                hit = any(nearly(key, h) for h in heads)
             out.append(hit)
     return out
 
@@ -168,7 +204,7 @@ def running_heads(scans: DataFrame) -> DataFrame:
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for doc, text in zip(b["doc"], b["text"]):
+            for doc, text in zip(b["doc"], map(clean_page, b["text"])):
                 keys: dict[str, bool] = {}
                 for line in text.split("\n"):
                     if (k := head_key(line)) is not None:
@@ -192,7 +228,7 @@ def page_parts(scans: DataFrame, heads: DataFrame, common: frozenset[str]) -> Da
         known = shared.value
         for batch in batches:
             rows: list[tuple] = []
-            for rec, text, hs in zip(batch["rec"], batch["text"], batch["heads"]):
+            for rec, text, hs in zip(batch["rec"], map(clean_page, batch["text"]), batch["heads"]):
                 noise = noise_lines(text, set(hs) if hs is not None else set())
                 rows.extend((rec, "line", i, None, None, None, None) for i, bad in enumerate(noise) if bad)
                 para, broken = joined_paragraph(text, noise)
@@ -209,15 +245,15 @@ def page_parts(scans: DataFrame, heads: DataFrame, common: frozenset[str]) -> Da
 
 def candidates(unknown: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Repairs of unknown words (w, n) from known ones (c, n): w, c, cost, n; by symmetric-delete join."""
-    def keyed(name: str):
+    def keyed(name: str, read: bool):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                rows = [(k, w, n) for w, n in zip(b[name], b["n"]) for k in delete_keys(w)]
+                rows = [(k, w, n) for w, n in zip(b[name], b["n"]) for k in delete_keys(w, read)]
                 yield pd.DataFrame(rows, columns=["key", name, "n"])
         return run
 
-    left = unknown.select("w", "n").mapInPandas(keyed("w"), "key string, w string, n long").select("key", "w", F.col("n").alias("nw"))
-    right = lexicon.select("c", "n").mapInPandas(keyed("c"), "key string, c string, n long")
+    left = unknown.select("w", "n").mapInPandas(keyed("w", True), "key string, w string, n long").select("key", "w", F.col("n").alias("nw"))
+    right = lexicon.select("c", "n").mapInPandas(keyed("c", False), "key string, c string, n long")
     met = left.join(right, "key").where(F.col("n") >= RATIO * F.col("nw")).select("w", "c", "n").distinct()
 
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -269,7 +305,7 @@ def repairs(texts: DataFrame, scans: DataFrame) -> DataFrame:
 
 
 def _case(read: str, item: str) -> str:
-    return item.upper() if read.isupper() and len(read) > 1 else item[:1].upper() + item[1:] if read[:1].isupper() or (read[:1] in "l1|!" and item[:1] == "i" and read[1:2].islower() and False) else item
+    return item.upper() if read.isupper() and len(read) > 1 else item[:1].upper() + item[1:] if read[:1].isupper() else item
 
 
 def paragraphs(texts: DataFrame, scans: DataFrame) -> DataFrame:
@@ -281,7 +317,7 @@ def paragraphs(texts: DataFrame, scans: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for text, fixes in zip(b["text"], b["fixes"]):
+            for text, fixes in zip(map(clean_page, b["text"]), b["fixes"]):
                 fixes = list(fixes) if fixes is not None else []
                 bad = {f["pos"] for f in fixes if f["noise"] == "line"}
                 para, broken = joined_paragraph(text, [i in bad for i in range(text.count("\n") + 1)])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriloom.llm import bpe, consensus, langid, lookalike, records, scans, spans
+from veriloom.llm import bpe, consensus, langid, lookalike, records, scans, spans, turns
 from veriloom.sources.tables import table
 
 
@@ -69,6 +69,22 @@ def p4_reliability(spark: SparkSession, d: str) -> DataFrame:
     return consensus.fit(consensus.latest_labels(_adjudicated(spark, d)))[1]
 
 
+def _fragments(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    people = table(spark, d, "speakers")
+    hearings = table(spark, d, "passages").where("source_kind = 'hearing'")
+    return turns.fragments(hearings, turns.roster_of(people)), people
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """The turns of every hearing with their people."""
+    return turns.turns(*_fragments(spark, d)).select("session_key", "first_t", "last_t", "person_id")
+
+
+def p5_turns(spark: SparkSession, d: str) -> DataFrame:
+    """The clean speech of every turn, fragment by fragment in order."""
+    return turns.turn_texts(*_fragments(spark, d))
+
+
 def _scan_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """All texts with a flag for those that were scanned, and the scanned pages with their document."""
     p = table(spark, d, "passages").select(F.concat(F.lit("p:"), "id").alias("rec"), F.col("passage_no").cast("long").alias("ord"), "text", (F.col("source_kind") == "report").alias("scanned"))
@@ -108,5 +124,5 @@ def p10_segments(spark: SparkSession, d: str) -> DataFrame:
     return langid.segments(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_shared, p2_found, p2_forms, p4_found, p4_consensus, p4_reliability, p6_found, p6_paragraphs, p8_ids, p10_found, p10_documents, p10_segments)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_shared, p2_found, p2_forms, p4_found, p4_consensus, p4_reliability, p5_found, p5_turns, p6_found, p6_paragraphs, p8_ids, p10_found, p10_documents, p10_segments)}
 SQL: dict[str, str] = {}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriloom.llm import bpe, consensus, langid, lookalike, records, scans, spans, turns
+from veriloom.llm import bpe, consensus, langid, lookalike, mixing, records, scans, spans, turns
 from veriloom.sources.tables import table
 
 
@@ -109,6 +109,16 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encoded(table(spark, d, "documents"))
 
 
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of every mix with their number of copies."""
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Each source's target share and actual share of every mix."""
+    return mixing.shares(p9_mix(spark, d), table(spark, d, "mix_targets"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Languages with a full sentence in a document that its label does not name."""
     return langid.unnamed_languages(table(spark, d, "documents"))
@@ -124,5 +134,5 @@ def p10_segments(spark: SparkSession, d: str) -> DataFrame:
     return langid.segments(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_shared, p2_found, p2_forms, p4_found, p4_consensus, p4_reliability, p5_found, p5_turns, p6_found, p6_paragraphs, p8_ids, p10_found, p10_documents, p10_segments)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_shared, p2_found, p2_forms, p4_found, p4_consensus, p4_reliability, p5_found, p5_turns, p6_found, p6_paragraphs, p8_ids, p9_mix, p9_shares, p10_found, p10_documents, p10_segments)}
 SQL: dict[str, str] = {}

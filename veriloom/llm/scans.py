@@ -46,9 +46,11 @@ CONFUSIONS = [
 CHEAP, EDIT, REACH = 0.3, 1.0, 0.9
 #: Times in unscanned text that make a word known; how much more frequent a repair must be; commonest words sent to tasks.
 KNOWN, RATIO, COMMON = 2, 3, 50_000
+#: The longest line that may be a page mark.
+MARK_MOST = 40
 HYPHENS = "-‐‑¬­"
 IGNORABLE = "­​‌‍⁠﻿"
-WORD_SQL = r"[\p{L}\p{N}@!|$]*\p{L}[\p{L}\p{N}@!|$]*(?:[-'’][\p{L}\p{N}@!|$]+)*"
+NO_WORD = r"[^\p{L}\p{N}@!|$'’-]+"
 TOKEN = re.compile(r"[^\W_@!|$]*(?:[@!|$][^\W_]+|[^\W_])[^\W_]*(?:[-'’][^\W_@!|$]*(?:[@!|$][^\W_]+|[^\W_])[^\W_]*)*")
 _DECO = r"[\s\[\](){}<>|–—\-~*]*"
 ROMAN = r"(?=[ivxlcdm])m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})"
@@ -123,6 +125,9 @@ def distance(read: str, right: str, limit: float = REACH) -> float:
 
 def head_key(line: str) -> str | None:
     """The key of a line that may be a running head: its letters folded, numbers at the ends left out."""
+    start = line.lstrip()[:1]
+    if start.islower() and start != "l":
+        return None
     bare = EDGE_NUMBER.sub("", line.strip()).strip(" \t|–—-[]")
     if not bare or bare[-1] in ".,;:?!" + HYPHENS or line.rstrip()[-1:] in HYPHENS or len(bare.split()) < 2 or not (bare[0].isupper() or bare[0].isdigit() or bare[0] == "l"):
         return None
@@ -155,7 +160,7 @@ def noise_lines(text: str, heads: set[str] | list[str]) -> list[bool]:
     for line in text.split("\n"):
         if not line.strip():
             out.append(False)
-        elif PAGE_MARK.match(line) or PAGE_WORD.match(line):
+        elif len(line) <= MARK_MOST and (PAGE_MARK.match(line) or PAGE_WORD.match(line)):
             out.append(True)
         else:
             key = head_key(line)
@@ -193,7 +198,8 @@ def _tokens_of(text: str) -> list[tuple[int, int, str]]:
 
 def pair_counts(texts: DataFrame) -> DataFrame:
     """Neighbouring words counted over all texts (text, scanned): w1, w2, n, clean."""
-    words = F.regexp_extract_all(F.lower(F.regexp_replace("text", f"[{IGNORABLE}]", "")), F.lit(f"({WORD_SQL})"), 1)
+    # Split rather than matched, which costs half; words of digits alone sort before letters and fall out.
+    words = F.filter(F.split(F.lower(F.translate("text", IGNORABLE, "")), NO_WORD), lambda w: w >= F.lit("a"))
     rows = texts.where("text is not null").select((~F.col("scanned")).cast("int").alias("c"), words.alias("w")).where("size(w) > 0")
     pairs = rows.select("c", F.explode(F.arrays_zip(F.col("w").alias("w1"), F.slice("w", 2, F.size("w")).alias("w2"))).alias("p"))
     return pairs.select("c", "p.w1", F.coalesce("p.w2", F.lit("")).alias("w2")).groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("clean"))

@@ -1,8 +1,8 @@
 """Visually identical text with different characters brought to one form (problem 2).
 
-1. A text is suspect if it holds a character of the tables below: ignorables, foreign white space,
-   full-width and half-width forms, ligatures, combining marks, look-alike letters. Other texts
-   only have their white space made single spaces.
+1. A text is suspect if it holds a character that may be an ignorable, foreign white space, a wide or
+   narrow form, a ligature, a combining mark or a look-alike letter, which is any but the plain Latin
+   ones. Other texts only have their white space made single spaces.
 2. The vocabulary is counted over all plain tokens of all texts, and cut to those whose key, the
    form in which look-alikes are one letter, is also the key of a suspect token.
 3. Suspect tokens and vocabulary are routed by key. Each shard holds a bounded number of words in a
@@ -54,6 +54,8 @@ SECOND = {"Ӏ": "l", "ӏ": "I", "І": "l", "Ι": "l"}
 # White space, as the inside of a character class; and ignorables besides category Cf.
 SPACES = "\t\n\x0b\x0c\r\x1c-\x20\x85\xa0  -     　"
 IGNORED = "͏ᅟᅠ឴឵ㅤﾠ"
+# Characters that are never suspect, as the inside of a character class; all others go to the tables.
+PLAIN = r"\x20-\x7e\t\n\r\u00a1-\u00ac\u00ae-\u0130\u0132-\u024f\u2012-\u2027\u2030-\u205e\u20a0-\u20bf"
 #: What the automaton allows: a look-alike is free, a second letter costs SECOND_COST, more than LIMIT is no match.
 SECOND_COST, LIMIT = 0.25, 0.5
 #: Words of one trie.
@@ -61,8 +63,8 @@ TRIE_WORDS = 20_000
 
 
 @cache
-def tables() -> tuple[dict[str, str], str]:
-    """The mapping of single characters, and the suspect characters as the inside of a character class.
+def tables() -> dict[str, str]:
+    """The mapping of single characters.
 
     Built by rule from the Unicode data: wide, narrow and no-break forms, Latin ligatures, canonical
     singletons, format characters and controls, beside the fixed look-alikes.
@@ -82,18 +84,12 @@ def tables() -> tuple[dict[str, str], str]:
                 to[c] = unicodedata.normalize("NFKC", c)
             elif tag[0] != "<" and len(d.split()) == 1:
                 to[c] = unicodedata.normalize("NFC", c)
-    spans, hot = [], sorted({ord(c) for c in to} | {ord(c) for c in "\x85\xa0   　  "} | set(range(0x2000, 0x200B)) | set(range(0x300, 0x370)))
-    for n in hot:
-        if spans and n == spans[-1][1] + 1:
-            spans[-1][1] = n
-        else:
-            spans.append([n, n])
-    return to, "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in spans)
+    return to
 
 
 def by_table(token: str) -> str:
     """A token with each character replaced by the tables, composed anew."""
-    to, _ = tables()
+    to = tables()
     return unicodedata.normalize("NFC", "".join(to.get(c, c) for c in unicodedata.normalize("NFD", "".join(to.get(c, c) for c in token))))
 
 
@@ -104,7 +100,7 @@ def key_of(token: str) -> str:
 
 def units(token: str) -> list[list[tuple[str, float]]]:
     """The spellings, with costs, of each visible unit of a token; ignorables leave none."""
-    to, _ = tables()
+    to = tables()
     out: list[list[tuple[str, float]]] = []
     composed = unicodedata.normalize("NFC", "".join(c for c in token if to.get(c, c)))
     for c in composed:
@@ -152,8 +148,7 @@ def tokens(text: Column) -> Column:
 
 def canonical(texts: DataFrame) -> DataFrame:
     """For each record of ``texts`` (rec, ord, text): rec, text, canonical."""
-    _, hot = tables()
-    suspect = f"[{hot}]"
+    suspect = f"[^{PLAIN}]"
     recs = one_per_record(texts).withColumn("suspect", F.col("text").rlike(suspect))
     words = recs.select(F.explode(tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).withColumn("suspect", F.col("token").rlike(suspect))
 

@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veriloom.llm.records import one_per_record
+from veriloom.sources.tables import checkpointed
 
 # Letters of other scripts that look like a Latin letter in common typefaces.
 LOOKALIKES = {
@@ -141,23 +142,39 @@ class Trie:
         return min(ends)[2] if ends else None
 
 
+def is_suspect(text: Column) -> Column:
+    """Whether a text holds a suspect character. Texts of single bytes are told by their length; of
+    others only what is left without their ASCII runs meets the character class."""
+    rest = F.regexp_replace(text, r"[\x20-\x7e\n]++", "")
+    return F.when(F.octet_length(text) == F.char_length(text), text.rlike(r"[\x00-\x08\x0e-\x1b\x7f]")).otherwise(rest.rlike(f"[^{PLAIN}]"))
+
+
 def tokens(text: Column) -> Column:
-    """The tokens of a text between white space."""
-    return F.filter(F.split(text, f"[{SPACES}]+"), lambda x: x != "")
+    """The tokens of a text between white space; empty ones, at its ends, are left to the caller."""
+    return F.split(text, f"[{SPACES}]+")
 
 
-def canonical(texts: DataFrame) -> DataFrame:
-    """For each record of ``texts`` (rec, ord, text): rec, text, canonical."""
-    suspect = f"[^{PLAIN}]"
-    recs = one_per_record(texts).withColumn("suspect", F.col("text").rlike(suspect))
-    words = recs.select(F.explode(tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).withColumn("suspect", F.col("token").rlike(suspect))
+def squeezed(text: Column) -> Column:
+    """A text with white space of any kind as single spaces, none at its ends."""
+    return F.btrim(F.regexp_replace(text, f"[{SPACES}]+", " "))
+
+
+def digest(col: str) -> list[Column]:
+    """Two hashes, 128 bits in all, that stand for a text in joins."""
+    return [F.xxhash64(col), F.xxhash64(F.lit(7), col)]
+
+
+def spellings(texts: DataFrame) -> DataFrame:
+    """(token, spelling) of every suspect token of the texts; the vocabulary is counted over all of them."""
+    # Cut from its lineage, so that the filters below aren't pushed under the count and all tokens aren't counted twice.
+    words = checkpointed(texts.select(F.explode(tokens(F.col("text"))).alias("token")).where("token <> ''").groupBy("token").agg(F.count(F.lit(1)).alias("n")))
 
     def with_key(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield b.assign(key=[key_of(t) for t in b["token"]])
 
-    odd = words.where("suspect").select("token", "n").mapInPandas(with_key, "token string, n long, key string")
-    plain = words.where("not suspect").select("token", "n", F.replace("token", F.lit("I"), F.lit("l")).alias("key"))
+    odd = words.where(is_suspect(F.col("token"))).mapInPandas(with_key, "token string, n long, key string")
+    plain = words.where(~is_suspect(F.col("token"))).select("token", "n", F.replace("token", F.lit("I"), F.lit("l")).alias("key"))
     wanted = plain.join(odd.select("key").distinct(), "key", "left_semi").select("key", "token", "n", F.lit(False).alias("odd"))
     shards = wanted.unionByName(odd.select("key", "token", "n", F.lit(True).alias("odd"))).repartition("key").sortWithinPartitions("key", "odd")
 
@@ -181,24 +198,49 @@ def canonical(texts: DataFrame) -> DataFrame:
         if held:
             yield done()
 
-    spelt = shards.mapInPandas(spell, "token string, spelling string")
-    placed = recs.where("suspect").select("rec", F.posexplode(tokens(F.col("text"))).alias("pos", "token"))
-    rebuilt = (
-        placed.join(spelt, "token", "left")
-        .select("rec", "pos", F.coalesce("spelling", "token").alias("s"))
-        .where("s <> ''")
-        .groupBy("rec").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"]), " ").alias("rebuilt"))
-    )
-    squeezed = F.btrim(F.regexp_replace("text", f"[{SPACES}]+", " "))
-    usual = recs.where("not suspect").select("rec", "text", squeezed.alias("canonical"))
-    odd_texts = recs.where("suspect").join(rebuilt, "rec", "left").select("rec", "text", F.coalesce("rebuilt", F.lit("")).alias("canonical"))
-    return usual.unionByName(odd_texts)
-
-
-def equal_looking_pairs(forms: DataFrame) -> DataFrame:
+    return shards.mapInPandas(spell, "token string, spelling string")
+
+
+def rebuilt(texts: DataFrame) -> DataFrame:
+    """(t1, t2, canonical) of every different suspect text, by its digest."""
+    t1, t2 = digest("text")
+    odd = texts.where(is_suspect(F.col("text"))).select(t1.alias("t1"), t2.alias("t2"), "text").dropDuplicates(["t1", "t2"])
+    placed = odd.select("t1", "t2", F.posexplode(tokens(F.col("text"))).alias("pos", "token"))
+    spelt = placed.join(spellings(texts), "token", "left").select("t1", "t2", "pos", F.coalesce("spelling", "token").alias("s")).where("s <> '' or pos = 0")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"]), " ")
+    return spelt.groupBy("t1", "t2").agg(F.btrim(joined).alias("canonical"))
+
+
+def canonical(texts: DataFrame) -> DataFrame:
+    """For each record of ``texts`` (rec, ord, text): rec, text, canonical."""
+    recs = one_per_record(texts)
+    t1, t2 = digest("text")
+    usual = recs.where(~is_suspect(F.col("text"))).select("rec", "text", squeezed(F.col("text")).alias("canonical"))
+    odd = recs.where(is_suspect(F.col("text"))).withColumns({"t1": t1, "t2": t2})
+    return usual.unionByName(odd.join(rebuilt(texts.where("text is not null")), ["t1", "t2"], "left").select("rec", "text", F.coalesce("canonical", F.lit("")).alias("canonical")))
+
+
+def digests(texts: DataFrame) -> DataFrame:
+    """For each record of ``texts``: rec, the digest of its text (t1, t2) and that of its canonical form (c1, c2).
+
+    Plain texts are digested where they are read, so only suspect ones are ever shuffled.
+    """
+    known = texts.where("rec is not null and text is not null")
+    t1, t2 = digest("text")
+    plain = ~is_suspect(F.col("text"))
+    # Through a one-element array, so that the white space of a text is squeezed once and not for each hash.
+    flat = F.when(plain, F.transform(F.array(squeezed(F.col("text"))), lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(7), x).alias("b")))[0])
+    keyed = known.select("rec", "ord", t1.alias("t1"), t2.alias("t2"), flat.alias("c")).select("rec", "ord", "t1", "t2", F.col("c.a").alias("c1"), F.col("c.b").alias("c2"))
+    recs = keyed.groupBy("rec").agg(F.max(F.struct("ord", "t1", "t2", "c1", "c2")).alias("x")).select("rec", "x.t1", "x.t2", "x.c1", "x.c2")
+    odd = recs.where("c1 is null").select("rec", "t1", "t2").join(rebuilt(known), ["t1", "t2"], "left").withColumn("canonical", F.coalesce("canonical", F.lit("")))
+    c1, c2 = digest("canonical")
+    return recs.where("c1 is not null").unionByName(odd.select("rec", "t1", "t2", c1.alias("c1"), c2.alias("c2")))
+
+
+def equal_looking_pairs(texts: DataFrame) -> DataFrame:
     """Pairs (rec_a, rec_b) of records with one canonical form whose texts differ; rec_a < rec_b."""
-    keyed = forms.select("rec", F.xxhash64("canonical").alias("c1"), F.xxhash64(F.lit(7), "canonical").alias("c2"), F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(7), "text").alias("t2"))
-    mixed = keyed.groupBy("c1", "c2").agg(F.min("t1").alias("x"), F.max("t1").alias("y")).where("x <> y").select("c1", "c2")
+    keyed = digests(texts)
+    mixed = keyed.groupBy("c1", "c2").agg(F.min(F.struct("t1", "t2")).alias("x"), F.max(F.struct("t1", "t2")).alias("y")).where("x <> y").select("c1", "c2")
     rows = keyed.join(mixed, ["c1", "c2"], "left_semi")
     a = rows.select("c1", "c2", F.col("rec").alias("rec_a"), F.col("t1").alias("a1"), F.col("t2").alias("a2"))
     b = rows.select("c1", "c2", F.col("rec").alias("rec_b"), F.col("t1").alias("b1"), F.col("t2").alias("b2"))

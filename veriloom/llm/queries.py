@@ -25,19 +25,18 @@ def p1_shared(spark: SparkSession, d: str) -> DataFrame:
     return _spans(spark, d)
 
 
-def _forms(spark: SparkSession, d: str) -> DataFrame:
-    texts = records.passage_texts(spark, d).unionByName(records.quote_texts(spark, d)).unionByName(records.route_texts(spark, d))
-    return lookalike.canonical(texts)
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    return records.passage_texts(spark, d).unionByName(records.quote_texts(spark, d)).unionByName(records.route_texts(spark, d))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of passages, quotes and route paragraphs that look the same but differ."""
-    return lookalike.equal_looking_pairs(_forms(spark, d))
+    return lookalike.equal_looking_pairs(_texts(spark, d))
 
 
 def p2_forms(spark: SparkSession, d: str) -> DataFrame:
     """The one form of every passage, quote and route paragraph."""
-    return _forms(spark, d).select("rec", "canonical")
+    return lookalike.canonical(_texts(spark, d)).select("rec", "canonical")
 
 
 def _adjudicated(spark: SparkSession, d: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 1. Each fragment's tokens are tagged as speaker, timestamp, annotation, filler or speech by a hidden
    Markov model over token shapes, decoded by Viterbi. Its parameters are trained on all fragments
-   by Viterbi training: each pass decodes with the last parameters and counts anew, and only the
+   by Viterbi training: a pass decodes with the last parameters and counts anew, and only the
    counts, of fixed number, leave the tasks.
 2. The label that opens a text, else the speaker field, is matched with the roster. A surname of
    several people goes, within its session, to the one whose role is given or who is named outright.
@@ -27,23 +27,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from veriloom.sources.tables import checkpointed
+
 # Filler words and phrases, honorifics and names of the chair.
-FILLERS = "um uh er erm ah mm hmm mhm uhm eh".split()
+FILLERS = frozenset("um uh er erm ah mm hmm mhm uhm eh".split())
 PHRASES = {("you", "know"), ("i", "mean")}
-HONORIFICS = "mr mrs ms miss mx dr prof professor sir dame senator hon".split()
-CHAIR = "chair chairman chairwoman chairperson".split()
+HONORIFICS = frozenset("mr mrs ms miss mx dr prof professor sir dame senator hon".split())
+CHAIR = frozenset("chair chairman chairwoman chairperson".split())
 #: Places in one block, and people a roster may hold, since it is sent to all tasks.
 BLOCK, ROSTER_MOST = 1000, 100_000
-ROUNDS = 2
+ROUNDS = 1
 
 TIME = r"[<\[(]?(?:\d{1,3}:\d{2}(?::\d{2})?(?:[.,]\d{1,3})?|\d{1,4}m\d{1,2}s)[>\])]?(?:\s*-->)?"
-SPLIT = re.compile(rf"(?P<time>{TIME})|(?P<note>\[[^\[\]\n]{{1,80}}\]|<[^<>\n]{{1,80}}>|\*[^*\n]{{1,80}}\*|[♪♫]+)|(?P<paren>\([^()\n]{{1,80}}\))|(?P<word>[^\W_](?:[\w'’-]*[^\W_])?)|(?P<colon>:)|(?P<punct>[^\s\w])")
+SPLIT = re.compile(rf"(?P<word>[^\W\d_](?:[\w'’-]*[^\W_])?)|(?P<time>{TIME})|(?P<note>\[[^\[\]\n]{{1,80}}\]|<[^<>\n]{{1,80}}>|\*[^*\n]{{1,80}}\*|[♪♫]+)|(?P<paren>\([^()\n]{{1,80}}\))|(?P<number>[^\W_](?:[\w'’-]*[^\W_])?)|(?P<colon>:)|(?P<punct>[^\s\w])")
 STATES = ("NAME", "COLON", "TIME", "NOTE", "FILL", "SPEECH")
 OBS = ("time", "note", "paren", "filler", "phrase", "name", "initial", "word", "colon", "punct")
 S, O = len(STATES), len(OBS)  # noqa: E741
 _O = {o: i for i, o in enumerate(OBS)}
 
 
+WORD = _O["word"]
+SPECIAL = FILLERS | HONORIFICS | CHAIR | {"the"}
+AFTER_THE = re.compile(r"\s+chair", re.I)
+
+
 def first_model() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, transition, emission) counts that training starts from; a zero is never allowed."""
     start = np.array([2, 0, 2, 1, 1, 6], float)
@@ -58,22 +65,24 @@ def first_model() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def tokens(text: str, names: frozenset[str]) -> tuple[list[tuple[int, int]], list[int]]:
     """The places and the observed shapes of a text's tokens."""
-    at, obs, low = [], [], []
+    at, obs, prev = [], [], ""
+    special = names | SPECIAL
     for m in SPLIT.finditer(text):
-        kind, t = m.lastgroup, m[0]
-        w = t.lower()
+        kind, w = m.lastgroup, ""
         if kind == "word":
-            o = "filler" if w in FILLERS else "name" if w in names or w in HONORIFICS or w in CHAIR else "initial" if len(t) == 1 and t.isupper() else "word"
-            if w == "the" and re.match(r"\s+chair", text[m.end() : m.end() + 8], re.I):
-                o = "name"
-            if low and (low[-1], w) in PHRASES:
-                obs[-1] = _O["phrase"]
-                o = "phrase"
+            w = m[0].lower()
+            o = WORD
+            if w in special:
+                o = _O["filler"] if w in FILLERS else _O["name"] if w != "the" or AFTER_THE.match(text, m.end()) else WORD
+            elif len(w) == 1 and m[0].isupper():
+                o = _O["initial"]
+            if (prev, w) in PHRASES:
+                obs[-1] = o = _O["phrase"]
         else:
-            o = kind
-        at.append((m.start(), m.end()))
-        obs.append(_O[o])
-        low.append(w)
+            o = _O.get(kind, WORD)
+        at.append(m.span())
+        obs.append(o)
+        prev = w
     return at, obs
 
 
@@ -122,11 +131,16 @@ def trained(texts: DataFrame, names: frozenset[str], rounds: int = ROUNDS) -> tu
             start, move, emit = (np.zeros_like(m) for m in now)
             for b in batches:
                 seqs = [tokens(t, names)[1] for t in b["text"]]
-                for x, y in zip(seqs, decode(seqs, now)):
-                    if len(y):
-                        start[y[0]] += 1
-                        np.add.at(move, (y[:-1], y[1:]), 1)
-                        np.add.at(emit, (y, np.array(x)), 1)
+                paths = [(y, x) for y, x in zip(decode(seqs, now), seqs) if len(y)]
+                if paths:
+                    y = np.concatenate([p for p, _ in paths])
+                    last = np.cumsum([len(p) for p, _ in paths]) - 1
+                    first = np.r_[0, last[:-1] + 1]
+                    start += np.bincount(y[first], minlength=S)
+                    inner = np.ones(len(y), bool)
+                    inner[last] = False
+                    move += np.bincount(y[:-1][inner[:-1]] * S + y[1:][inner[:-1]], minlength=S * S).reshape(S, S)
+                    emit += np.bincount(y * O + np.concatenate([x for _, x in paths]), minlength=S * O).reshape(S, O)
             flat = np.concatenate([start, move.ravel(), emit.ravel()])
             yield pd.DataFrame({"i": np.arange(len(flat)), "n": flat})
 
@@ -251,7 +265,8 @@ def fragments(passages: DataFrame, roster: Roster) -> DataFrame:
 
 def _resolved(frags: DataFrame, speakers: DataFrame) -> DataFrame:
     """One person or none for each fragment with speech: session_key, t, person."""
-    one = frags.where("speech").groupBy("session_key", "t").agg(F.max_by(F.struct("people", "role"), "ord").alias("x")).select("session_key", "t", "x.people", "x.role")
+    # Small beside the texts, and read several times: cut here, so that fragments are tagged once.
+    one = checkpointed(frags.where("speech").groupBy("session_key", "t").agg(F.max_by(F.struct("people", "role"), "ord").alias("x")).select("session_key", "t", "x.people", "x.role"))
     sure = one.where("size(people) = 1").groupBy("session_key", F.col("people")[0].alias("person")).agg(F.count(F.lit(1)).alias("n"))
     roles = speakers.select(F.col("person_id").alias("person"), F.lower("role_name").alias("of")).distinct()
     several = one.where("size(people) > 1").select("session_key", "t", "role", F.explode("people").alias("person"))

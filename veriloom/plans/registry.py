@@ -6,19 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veriloom.plans import general
+from veriloom.plans import claims, general
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """The flagship query."""
-    return general.p7_found(spark, d)
+    return claims.flagship(spark, d)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query."""
-    return dict(general.QUERIES)
+    return general.QUERIES | claims.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
     """Name to SQL."""
-    return {}
+    return dict(claims.SQL)

@@ -23,7 +23,7 @@ def severity(judgement: Column) -> Column:
 
 def judgement_of(level: Column) -> Column:
     """The judgement at a severity."""
-    return F.element_at(F.array(*(F.lit(s) for s in SEVERITY)), level + 1)
+    return reduce(lambda acc, iv: F.when(level == iv[0], iv[1]).otherwise(acc), list(enumerate(SEVERITY)), F.lit(None).cast("string"))
 
 
 def leaf_judgement(route: str | Column, claim: str | Column, stability: str | Column, verdict: str | Column) -> Column:

@@ -205,10 +205,11 @@ def rebuilt(texts: DataFrame) -> DataFrame:
     """(t1, t2, canonical) of every different suspect text, by its digest."""
     t1, t2 = digest("text")
     odd = texts.where(is_suspect(F.col("text"))).select(t1.alias("t1"), t2.alias("t2"), "text").dropDuplicates(["t1", "t2"])
-    placed = odd.select("t1", "t2", F.posexplode(tokens(F.col("text"))).alias("pos", "token"))
-    spelt = placed.join(spellings(texts), "token", "left").select("t1", "t2", "pos", F.coalesce("spelling", "token").alias("s")).where("s <> '' or pos = 0")
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"]), " ")
-    return spelt.groupBy("t1", "t2").agg(F.btrim(joined).alias("canonical"))
+    # Only suspect tokens leave their text; it is put together again where it is, from a map of their places.
+    placed = odd.select("t1", "t2", F.posexplode(tokens(F.col("text"))).alias("pos", "token")).where(is_suspect(F.col("token")))
+    fixes = placed.join(spellings(texts), "token").groupBy("t1", "t2").agg(F.map_from_entries(F.collect_list(F.struct("pos", "spelling"))).alias("fix"))
+    put = F.transform(tokens(F.col("text")), lambda x, i: F.coalesce(F.try_element_at("fix", i), x))
+    return odd.join(fixes, ["t1", "t2"], "left").select("t1", "t2", F.array_join(F.filter(put, lambda x: x != ""), " ").alias("canonical"))
 
 
 def canonical(texts: DataFrame) -> DataFrame:

@@ -60,7 +60,8 @@ def label_code(label: Column) -> Column:
 def blanked(text: str) -> str:
     """The text with table rows, speaker labels, bracketed notes and endless repetitions blanked out, places unchanged."""
     for rx in (TABLE_ROW, SPEAKER, BRACKETED, REPEATED):
-        text = rx.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
+        # Of a row of full stops the first stays: it ends the sentence.
+        text = rx.sub(lambda m: ("." if m[0][0] == "." and rx is REPEATED else "") + re.sub(r"[^\n]", " ", m[0][m[0][0] == "." and rx is REPEATED :]), text)
     return text
 
 

@@ -53,3 +53,20 @@ def p7_quotes(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_changes, p3_unified, p7_found, p7_records, p7_quotes)}
+
+_P7 = """WITH c AS (SELECT line_id, raw::JSON AS j FROM chain_lines WHERE json_valid(raw) AND json_type(raw) = 'OBJECT'),
+pa AS (SELECT line_id, unnest(range(json_array_length(j, '$.passages')::BIGINT)) AS num, unnest(from_json(j->'$.passages', '["JSON"]')) AS x FROM c WHERE json_type(j, '$.passages') = 'ARRAY'),
+ps AS (SELECT line_id, string_split_regex(trim(j->>'$.passages'), '\\s*[,;]\\s*') AS l FROM c WHERE json_type(j, '$.passages') = 'VARCHAR'),
+passages AS (SELECT line_id, num, CASE json_type(x) WHEN 'VARCHAR' THEN x->>'$' WHEN 'OBJECT' THEN x->>'$.id' END AS ref FROM pa UNION ALL SELECT line_id, unnest(range(len(l))) AS num, unnest(l) AS ref FROM ps),
+qu AS (SELECT line_id, j->'$.detail.quote_passages' AS qp, unnest(range(json_array_length(j, '$.detail.quotes')::BIGINT)) AS num, unnest(from_json(j->'$.detail.quotes', '["JSON"]')) AS x FROM c WHERE json_type(j, '$.detail.quotes') = 'ARRAY'),
+quotes AS (SELECT line_id, num, CASE json_type(x) WHEN 'VARCHAR' THEN x->>'$' ELSE x->>'$.text' END AS body,
+ coalesce(CASE WHEN json_type(x) = 'OBJECT' AND json_type(x, '$.passage') = 'VARCHAR' THEN x->>'$.passage' WHEN json_type(x) = 'OBJECT' AND json_type(x, '$.cite.passage.id') = 'VARCHAR' THEN x->>'$.cite.passage.id' END, qp->>('$[' || num || ']'), '') AS ref FROM qu),
+k AS (SELECT line_id, raw::JSON AS j FROM calibration_lines WHERE json_valid(raw) AND json_type(raw) = 'OBJECT'),
+vc AS (SELECT line_id, j->'$.verdict_counts' AS v, 0 AS place FROM k WHERE json_exists(j, '$.verdict_counts') UNION ALL
+ SELECT line_id, p->'$.verdict_counts', 1 + n FROM (SELECT line_id, unnest(from_json(j->'$.result.passes', '["JSON"]')) AS p, unnest(range(json_array_length(j, '$.result.passes')::BIGINT)) AS n FROM k WHERE json_type(j, '$.result.passes') = 'ARRAY')),
+counts AS (SELECT line_id, key AS ref, CASE json_type(v, '$."' || key || '"') WHEN 'OBJECT' THEN v->>('$."' || key || '".n') ELSE v->>('$."' || key || '"') END AS n FROM (SELECT line_id, v, unnest(json_keys(v)) AS key FROM vc WHERE json_type(v) = 'OBJECT')
+ UNION ALL SELECT line_id, x->>'$.verdict', x->>'$.count' FROM (SELECT line_id, unnest(from_json(v, '["JSON"]')) AS x FROM vc WHERE json_type(v) = 'ARRAY'))
+SELECT DISTINCT 'chain_lines' AS src, line_id, 'passages' AS child, num::BIGINT AS num, ref AS ref_id FROM passages WHERE coalesce(ref, '') <> ''
+UNION ALL SELECT DISTINCT 'chain_lines', line_id, 'quotes', num::BIGINT, ref FROM quotes WHERE body IS NOT NULL
+UNION ALL SELECT DISTINCT 'calibration_lines', line_id, 'verdict_counts', n::BIGINT, ref FROM counts WHERE ref IS NOT NULL AND n IS NOT NULL"""
+SQL: dict[str, str] = {"p7_found": _P7}

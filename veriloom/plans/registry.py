@@ -21,4 +21,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """Name to SQL."""
-    return dict(claims.SQL)
+    return general.SQL | claims.SQL

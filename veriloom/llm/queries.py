@@ -134,4 +134,33 @@ def p10_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_shared, p2_found, p2_forms, p4_found, p4_consensus, p4_reliability, p5_found, p5_turns, p6_found, p6_paragraphs, p8_ids, p9_mix, p9_shares, p10_found, p10_documents, p10_segments)}
-SQL: dict[str, str] = {}
+
+
+# The records of problems 1 and 2 in SQL: one row per name, the last delivery.
+_Q = """SELECT 'q:' || record_id || '#' || pos AS rec, text, came FROM (SELECT record_id, written_at AS came, unnest(range(len(detail.quotes))) AS pos, unnest(detail.quotes) AS text FROM chains)"""
+_RECS = f"""p AS (SELECT 'p:' || id AS rec, text FROM passages WHERE text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY passage_no DESC) = 1),
+q AS (SELECT rec, text FROM ({_Q}) WHERE text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY rec ORDER BY came DESC, text DESC) = 1)"""
+_WINDOWS = f"""WITH {_RECS}, t AS (SELECT * FROM p UNION ALL SELECT * FROM q), w AS (SELECT rec, s, substr(text, s, 160) AS g FROM (SELECT rec, text, unnest(range(1, length(text) - 158)) AS s FROM t WHERE length(text) >= 160)),
+sh AS (SELECT g FROM w GROUP BY g HAVING count(DISTINCT rec) > 1)"""
+
+
+def _forms_sql() -> str:
+    """SQL for the canonical form, by the same tables, without the vocabulary."""
+    to = {a: b for a, b in lookalike.tables().items() if a != "\x00"}
+    one = {a: b for a, b in to.items() if len(b) == 1}
+    gone = "".join(a for a, b in to.items() if not b)
+    q = lambda s: "'" + s.replace("'", "''") + "'"
+    expr = f"translate(text, {q(''.join(one) + gone)}, {q(''.join(one.values()))})"
+    for a, b in to.items():
+        if len(b) > 1:
+            expr = f"replace({expr}, {q(a)}, {q(b)})"
+    return f"trim(regexp_replace(nfc_normalize({expr}), '[\\s\\x{{0b}}\\x{{1c}}-\\x{{1f}}\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+', ' ', 'g'), ' ')"
+
+
+SQL: dict[str, str] = {
+    "p1_found": f"{_WINDOWS} SELECT DISTINCT rec FROM w SEMI JOIN sh USING (g)",
+    "p1_shared": f"""{_WINDOWS}, c AS (SELECT rec, count(*) AS n FROM (SELECT DISTINCT rec, unnest(range(s, s + 160)) AS place FROM w SEMI JOIN sh USING (g)) GROUP BY rec), k AS (SELECT text, count(*) AS n_copies FROM t GROUP BY text)
+SELECT rec, length(text)::INTEGER AS n_chars, coalesce(c.n, 0)::INTEGER AS n_shared, n_copies FROM t LEFT JOIN c USING (rec) JOIN k USING (text)""",
+    "p2_found": f"""WITH {_RECS}, r AS (SELECT 'r:' || route_no AS rec, paragraph AS text FROM routes_input WHERE paragraph IS NOT NULL), f AS (SELECT rec, text, {_forms_sql()} AS form FROM (SELECT * FROM p UNION ALL SELECT * FROM q UNION ALL SELECT * FROM r))
+SELECT a.rec AS rec_a, b.rec AS rec_b FROM f a JOIN f b ON a.form = b.form AND a.rec < b.rec AND a.text <> b.text""",
+}

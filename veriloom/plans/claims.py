@@ -11,6 +11,7 @@ from pyspark.sql.window import Window as W
 from veriloom.functions import text as T
 from veriloom.operators import chains as C
 from veriloom.operators import grounding as G
+from veriloom.operators import grouping as O  # noqa: N812
 from veriloom.operators import retrieval as R
 from veriloom.operators import segmenting as S
 from veriloom.operators import trees as E
@@ -517,12 +518,13 @@ def lifted_anchors(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {R_}, x AS (SELECT DISTINCT chain, idx, unnest(passages) AS pid FROM R WHERE idx IS NOT NULL), n AS (SELECT chain, idx, count(*) AS n FROM x WHERE pid IS NOT NULL GROUP BY ALL), s AS (SELECT a.chain, a.idx AS idx_a, b.idx AS idx_b, count(*) AS shared FROM x a JOIN x b ON a.chain = b.chain AND a.pid = b.pid AND a.idx < b.idx GROUP BY ALL) SELECT s.chain, idx_a, idx_b, shared FROM s JOIN n na ON na.chain = s.chain AND na.idx = idx_a JOIN n nb ON nb.chain = s.chain AND nb.idx = idx_b WHERE 2 * shared >= least(na.n, nb.n)")
 def shared_at_least_half(spark: SparkSession, d: str) -> DataFrame:
     """Claims of one chain that share at least half of the smaller set of passages."""
-    x = records(spark, d).where("idx is not null").select("chain", "idx", F.explode("passages").alias("pid")).where("pid is not null").distinct()
-    n = x.groupBy("chain", "idx").agg(F.count(F.lit(1)).alias("n"))
-    a, b = x.withColumnRenamed("idx", "idx_a"), x.withColumnRenamed("idx", "idx_b")
-    s = a.join(b, ["chain", "pid"]).where("idx_a < idx_b").groupBy("chain", "idx_a", "idx_b").agg(F.count(F.lit(1)).alias("shared"))
-    sized = s.join(n.select("chain", F.col("idx").alias("idx_a"), F.col("n").alias("na")), ["chain", "idx_a"]).join(n.select("chain", F.col("idx").alias("idx_b"), F.col("n").alias("nb")), ["chain", "idx_b"])
-    return sized.where(2 * F.col("shared") >= F.least("na", "nb")).select("chain", "idx_a", "idx_b", "shared")
+    return O.overlaps(records(spark, d).select("chain", "idx", F.explode("passages").alias("pid")))
+
+
+@query()
+def claim_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The claims of each chain grouped by the passages that they share."""
+    return O.grouped(records(spark, d).select("chain", F.col("idx").cast("int").alias("idx"), F.explode_outer("passages").alias("pid")))
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veriloom.plans import claims, general
+from veriloom.plans import claims, general, more  # noqa: F401
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

@@ -65,7 +65,7 @@ def headers(spark: SparkSession, path: str) -> DataFrame:
 def views(spark: SparkSession, path: str) -> DataFrame:
     """people's views from files of six fields between pipes; any other number of fields, or a page that is no number, is an error."""
     rows = lines(spark, path).withColumn("line", trimmed(F.col("line"))).where("line <> '' and not startswith(line, '#')")
-    f = F.transform(F.split("line", r"\|"), F.btrim)
+    f = F.transform(F.split("line", r"\|"), lambda x: F.btrim(x))
     page = F.regexp_replace(f[3], "^p", "")
     where = F.concat(F.col("path"), F.lit(" line "), (F.col("no") + 1).cast("string"))
     checked = rows.select("path", "no", F.when(F.size(f) != 6, F.raise_error(F.concat(where, F.lit(": six fields are wanted")))).when((page != "") & ~page.rlike(r"^\d+$"), F.raise_error(F.concat(where, F.lit(": the page is no number")))).otherwise(f).alias("f"))
@@ -74,7 +74,7 @@ def views(spark: SparkSession, path: str) -> DataFrame:
 
 def references(spark: SparkSession, path: str) -> DataFrame:
     """(id, ref) of files between pipes: the first field and the value of the first field ``ref=``."""
-    f = F.transform(F.split("line", r"\|"), F.btrim)
+    f = F.transform(F.split("line", r"\|"), lambda x: F.btrim(x))
     ref = F.try_element_at(F.filter(f, lambda x: x.startswith("ref=")), F.lit(1))
     return lines(spark, path).where("trim(line) <> '' and not startswith(trim(line), '#')").select(f[0].alias("id"), F.btrim(F.regexp_replace(ref, "^ref=", "")).alias("ref")).where("ref is not null")
 

@@ -29,7 +29,8 @@ def located(quotes: DataFrame, passages: DataFrame, words: int = 5) -> DataFrame
 
     A quote inside a text brings its inner words with it: the first ``words`` of them that are
     complete meet the texts' runs of words by hash, and only pairs that met are compared. Quotes
-    with fewer complete words take their longest one instead.
+    with fewer complete words take their longest one instead, and those without any the word pairs
+    of the corpus that begin like them.
     """
     norm = quotes.select("key", "pos", T.norm_quote("quote").alias("q")).where("q <> ''")
     toks = F.split("q", " ")
@@ -44,11 +45,25 @@ def located(quotes: DataFrame, passages: DataFrame, words: int = 5) -> DataFrame
     short = keyed.where("run is null and one is not null")
     singles = body.select("pid", "body", F.explode(F.array_distinct(words_of)).alias("one")).join(short.select("one").distinct(), "one", "left_semi")
     met_short = singles.join(short, "one")
-    # Quotes of one or two words have no complete word inside; they are few and compared with all.
+    parts = [x.where(F.contains("body", "q")).select("key", "pos", "pid") for x in (met, met_short)]
     tiny = keyed.where("run is null and one is null").select("key", "pos", "q")
-    met_tiny = body.join(tiny, F.contains("body", "q"))
-    parts = [x.where(F.contains("body", "q")).select("key", "pos", "pid") for x in (met, met_short, met_tiny)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).distinct()
+    if not tiny.isEmpty():  # quotes of one or two words have no complete word inside
+        parts.append(_located_tiny(tiny, body))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.distinct()
+
+
+def _located_tiny(tiny: DataFrame, body: DataFrame) -> DataFrame:
+    """Quotes of one or two words in all texts: their first letters meet the distinct word pairs of the corpus, and these their texts."""
+    words = F.split("body", " ")
+    pairs = body.select("pid", F.explode(F.array_distinct(F.when(F.size(words) == 1, words).otherwise(T.shingles(words, 2)))).alias("unit"))
+    starts = tiny.withColumn("gram", F.substring("q", 1, 3))
+    grams = F.flatten(F.transform(F.array(*(F.lit(n) for n in (1, 2, 3))), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length("unit") - n + 1, F.lit(1))), lambda i: F.substring(F.col("unit"), i, n))))
+    units = pairs.select("unit").distinct().select("unit", F.explode(F.array_distinct(grams)).alias("gram"))
+    held = units.join(starts, "gram").where(F.contains("unit", "q")).select("unit", "key", "pos").distinct()
+    return pairs.join(held, "unit").select("key", "pos", "pid")
 
 
 def in_order(ids: DataFrame, passages: DataFrame) -> DataFrame:

@@ -143,7 +143,8 @@ def _cosine(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {COS_}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pid) AS rk FROM cs) SELECT qid, pid, score, rk FROM r WHERE rk <= 10")
 def cosine_top10(spark: SparkSession, d: str) -> DataFrame:
     """The ten nearest vectors of each vector of the query set."""
-    return R.ranked(_cosine(spark, d), keep_zero=True).where("rk <= 10")
+    e = table(spark, d, "embeddings")
+    return R.nearest(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vec")), e.select(F.col("vec_id").alias("pid"), F.col("embedding").alias("vec")), 10)
 
 
 @query(f"WITH {COS_}, b AS (SELECT qid, max(score) AS best FROM cs GROUP BY qid) SELECT qid, pid, score FROM cs WHERE score >= 0.25 AND qid IN (SELECT qid FROM b WHERE best >= 0.4)")

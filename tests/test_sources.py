@@ -8,6 +8,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from veriloom import judge as J
+from veriloom.functions import verdicts as V
+from veriloom.operators import chains as CH
 from veriloom.operators import edges as E
 from veriloom.operators import grouping as O
 from veriloom.operators import parsing as X
@@ -195,3 +197,53 @@ def test_stream_resumes(spark, tmp_path):
     assert sorted(r["record_id"] for r in spark.read.parquet(str(out)).collect()) == [1, 2, 3]
     tallied = spark.read.parquet(str(out)).groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
     assert {r[:] for r in tallied.collect()} == {("absent", 1), ("partial", 2)}
+
+
+def one(spark, expr, schema, *values):
+    return spark.createDataFrame([values], schema).select(expr.alias("r")).first()["r"]
+
+
+@pytest.mark.parametrize("v,h,cited,got,want", [
+    ("supported", "past", ["http://a.org/x/"], ["https://A.org/x?q"], ("supported", None, "", 1)),
+    ("supported", "future", ["http://a.org/x"], ["http://a.org/x"], ("unverifiable", "supported", "forecast — projections are not evidence", 0)),
+    ("supported", "past", [], ["http://a.org"], ("unverifiable", "supported", "no URLs cited in response", 0)),
+    ("refuted", None, ["http://b.org"], None, ("unverifiable", "refuted", "no sources retrieved; verdict is model self-report", 0)),
+    ("mixed", "past", ["http://b.org"], ["http://a.org"], ("unverifiable", "mixed", "claimed sources not present in retrieval", 0)),
+    ("error", "future", None, None, ("error", None, "", 0)),
+])
+def test_cross_checked(spark, v, h, cited, got, want):
+    r = one(spark, V.cross_checked("v", "h", "c", "g"), "v string, h string, c array<string>, g array<string>", v, h, cited, got)
+    assert (r["verdict"], r["original"], r["reason"], r["matched"]) == want
+
+
+@pytest.mark.parametrize("t,want", [("According to Ada Lorne it fell", "Lorne"), ("Ben de Marr said so", ""), ("As Cy Van Marr told us", "Marr"), ("Nobody said", "")])
+def test_named_witness(spark, t, want):
+    assert one(spark, V.named_witness("t"), "t string", t) == want
+
+
+def test_verdict_wording(spark):
+    s = "v string, r string, s string, c string"
+    assert one(spark, V.stakes("v", "r", "s"), s, "partial", "A", "B", "C") == "The report says A. The source only says B."
+    assert one(spark, V.stakes("v", "r", "s"), s, "partial", "A", " ", "C") == "" and one(spark, V.stakes("v", "r", "s"), s, "absent", "A", None, "C").endswith("No held source says this.")
+    assert one(spark, V.intended("v", "c", "s"), s, "overstated", "A", "B", "C") == "B" and one(spark, V.intended("v", "c", "s"), s, "faithful", "A", "B", "C") == "C"
+    assert one(spark, V.hit_rate(F.lit(3), F.lit(1)), s, "", "", "", "") == 0.75 and one(spark, V.hit_rate(F.lit(0), F.lit(0)), s, "", "", "", "") == 0
+    assert one(spark, V.cited_bases("v"), s, "paper:x, report-1.txt a.txt", "", "", "") == ["papers/x", "a"]
+
+
+def test_joins_with_fallback(spark):
+    rows = spark.createDataFrame([(0, "A ", "x"), (1, "B", "y")], "idx int, claim string, v string")
+    other = spark.createDataFrame([(0, "A", "s0"), (1, "other", "s1")], "idx int, claim string, sub string")
+    assert {r["idx"]: r["sub"] for r in CH.overlaid(rows, other, ["sub"]).collect()} == {0: "s0", 1: None}
+    claims = spark.createDataFrame([("F1",), ("M2",), ("3",)], "id string")
+    reports = spark.createDataFrame([("r0", 0, ["F"]), ("r1", 1, []), ("r2", 2, ["F", "G"])], "report string, ord int, prefixes array<string>")
+    assert {r["id"]: r["report"] for r in CH.routed(claims, reports).collect()} == {"F1": "r0", "M2": "r1", "3": "r1"}
+    assert {r["idx"]: r["v"] for r in CH.capped(rows, 1, "idx", "v").collect()} == {0: "x", 1: "skipped (over cap)"}
+    leaves = spark.createDataFrame([("F1",), ("F9",), ("x",)], "node string")
+    assert [r["node"] for r in CH.unmatched_leaves(leaves, claims).collect()] == ["F9"]
+
+
+def test_footnotes(spark):
+    text = "Prose here.12 More:3 and 40% of 2004.\n\n12\n\nJones, Report, 2019,\np. 4.\n\n7\n\nnot a note\n\n3\nIbid.\n"
+    df = spark.createDataFrame([("d", text)], "k string, t string")
+    assert [(r["number"], r["note"]) for r in X.footnotes(df, "k", "t").orderBy("no").collect()] == [(12, "Jones, Report, 2019, p. 4."), (3, "Ibid.")]
+    assert df.select(X.note_marks("t")).first()[0] == [12, 3]

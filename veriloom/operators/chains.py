@@ -91,3 +91,40 @@ def as_of(left: DataFrame, right: DataFrame, key: str, at: str, value: str) -> D
     both = left.select(key, at, *cols, F.lit(None).cast(right.schema[value].dataType).alias(value), F.lit(1).alias("side")).unionByName(right.select(key, at, *(F.lit(None).cast(left.schema[c].dataType).alias(c) for c in cols), value, F.lit(0).alias("side")))
     carried = F.last(value, ignorenulls=True).over(W.partitionBy(key).orderBy(at, "side", value).rowsBetween(W.unboundedPreceding, 0))
     return both.withColumn(value, carried).where("side = 1").drop("side")
+
+
+def overlaid(rows: DataFrame, other: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows with columns of another chain's record of the same idx, where both mean the same claim; null elsewhere."""
+    side = other.select("idx", F.btrim("claim").alias("other_claim"), *columns)
+    joined = rows.drop(*columns).join(side, "idx", "left")
+    same = F.btrim("claim") == F.col("other_claim")
+    return joined.select(*[c for c in joined.columns if c not in (*columns, "other_claim")], *(F.when(same, F.col(c)).alias(c) for c in columns))
+
+
+def compared(rows: DataFrame, key: str, cell: str, value: str, cells: list[str]) -> DataFrame:
+    """One row per key with its value in each of the named cells; null where it has none."""
+    return rows.groupBy(key).agg(*(F.max(F.when(F.col(cell) == c, F.col(value))).alias(c) for c in cells))
+
+
+def routed(claims: DataFrame, reports: DataFrame) -> DataFrame:
+    """C17: claims (id, ...) with the report that lists their prefix, else the last report that lists none, else null.
+
+    reports (report, ord, prefixes); a prefix of several reports goes to the first.
+    """
+    by_prefix = reports.select("report", "ord", F.explode("prefixes").alias("prefix")).groupBy("prefix").agg(F.min_by("report", "ord").alias("listed"))
+    rest = reports.where("prefixes is null or size(prefixes) = 0").agg(F.max_by("report", "ord").alias("fallback"))
+    return claims.withColumn("prefix", T.id_prefix("id")).join(by_prefix, "prefix", "left").join(F.broadcast(rest)).withColumn("report", F.coalesce("listed", "fallback")).drop("prefix", "listed", "fallback")
+
+
+def unmatched_leaves(leaves: DataFrame, rows: DataFrame, mark: str = "F") -> DataFrame:
+    """C14: leaves of a tree whose id begins with the mark but has no row: each is an error of the tree."""
+    return leaves.where(F.col("node").startswith(mark)).join(rows.select(F.col("id").alias("node")), "node", "left_anti")
+
+
+def capped(rows: DataFrame, most: int, order: str, verdict: str = "verdict") -> DataFrame:
+    """Rows with the verdict of those beyond the first ``most`` marked as skipped.
+
+    The cut is found by a count per place, so no row is dropped and none has to be in one task.
+    """
+    places = rows.groupBy(order).agg(F.count(F.lit(1)).alias("n")).orderBy(order).limit(most)
+    return rows.join(places.select(order, F.lit(True).alias("within")), order, "left").withColumn(verdict, F.when(F.col("within"), F.col(verdict)).otherwise("skipped (over cap)")).drop("within")

@@ -90,3 +90,22 @@ def nearest_note(marks: DataFrame, notes: DataFrame, slack: int = 3) -> DataFram
     near = F.col("note_line") >= F.col("line") - slack
     rank = W.partitionBy("doc", "number", "line").orderBy(F.when(near, 0).otherwise(1), F.when(near, F.col("note_line")).otherwise(-F.col("note_line")))
     return marks.join(notes, ["doc", "number"]).withColumn("k", F.row_number().over(rank)).where("k = 1").drop("k")
+
+
+def footnotes(docs: DataFrame, key: str, text: str, highest: int = 250) -> DataFrame:
+    """(key, line, number, note): a line of a number alone, followed, blank lines apart, by lines of a citation up to the next blank one.
+
+    A citation has a year, an address, or a word that sources are cited with. Done within each text by
+    a pattern, so no line leaves its document.
+    """
+    block = r"(?m)(?:^|\n)[ \t]*(\d{1,3})[ \t]*\n(?:[ \t]*\n)*((?:[ \t]*\S[^\n]*(?:\n|$))+)"
+    found = docs.select(key, F.posexplode(F.regexp_extract_all(text, F.lit(block), F.lit(0))).alias("no", "b"))
+    n, note = F.regexp_extract("b", r"^\s*(\d{1,3})", 1).try_cast("int"), F.btrim(F.regexp_replace(F.regexp_replace("b", r"^\s*\d{1,3}[ \t]*\n", ""), r"\s+", " "))
+    cites = F.col("note").rlike(r"(?i)\b(19|20)\d{2}\b|https?://|\b(submission|p\.|pp\.|ibid|evidence|hansard|report)\b")
+    return found.select(key, "no", n.alias("number"), note.alias("note")).where(F.col("number").between(1, highest) & cites)
+
+
+def note_marks(text: str | Column) -> Column:
+    """The numbers of notes glued to a letter, a closing quote or bracket, with or without a full stop or colon between; numbers and shares are left alone."""
+    t = F.col(text) if isinstance(text, str) else text
+    return F.transform(F.regexp_extract_all(t, F.lit(r"(?<=[A-Za-z’”)?!]|[A-Za-z’”)?!]\.|[A-Za-z’”]:)(\d{1,3})(?![\d%])"), 1), lambda x: x.cast("int"))

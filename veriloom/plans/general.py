@@ -69,4 +69,20 @@ counts AS (SELECT line_id, key AS ref, CASE json_type(v, '$."' || key || '"') WH
 SELECT DISTINCT 'chain_lines' AS src, line_id, 'passages' AS child, num::BIGINT AS num, ref AS ref_id FROM passages WHERE coalesce(ref, '') <> ''
 UNION ALL SELECT DISTINCT 'chain_lines', line_id, 'quotes', num::BIGINT, ref FROM quotes WHERE body IS NOT NULL
 UNION ALL SELECT DISTINCT 'calibration_lines', line_id, 'verdict_counts', n::BIGINT, ref FROM counts WHERE ref IS NOT NULL AND n IS NOT NULL"""
-SQL: dict[str, str] = {"p7_found": _P7}
+_P3 = """WITH c AS (SELECT series, file_name, line_no, line_id, raw::JSON AS j FROM chain_lines WHERE json_valid(raw) AND json_type(raw) = 'OBJECT'),
+f0 AS (SELECT series, file_name, line_no, line_id, k AS field, j->('$."' || k || '"') AS v FROM (SELECT *, unnest(json_keys(j)) AS k FROM c) WHERE k <> 'detail'
+ UNION ALL SELECT series, file_name, line_no, line_id, 'detail.' || k, j->('$.detail."' || k || '"') FROM (SELECT *, unnest(json_keys(j, '$.detail')) AS k FROM c WHERE json_type(j, '$.detail') = 'OBJECT')),
+f AS (SELECT *, CASE json_type(v) WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' ELSE 'number' END AS kind, json_type(v) || ':' || CASE json_type(v) WHEN 'VARCHAR' THEN v->>'$' ELSE json(v)::VARCHAR END AS val FROM f0 WHERE json_type(v) <> 'NULL'),
+ff AS (SELECT series, file_name, field, list_sort(list(DISTINCT kind)) AS kinds FROM f GROUP BY ALL),
+o AS (SELECT series, file_name, row_number() OVER (PARTITION BY series ORDER BY min(written_at), file_name) AS no FROM chain_lines SEMI JOIN ff USING (series, file_name) GROUP BY series, file_name),
+st AS (SELECT b.series, b.file_name AS now, a.file_name AS was FROM o a JOIN o b ON a.series = b.series AND b.no = a.no + 1),
+gone AS (SELECT st.*, x.field FROM st JOIN ff x ON x.series = st.series AND x.file_name = st.was ANTI JOIN ff y ON y.series = st.series AND y.file_name = st.now AND y.field = x.field),
+fresh AS (SELECT st.*, x.field FROM st JOIN ff x ON x.series = st.series AND x.file_name = st.now ANTI JOIN ff y ON y.series = st.series AND y.file_name = st.was AND y.field = x.field),
+ix AS (SELECT series, file_name, line_id, trim(j->>'$.idx', ' ') AS idx FROM c WHERE json_type(j, '$.idx') NOT IN ('NULL', 'ARRAY', 'OBJECT') QUALIFY row_number() OVER (PARTITION BY series, file_name, trim(j->>'$.idx', ' ') ORDER BY line_no DESC, line_id DESC) = 1),
+vals AS (SELECT f.series, f.file_name, ix.idx, f.field, f.val FROM f JOIN ix USING (series, file_name, line_id)),
+rn AS (SELECT g.now, g.field, h.field AS new_field FROM gone g JOIN fresh h ON g.series = h.series AND g.now = h.now JOIN vals a ON a.series = g.series AND a.file_name = g.was AND a.field = g.field JOIN vals b ON b.series = h.series AND b.file_name = h.now AND b.field = h.field AND b.idx = a.idx GROUP BY ALL HAVING 2 * count(*) FILTER (a.val = b.val) >= count(*))
+SELECT now AS file_name, 'renamed' AS change_kind, field, new_field FROM rn
+UNION SELECT now, 'removed', field, '' FROM gone ANTI JOIN rn USING (now, field)
+UNION SELECT h.now, 'added', h.field, '' FROM fresh h ANTI JOIN rn ON rn.now = h.now AND rn.new_field = h.field
+UNION SELECT st.now, 'retyped', x.field, '' FROM st JOIN ff x ON x.series = st.series AND x.file_name = st.was JOIN ff y ON y.series = st.series AND y.file_name = st.now AND y.field = x.field AND y.kinds <> x.kinds"""
+SQL: dict[str, str] = {"p3_found": _P3, "p7_found": _P7}

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from veriloom.functions import text as T
+from veriloom.functions import verdicts as V
 from veriloom.operators import grounding as G
 from veriloom.operators import parsing as X
 from veriloom.operators import retrieval as R
 from veriloom.operators import trees as E
-from veriloom.operators.chains import samples_of
+from veriloom.operators.chains import compared, samples_of
 from veriloom.plans.claims import B_, BM25_, CHECK_, CLEAN, L_, LEAF, NORM, P_, R_, SIDE, TOK, bodies, brief, claim_queries, held_records, passages, query, quotes, records
 from veriloom.sources.tables import table
 
@@ -143,3 +144,30 @@ def first_ten_per_class(spark: SparkSession, d: str) -> DataFrame:
     ranked = rows.withColumn("rk", F.row_number().over(W.partitionBy("stability").orderBy("num", "id")))
     n = rows.groupBy("stability").agg((F.count(F.lit(1)) - 10).alias("n_more"))
     return ranked.where("rk <= 10").join(n, "stability").select("id", "stability", "rk", "n_more")
+
+
+@query(f"WITH {R_}, x AS (SELECT record_id, verdict, claim, nullif(trim(coalesce(detail.report_says, ''), ' '), '') AS r, nullif(trim(coalesce(detail.source_says, ''), ' '), '') AS s FROM R) SELECT record_id, coalesce(CASE WHEN verdict IN ('partial','overstated','contradicted') THEN 'The report says ' || r || '. The source only says ' || s || '.' WHEN verdict IN ('absent','unsupported') THEN 'The report says ' || r || '. No held source says this.' END, '') AS stakes, CASE WHEN verdict IN ('partial','overstated') THEN coalesce(s, claim) ELSE claim END AS intended FROM x")
+def record_stakes(spark: SparkSession, d: str) -> DataFrame:
+    """What is at stake in each record, and what it means to say."""
+    return records(spark, d).select("record_id", V.stakes("verdict", "detail.report_says", "detail.source_says").alias("stakes"), V.intended("verdict", "claim", "detail.source_says").alias("intended"))
+
+
+@query(f"WITH {B_}, x AS (SELECT CASE WHEN lower(trim(coalesce(route, ''), ' ')) = 'evaluative' OR regexp_matches(id, '^[Rr][0-9]') THEN 'opinion' WHEN coalesce(stability, '') = 'contested' THEN 'contested' WHEN coalesce(schema_fail, false) THEN 'schema-fail' WHEN {CLEAN.format('faith')} = 'faithful' THEN 'holds' WHEN {CLEAN.format('faith')} IN ('contradicted','overstated','unverifiable') THEN {CLEAN.format('faith')} WHEN {CLEAN.format('faith')} = 'partial' THEN 'generalised' ELSE 'unsupported' END AS cls FROM B WHERE id IS NOT NULL) SELECT cls, count(*) AS n FROM x GROUP BY cls")
+def class_buckets(spark: SparkSession, d: str) -> DataFrame:
+    """Claims of the brief by the class that lists them."""
+    rows = brief(spark, d).where("id is not null")
+    return rows.groupBy(V.page_class("route", "id", "stability", "schema_fail", T.clean_verdict("faith")).alias("cls")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {L_}, v AS (SELECT claim_id, split_part(chain, '/', 2) AS cell, verdict FROM L WHERE claim_id IS NOT NULL) SELECT claim_id, max(verdict) FILTER (cell = 'run-1') AS \"run-1\", max(verdict) FILTER (cell = 'run-2') AS \"run-2\", max(verdict) FILTER (cell = 'run-3') AS \"run-3\" FROM v GROUP BY claim_id")
+def runs_compared(spark: SparkSession, d: str) -> DataFrame:
+    """Each claim's verdict in the first three runs side by side."""
+    rows = held_records(spark, d).where("claim_id is not null").withColumn("cell", F.split_part("chain", F.lit("/"), F.lit(2)))
+    return compared(rows, "claim_id", "cell", "verdict", ["run-1", "run-2", "run-3"])
+
+
+@query(f"WITH {R_}, {B_} SELECT coalesce(nullif(trim(coalesce(R.route, ''), ' '), ''), B.route, '') AS route, count(*) AS n FROM R LEFT JOIN B ON B.id = R.claim_id GROUP BY ALL")
+def record_routes(spark: SparkSession, d: str) -> DataFrame:
+    """Records by route, from the brief where the record has none."""
+    other = brief(spark, d).select(F.col("id").alias("claim_id"), F.col("route").alias("other"))
+    return records(spark, d).join(other, "claim_id", "left").groupBy(F.coalesce(V.route_or("route", "other"), F.lit("")).alias("route")).agg(F.count(F.lit(1)).alias("n"))

@@ -49,6 +49,19 @@ def test_spans_match_brute_force(spark, seed):
     assert got == brute_shared(texts, 20)
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.text("ab", max_size=70), max_size=6), st.integers(1, 50))
+def test_anchors_alike_in_any_chunks(texts, chunk):
+    def of(n):
+        out = {}
+        for i, h, pos, lo, hi in spans.anchors_of(texts, 12, 5, n):
+            out.update({(i, s): (h, pos) for s in range(lo, hi + 1)})
+        return out
+
+    got = of(chunk)
+    assert got == of(1 << 20) and set(got) == {(i, s) for i, t in enumerate(texts) for s in range(len(t) - 11)}
+
+
 def test_spans_hot_phrase_by_window(spark):
     rng = random.Random(5)
     hot = "the same thirty characters here"

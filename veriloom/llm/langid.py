@@ -99,17 +99,32 @@ def features(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def scores(parts: list[str], weights: np.ndarray) -> np.ndarray:
-    """The score of each part for each language; ``weights`` holds the IDF already, its last row the biases."""
-    out = np.tile(weights[-1], (len(parts), 1)).astype(np.float64)
-    step = 400
-    for i in range(0, len(parts), step):
-        at, ids = features(parts[i : i + step])
+    """The score of each part for each language; ``weights`` holds the IDF already, its last row the biases.
+
+    Parts are scored together up to ``AT_ONCE`` characters, longer ones in pieces of that size.
+    """
+    sums, n = np.zeros((len(parts), weights.shape[1])), np.zeros(len(parts))
+
+    def add(held: list[str], owner: list[int]) -> None:
+        at, ids = features(held)
         if len(at):
             starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-            sums = np.add.reduceat(weights[ids], starts, axis=0)
-            n = np.diff(np.r_[starts, len(at)])
-            out[i + at[starts]] += sums / n[:, None]
-    return out
+            own = np.array(owner)[at[starts]]
+            np.add.at(sums, own, np.add.reduceat(weights[ids], starts, axis=0))
+            np.add.at(n, own, np.diff(np.r_[starts, len(at)]))
+
+    held, owner, size = [], [], 0
+    for i, p in enumerate(parts):
+        for j in range(0, len(p), AT_ONCE):
+            held.append(p[j : j + AT_ONCE])
+            owner.append(i)
+            size += len(held[-1])
+            if size >= AT_ONCE:
+                add(held, owner)
+                held, owner, size = [], [], 0
+    if held:
+        add(held, owner)
+    return weights[-1] + sums / np.maximum(n, 1)[:, None]
 
 
 def softmax(s: np.ndarray, temperature: float) -> np.ndarray:
@@ -183,6 +198,8 @@ def train(sample: pd.DataFrame, idf: np.ndarray) -> tuple[list[str], np.ndarray,
     return langs, out, best[1]
 
 
+#: Characters whose n-grams are counted, and scored, at a time.
+PIECE, AT_ONCE = 1 << 20, 1 << 16
 SCALE = 4.0
 
 
@@ -198,7 +215,9 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[int, np.n
             for t in b["text"]:
                 n += 1
                 seen = np.zeros(DIM, bool)
-                seen[features([blanked(t)])[1]] = True
+                clean = blanked(t)
+                for i in range(0, len(clean), PIECE):  # in pieces, so that no text is too long
+                    seen[features([clean[i : i + PIECE + max(ORDERS)]])[1]] = True
                 total += seen
         at = np.flatnonzero(total)
         yield pd.DataFrame({"id": np.r_[at, DIM].astype(np.int32), "df": np.r_[total[at], n]})

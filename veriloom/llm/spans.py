@@ -67,34 +67,42 @@ def _least(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (w - size)], x[w - size :]) if w > size else x
 
 
-def anchors_of(texts: list[str], span: int = SPAN, k: int = ANCHOR) -> Iterator[tuple[int, int, int, int, int]]:
-    """(text number, hash, position, first window, last window) of every canonical anchor."""
-    start = 0
-    while start < len(texts):
-        stop, size = start, 0
-        while stop < len(texts) and (size == 0 or size + len(texts[stop]) <= CHUNK):
-            size += len(texts[stop])
-            stop += 1
-        part = texts[start:stop]
-        codes = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32)
-        if len(codes) >= span:
-            h = phrase_hashes(codes, k)
-            # The position in the low bits makes the leftmost least one the winner, alike in any buffer.
-            packed = ((h >> POS_BITS) << POS_BITS) | np.arange(len(h), dtype=np.uint64)
-            at = (_least(packed, span - k + 1) & np.uint64((1 << 31) - 1)).astype(np.int64)
-            base = 0
-            for i, t in enumerate(part):
-                n = len(t)
-                if n >= span:
-                    own = at[base : base + n - span + 1]
-                    cut = np.flatnonzero(np.diff(own)) + 1
-                    lo = np.concatenate(([0], cut))
-                    hi = np.concatenate((cut - 1, [len(own) - 1]))
-                    pos = own[lo]
-                    for a, b, c, x in zip(h[pos].view(np.int64).tolist(), (pos - base).tolist(), lo.tolist(), hi.tolist()):
-                        yield start + i, a, b, c, x
-                base += n
-        start = stop
+def anchors_of(texts: list[str], span: int = SPAN, k: int = ANCHOR, chunk: int = CHUNK) -> Iterator[tuple[int, int, int, int, int]]:
+    """(text number, hash, position, first window, last window) of every canonical anchor.
+
+    Texts are hashed ``chunk`` characters at a time, short ones together and long ones in pieces that
+    overlap by a window less one, so memory is bounded and no window is left out.
+    """
+    held: list[tuple[int, int, str]] = []
+    size = 0
+    for i, t in enumerate(texts):
+        for start in range(0, max(0, len(t) - span + 1), chunk):
+            piece = t[start : start + chunk + span - 1]
+            if held and size + len(piece) > chunk:
+                yield from _anchors(held, span, k)
+                held, size = [], 0
+            held.append((i, start, piece))
+            size += len(piece)
+    if held:
+        yield from _anchors(held, span, k)
+
+
+def _anchors(pieces: list[tuple[int, int, str]], span: int, k: int) -> Iterator[tuple[int, int, int, int, int]]:
+    codes = np.frombuffer("".join(p for _, _, p in pieces).encode("utf-32-le", "surrogatepass"), np.uint32)
+    h = phrase_hashes(codes, k)
+    # The position in the low bits makes the leftmost least one the winner, alike in any buffer.
+    packed = ((h >> POS_BITS) << POS_BITS) | np.arange(len(h), dtype=np.uint64)
+    at = (_least(packed, span - k + 1) & np.uint64((1 << 31) - 1)).astype(np.int64)
+    base = 0
+    for i, start, piece in pieces:
+        own = at[base : base + len(piece) - span + 1]
+        cut = np.flatnonzero(np.diff(own)) + 1
+        lo = np.concatenate(([0], cut))
+        hi = np.concatenate((cut - 1, [len(own) - 1]))
+        pos = own[lo]
+        for a, b, c, x in zip(h[pos].view(np.int64).tolist(), (pos - base + start).tolist(), (lo + start).tolist(), (hi + start).tolist()):
+            yield i, a, b, c, x
+        base += len(piece)
 
 
 def shared_windows(rows: list[tuple[int, int, int, int, int, str]], span: int, k: int) -> Iterator[tuple[int, int, int, int]]:

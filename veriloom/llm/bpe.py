@@ -7,7 +7,8 @@ The vocabulary is read from its file on each worker, never shipped through the d
 
 Defined cases: a null or empty text gives an empty list; a blank text gives the ids of its white
 space; strings of special tokens in a text are ordinary text; unpaired surrogates are encoded as
-U+FFFD; ties in rank go to the leftmost pair; repeated rows are encoded alike and all kept.
+U+FFFD; ties in rank go to the leftmost pair; repeated rows are encoded alike and all kept, as are rows
+without a key.
 """
 
 from __future__ import annotations
@@ -111,14 +112,15 @@ def encoder(path: str, pattern: str) -> Bpe:
 def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
     """The key and the ids of each row, in one narrow pass: key, ids."""
     path, pattern = path or default_vocabulary(), pattern or default_pattern()
-    kind = docs.schema[key].dataType.simpleString()
+    kind = docs.schema[key].dataType
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = encoder(path, pattern)
         for b in batches:
             yield pd.DataFrame({key: b[key], "ids": [bpe.encode(t) for t in b[text]]})
 
-    return docs.select(F.col(key), F.col(text)).mapInPandas(run, f"`{key}` {kind}, ids array<int>")
+    # The key goes through Python as text, so that a null beside it can't cost a large number its last digits.
+    return docs.select(F.col(key).cast("string").alias(key), F.col(text)).mapInPandas(run, f"`{key}` string, ids array<int>").select(F.col(key).cast(kind).alias(key), "ids")
 
 
 def token_counts(docs: DataFrame, keys: list[str], text: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -130,6 +132,6 @@ def token_counts(docs: DataFrame, keys: list[str], text: str = "text", path: str
         for b in batches:
             yield b[keys].assign(n_tokens=[len(bpe.encode(t)) for t in b[text]])
 
-    part = docs.select(*keys, text)
-    schema = ", ".join(f"`{k}` {part.schema[k].dataType.simpleString()}" for k in keys)
-    return part.mapInPandas(run, f"{schema}, n_tokens long")
+    part = docs.select(*(F.col(k).cast("string").alias(k) for k in keys), text)
+    schema = ", ".join(f"`{k}` string" for k in keys)
+    return part.mapInPandas(run, f"{schema}, n_tokens long").select(*(F.col(k).cast(docs.schema[k].dataType).alias(k) for k in keys), "n_tokens")

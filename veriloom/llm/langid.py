@@ -12,7 +12,7 @@ Defined cases: null, empty and blank texts have no segment and language ``und``
 a label in no known spelling names no language; speaker labels, table rows and names or titles in
 brackets are no sentences; a text without a full sentence is classed as one stretch but counts
 as no full sentence; repeated rows come out alike; equal scores go to the first language in
-alphabetical order; without any labelled row the result is empty; extra columns are ignored.
+alphabetical order; rows without a doc_id have no result; without any labelled row the result is empty; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -264,7 +264,7 @@ def classed_sentences(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Data
             out = pd.DataFrame(keys, columns=cols[:5])
             yield out.assign(lang=[langs[i] for i in top], confidence=p[np.arange(len(top)), top])
 
-    return docs.where(F.length(F.trim("text")) > 0).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, no int, start int, stop int, full boolean, lang string, confidence double")
+    return docs.where((F.length(F.trim("text")) > 0) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, no int, start int, stop int, full boolean, lang string, confidence double")
 
 
 def unnamed_languages(docs: DataFrame) -> DataFrame:
@@ -290,5 +290,5 @@ def document_languages(docs: DataFrame) -> DataFrame:
     size = F.col("stop") - F.col("start")
     weight = classed_sentences(docs).groupBy("doc_id", "lang").agg(F.sum(size * F.col("confidence")).alias("w"), F.sum(size).alias("n"))
     best = weight.groupBy("doc_id").agg(F.max_by("lang", F.struct("w", "lang")).alias("lang"), (F.max("w") / F.sum("n")).alias("confidence"))
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    ids = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     return ids.join(best, "doc_id", "left").select("doc_id", F.coalesce("lang", F.lit("und")).alias("lang"), F.round(F.coalesce("confidence", F.lit(0.0)), 4).alias("confidence"))

@@ -18,7 +18,7 @@ A source that cannot fill its target within its repeats gives all it can; the ot
 Defined cases: null, empty and blank texts have their own count of tokens, and those of none are
 never drawn; a source without documents has a share of 0; sources of no mix are never drawn; null or
 negative weights count as 0, null repeats as 1 and null ratios as 1; a repeated target row counts
-once; repeated documents are drawn each on its own; empty tables give empty results.
+once; documents without an id are never drawn; repeated documents are drawn each on its own; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -84,7 +84,7 @@ def mix(docs: DataFrame, targets: DataFrame, path: str | None = None) -> DataFra
     if len(rows) > SOURCES_MOST:
         raise ValueError(f"mixes name more than {SOURCES_MOST} sources")
     mixes, sources = sorted(rows["mix"].unique()), sorted(rows["source"].unique())
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.nullif(F.btrim("source"), F.lit("")).alias("source"), "text")
+    base = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.nullif(F.btrim("source"), F.lit("")).alias("source"), "text")
     sized = checkpointed(bpe.token_counts(base, ["doc_id", "source"], path=path).where("n_tokens > 0"))
     by_source = {r["source"]: (int(r["t"]), int(r["n"])) for r in sized.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n")).where("source is null").unionByName(sized.where(F.col("source").isin(sources)).groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n"))).collect()}
     total = sized.agg(F.sum("n_tokens")).first()[0] or 0

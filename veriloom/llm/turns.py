@@ -13,7 +13,8 @@
 Defined cases: null texts and texts without spoken words belong to no turn and end none; fragments
 before anybody is named are left out; repeated deliveries (same id) are one fragment, the last to
 come holding; ids that are not of a hearing are ignored; an empty roster or table gives no turns;
-two fragments at one place tie by the greater passage number; extra columns are ignored.
+two fragments at one place tie by the greater passage number, a null one
+being the least; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -242,7 +243,7 @@ def fragments(passages: DataFrame, roster: Roster) -> DataFrame:
     """Tagged hearing fragments: session_key, t, ord, people (whom the label may name), role, said, speech."""
     rows = passages.select(
         F.regexp_extract("id", r"^(.+?)#t(\d+)$", 1).alias("session_key"), F.regexp_extract("id", r"^(.+?)#t(\d+)$", 2).try_cast("long").alias("t"),
-        F.col("passage_no").cast("long").alias("ord"), "speaker", F.lower("role_text").alias("role"), "text",
+        F.coalesce(F.col("passage_no").cast("long"), F.lit(-1)).alias("ord"), "speaker", F.lower("role_text").alias("role"), "text",
     ).where("t is not null and text is not null")
     model = trained(rows.select("text"), roster.words)
     shared = passages.sparkSession.sparkContext.broadcast((roster, model))

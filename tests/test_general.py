@@ -67,3 +67,13 @@ def test_deep_and_empty(spark):
     df = lines(spark, ("a", 0, 1, '{"x": ' + deep))
     assert nested.record_triples(df, "x").count() == 0
     assert nested.chain_children(nested.record_triples(spark.createDataFrame([], LINES), "x")).count() == 0
+
+
+def test_nulls_in_any_column(spark):
+    import datetime as dt
+
+    t = dt.datetime(2024, 1, 1)
+    rows = [(None, "a", 0, 1, t, '{"idx": 0}', "x"), ("s", None, 0, 1, t, '{"idx": 0}', "x"), ("s", "a", None, None, None, '{"idx": 0, "a": 1}', None), ("s", "b", 0, 9007199254740993, t, '{"idx": 0, "b": 1, "passages": ["p"]}', "x"), ("s", "b", 1, None, t, '{"idx": 1}', "x")]
+    df = spark.createDataFrame(rows, LINES)
+    assert {r["change_kind"] for r in drift.schema_changes(df).collect()} <= {"renamed", "added", "removed"}
+    assert [(r["line_id"], r["ref_id"]) for r in nested.chain_children(nested.record_triples(df, "x")).collect()] == [(9007199254740993, "p")]

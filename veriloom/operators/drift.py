@@ -7,7 +7,8 @@ edges, until they settle; consistent one-to-one correspondences are then chosen
 pair counts as a rename only if it passes the exact value rule, so scores decide between
 candidates but never invent a rename.
 
-Defined cases: null, blank, cut-off and non-object lines are skipped; a file without a complete
+Defined cases: null, blank, cut-off and non-object lines are skipped, as are lines without a series
+or a file; null line numbers are the least; a file without a complete
 line has no fields and does not stand between its neighbours; of lines with the same idx the
 one with the greatest (line_no, line_id) holds for values, while all complete lines count for
 fields and kinds; an idx written as text equals the number; a line without idx counts for fields
@@ -66,8 +67,8 @@ def parsed_lines(lines: DataFrame) -> DataFrame:
                 kinds.append({k: kind_of(v) for k, v in got.items()})
             yield b[["series", "file_name", "line_no", "line_id", "written_at"]].assign(idx=idxs, ok=oks, fields=fields, kinds=kinds)
 
-    cols = ["series", "file_name", F.col("line_no").cast("int").alias("line_no"), F.col("line_id").cast("long").alias("line_id"), F.col("written_at").cast("timestamp").alias("written_at"), F.col("raw").cast("string").alias("raw")]
-    return lines.select(*cols).mapInPandas(run, PARSED)
+    cols = ["series", "file_name", F.coalesce(F.col("line_no").cast("int"), F.lit(-1)).alias("line_no"), F.coalesce(F.col("line_id").cast("long"), F.lit(-1)).alias("line_id"), F.col("written_at").cast("timestamp").alias("written_at"), F.col("raw").cast("string").alias("raw")]
+    return lines.where("series is not null and file_name is not null").select(*cols).mapInPandas(run, PARSED)
 
 
 def flood(gone: list[tuple[str, list[str], float]], new: list[tuple[str, list[str], float]], value: dict[tuple[str, str], float], rounds: int = 40, eps: float = 1e-4) -> dict[tuple[str, str], float]:

@@ -4,7 +4,7 @@ Each record is parsed once into path-value-ordinal triples. Paths are grouped by
 ancestor (the innermost list or counted map they lie in), and each group is pivoted into one
 child table whose rows carry the key of the parent record and their place in it.
 
-Defined cases: a null, empty, blank or cut-off line gives no triples and no rows; a line whose
+Defined cases: a null, empty, blank or cut-off line, or one without a line_id, gives no triples and no rows; a line whose
 JSON is not an object gives none; a null list, an absent list and an empty list give no child
 rows; a scalar where a list is expected counts as a list of that one element (passages in one text
 with commas as several), and an empty string as none; repeated lines give their own rows; columns of the input other than the named ones are
@@ -83,7 +83,7 @@ def record_triples(lines: DataFrame, src: str, line_id: str = "line_id", raw: st
                     rows.extend((src, key, *t) for t in triples(got, maps))
             yield pd.DataFrame(rows, columns=["src", "line_id", "path", "ord", "keys", "kind", "value"])
 
-    return lines.select(F.col(line_id).cast("long").alias("line_id"), F.col(raw).cast("string").alias("raw")).mapInPandas(run, TRIPLES)
+    return lines.where(F.col(line_id).isNotNull()).select(F.col(line_id).cast("long").alias("line_id"), F.col(raw).cast("string").alias("raw")).mapInPandas(run, TRIPLES)
 
 
 def _at(level: int) -> Column:

@@ -296,3 +296,16 @@ def test_label_codes(spark, label, want):
 def test_records_take_the_last(spark):
     df = spark.createDataFrame([("a", 2, "new"), ("a", 1, "old"), ("b", 1, None)], REC)
     assert [(r["rec"], r["text"]) for r in records.one_per_record(df).collect()] == [("a", "new")]
+
+
+def test_nulls_in_any_column(spark):
+    big = 9007199254740993
+    docs = spark.createDataFrame([(big, "Some text.", None, None), (None, "More text.", "en", "a"), (1, None, None, "a")], "doc_id long, text string, lang string, source string")
+    assert {(r["doc_id"], bool(r["ids"])) for r in bpe.encoded(docs).collect()} == {(big, True), (None, True), (1, False)}
+    assert {r["doc_id"] for r in langid.document_languages(docs).collect()} == {big, 1}
+    goal = spark.createDataFrame([("m", "a", None, None, None), (None, "a", 1.0, 1, 1.0), ("m", None, 1.0, 1, 1.0)], "mix string, source string, weight double, max_repeats int, size_ratio double")
+    assert mixing.mix(docs, goal).count() == 0 and mixing.shares(mixing.mix(docs, goal), goal).count() == 1
+    rows = [(None, 1, None, None, "x", "hearing"), ("d/s#t1", None, "LORNE", None, "Yes.", "hearing"), ("d/s#t1", 5, "McVAY", None, None, "hearing")]
+    df = spark.createDataFrame(rows, PASSAGE)
+    people = roster(spark)
+    assert [r["person_id"] for r in turns.turns(turns.fragments(df, turns.roster_of(people)), people).collect()] == ["P0"]

@@ -88,10 +88,16 @@ def tables() -> dict[str, str]:
     return to
 
 
+@cache
+def translation() -> dict[int, str]:
+    """The tables in the form that strings are translated with."""
+    return str.maketrans(tables())
+
+
 def by_table(token: str) -> str:
     """A token with each character replaced by the tables, composed anew."""
-    to = tables()
-    return unicodedata.normalize("NFC", "".join(to.get(c, c) for c in unicodedata.normalize("NFD", "".join(to.get(c, c) for c in token))))
+    to = translation()
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", token.translate(to)).translate(to))
 
 
 def key_of(token: str) -> str:

@@ -51,7 +51,7 @@ MARK_MOST = 40
 HYPHENS = "-‐‑¬­"
 IGNORABLE = "­​‌‍⁠﻿"
 NO_WORD = r"[^\p{L}\p{N}@!|$'’-]+"
-TOKEN = re.compile(r"[^\W_@!|$]*(?:[@!|$][^\W_]+|[^\W_])[^\W_]*(?:[-'’][^\W_@!|$]*(?:[@!|$][^\W_]+|[^\W_])[^\W_]*)*")
+TOKEN = re.compile(r"(?:[^\W_]+|[@!|$](?=[^\W_]))+(?:[-'’](?:[^\W_]+|[@!|$](?=[^\W_]))+)*")
 _DECO = r"[\s\[\](){}<>|–—\-~*]*"
 ROMAN = r"(?=[ivxlcdm])m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})"
 PAGE_MARK = re.compile(rf"^{_DECO}(?:p(?:age|\.)?\s*)?(?:[0-9][0-9lOI]{{0,3}}|{ROMAN})(?:\s+of\s+[0-9][0-9lOI]{{0,3}})?{_DECO}$", re.I)
@@ -136,8 +136,7 @@ def head_key(line: str) -> str | None:
 
 def marked(line: str) -> bool:
     """Whether a line has the look of a running head: capitals throughout, or a page number at an end of a title."""
-    letters = [c for c in line if c.isalpha()]
-    if len(letters) >= 6 and sum(c.isupper() for c in letters) >= 0.9 * len(letters):
+    if (line.isupper() or sum(map(str.isupper, line)) >= 0.9 * sum(map(str.isalpha, line))) and sum(map(str.isalpha, line)) >= 6:
         return True
     return bool(re.match(r"^\s*[0-9]{1,4}\s{2,}\S", line) or re.search(r"\s\|\s+[0-9]{1,4}\s*$", line))
 
@@ -193,7 +192,7 @@ def joined_paragraph(text: str, noise: list[bool]) -> tuple[str, list[tuple[int,
 
 
 def _tokens_of(text: str) -> list[tuple[int, int, str]]:
-    return [(m.start(), m.end(), m[0].lower()) for m in TOKEN.finditer(text)]
+    return [(*m.span(), m[0].lower()) for m in TOKEN.finditer(text)]
 
 
 def pair_counts(texts: DataFrame) -> DataFrame:
@@ -240,9 +239,9 @@ def page_parts(scans: DataFrame, heads: DataFrame, common: frozenset[str]) -> Da
                 para, broken = joined_paragraph(text, noise)
                 rows.extend((rec, "joined", at, a.lower(), b.lower(), None, None) for at, a, b in broken)
                 toks = _tokens_of(para)
-                skip = {i for i, c in enumerate(para) if c == "­"}
+                skip = {at + len(a) for at, a, _ in broken}
                 for i, (s, e, w) in enumerate(toks):
-                    if w not in known and e not in skip and s - 1 not in skip:
+                    if w not in known and not w.isdigit() and e not in skip and s - 1 not in skip:
                         rows.append((rec, "word", s, w, None, toks[i - 1][2] if i else "", toks[i + 1][2] if i + 1 < len(toks) else ""))
             yield pd.DataFrame(rows, columns=["rec", "kind", "pos", "a", "b", "prev", "next"])
 

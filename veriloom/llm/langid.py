@@ -34,6 +34,7 @@ SPELLINGS = {
 }
 BITS = 16
 DIM = 1 << BITS
+#: Orders of the n-grams, from one on.
 ORDERS = (1, 2, 3)
 #: Labelled documents of each language in the training sample, and passes over it.
 PER_LANGUAGE, EPOCHS = 400, 3
@@ -45,9 +46,12 @@ SURE, MIN_WORDS = 0.6, 4
 TABLE_ROW = re.compile(r"^[ \t]*\|.*$", re.M)
 SPEAKER = re.compile(r"(?m)^[ \t]*(?:\w[\w.'-]*[ \t]+){0,4}[A-Z][\w'-]+:(?=\s)")
 BRACKETED = re.compile(r"\([^()]{0,200}\)|\[[^\[\]]{0,200}\]")
-SENTENCE = re.compile(r"\S(?:[^.!?\n]|[.!?](?![\s\"”»“’')\]]|$)|\n(?!\s*\n))*(?:[.!?…]+[\"”»“’')\]]*(?=\s|$))?")
-REPEATED = re.compile(r"(\S{1,4}?)\1{9,}")
-WORD = re.compile(r"[^\W\d_]{1,}")
+SENTENCE = re.compile(r"\S(?:[^.!?\n]++|[.!?](?![\s\"”»“’')\]]|$)|\n(?!\s*\n))*+(?:[.!?…]+[\"”»“’')\]]*(?=\s|$))?")
+#: Words long enough to hold an endless repetition, and the repetition.
+LONG, REPEATED = re.compile(r"\S{20,}"), re.compile(r"(\S{1,4}?)\1{9,}")
+LETTERS = re.compile(r"[\W\d_]+")
+WORD = re.compile(r"[^\W\d_]+")
+ENDED = re.compile(r"[.!?…][\"”»“’')\]]*\s*$")
 
 
 def label_code(label: Column) -> Column:
@@ -57,45 +61,57 @@ def label_code(label: Column) -> Column:
     return F.create_map(*(F.lit(x) for kv in names.items() for x in kv))[head]
 
 
+def _blank(m: re.Match) -> str:
+    return m[0] if m[0].isspace() else "\n".join(" " * len(x) for x in m[0].split("\n"))
+
+
+def _calm(m: re.Match) -> str:
+    # Of a row of full stops the first stays: it ends the sentence.
+    return REPEATED.sub(lambda r: ("." if r[0][0] == "." else " ") + " " * (len(r[0]) - 1), m[0])
+
+
 def blanked(text: str) -> str:
     """The text with table rows, speaker labels, bracketed notes and endless repetitions blanked out, places unchanged."""
-    for rx in (TABLE_ROW, SPEAKER, BRACKETED, REPEATED):
-        # Of a row of full stops the first stays: it ends the sentence.
-        text = rx.sub(lambda m: ("." if m[0][0] == "." and rx is REPEATED else "") + re.sub(r"[^\n]", " ", m[0][m[0][0] == "." and rx is REPEATED :]), text)
-    return text
+    if "|" in text:
+        text = TABLE_ROW.sub(_blank, text)
+    if ":" in text:
+        text = SPEAKER.sub(_blank, text)
+    if "(" in text or "[" in text:
+        text = BRACKETED.sub(_blank, text)
+    return LONG.sub(_calm, text)
 
 
-def sentences(text: str) -> list[tuple[int, int, bool]]:
-    """(start, end, is a full sentence) of each stretch of a text that has letters."""
-    clean = blanked(text)
+def sentences(clean: str) -> list[tuple[int, int, bool]]:
+    """(start, end, is a full sentence) of each stretch of a blanked text that has letters."""
     out = []
     for m in SENTENCE.finditer(clean):
         words = len(WORD.findall(m[0]))
         if words:
-            out.append((m.start(), m.end(), words >= MIN_WORDS and bool(re.search(r"[.!?…][\"”»“’')\]]*$", m[0].rstrip()))))
+            out.append((m.start(), m.end(), words >= MIN_WORDS and ENDED.search(m[0]) is not None))
     return out
 
 
-def features(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(part number, hashed n-gram) of all character n-grams within each part, lower case, digits as one."""
-    texts = [f" {re.sub(r'[\W\d_]+', ' ', p.lower()).strip()} " for p in parts]
-    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    seg = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-    at, ids = [], []
+def _codes(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The characters of all parts, lower case, each part between spaces; and where each part ends."""
+    texts = [f" {LETTERS.sub(' ', p.lower()).strip()} " for p in parts]
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), np.cumsum([len(t) for t in texts])
+
+
+def _hashed(codes: np.ndarray) -> Iterator[np.ndarray]:
+    """The hashed n-grams from each place, for each order in turn."""
+    h = np.full(len(codes), 0x811C9DC5, np.uint32)
     for n in ORDERS:
-        if len(codes) < n:
-            continue
-        h = np.full(len(codes) - n + 1, n * 0x9E3779B1, np.uint64)
-        for j in range(n):
-            h = (h ^ codes[j : len(codes) - n + 1 + j]) * np.uint64(0x100000001B3)
-        ok = seg[: len(h)] == seg[n - 1 :]
-        ids.append(((h ^ (h >> np.uint64(29))) & np.uint64(DIM - 1)).astype(np.int32)[ok])
-        at.append(seg[: len(h)][ok])
-    if not at:
-        return np.zeros(0, np.int64), np.zeros(0, np.int32)
-    at_, ids_ = np.concatenate(at), np.concatenate(ids)
-    order = np.argsort(at_, kind="stable")
-    return at_[order], ids_[order]
+        h = (h[: len(codes) - n + 1] * np.uint32(0x01000193)) ^ codes[n - 1 :]
+        yield (h * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
+
+
+def part_ids(parts: list[str]) -> list[np.ndarray]:
+    """The hashed n-grams of each part, with repeats."""
+    out = []
+    for p in parts:
+        codes, _ = _codes([p])
+        out.append(np.concatenate(list(_hashed(codes))))
+    return out
 
 
 def scores(parts: list[str], weights: np.ndarray) -> np.ndarray:
@@ -106,12 +122,22 @@ def scores(parts: list[str], weights: np.ndarray) -> np.ndarray:
     sums, n = np.zeros((len(parts), weights.shape[1])), np.zeros(len(parts))
 
     def add(held: list[str], owner: list[int]) -> None:
-        at, ids = features(held)
-        if len(at):
-            starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-            own = np.array(owner)[at[starts]]
-            np.add.at(sums, own, np.add.reduceat(weights[ids], starts, axis=0))
-            np.add.at(n, own, np.diff(np.r_[starts, len(at)]))
+        codes, ends = _codes(held)
+        starts = np.r_[0, ends[:-1]]
+        own = np.array(owner)
+        for order, ids in zip(ORDERS, _hashed(codes)):
+            stops = ends - order + 1
+            # Sums from each part's start to its last whole n-gram; those across two parts fall between.
+            cuts = np.minimum(np.stack([starts, stops], axis=1).ravel(), len(ids) - 1) if len(ids) else np.zeros(0, int)
+            if not len(cuts):
+                continue
+            got = np.add.reduceat(weights[ids], cuts, axis=0)[::2]
+            if stops[-1] >= len(ids) and starts[-1] < len(ids):  # the last part runs to the end
+                got[-1] = weights[ids[starts[-1] :]].sum(axis=0)
+            counts = np.maximum(stops - starts, 0)
+            got[counts == 0] = 0
+            np.add.at(sums, own, got)
+            np.add.at(n, own, counts)
 
     held, owner, size = [], [], 0
     for i, p in enumerate(parts):
@@ -160,7 +186,7 @@ def train(sample: pd.DataFrame, idf: np.ndarray) -> tuple[list[str], np.ndarray,
     parts, y, doc = [], [], []
     for no, (text, code) in enumerate(zip(sample["text"], sample["code"])):
         clean = blanked(text)
-        for a, b, full in sentences(text):
+        for a, b, full in sentences(clean):
             if full:
                 parts.append(clean[a:b])
                 y.append(number[code])
@@ -169,10 +195,8 @@ def train(sample: pd.DataFrame, idf: np.ndarray) -> tuple[list[str], np.ndarray,
         return langs, np.zeros((DIM + 1, len(langs))), 1.0
     y_ = np.array(y)
     examples = []
-    at, ids = features(parts)
-    bounds = np.searchsorted(at, np.arange(len(parts) + 1))
-    for i in range(len(parts)):
-        u, c = np.unique(ids[bounds[i] : bounds[i + 1]], return_counts=True)
+    for ids in part_ids(parts):
+        u, c = np.unique(ids, return_counts=True)
         # Scaled up so that steps move; undone in the returned weights.
         examples.append((np.r_[u, DIM], np.r_[c / c.sum() * idf[u] * SCALE, 1.0]))
     held = np.arange(len(parts)) % 5 == 0
@@ -217,7 +241,8 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[int, np.n
                 seen = np.zeros(DIM, bool)
                 clean = blanked(t)
                 for i in range(0, len(clean), PIECE):  # in pieces, so that no text is too long
-                    seen[features([clean[i : i + PIECE + max(ORDERS)]])[1]] = True
+                    for ids in _hashed(_codes([clean[i : i + PIECE + max(ORDERS)]])[0]):
+                        seen[ids] = True
                 total += seen
         at = np.flatnonzero(total)
         yield pd.DataFrame({"id": np.r_[at, DIM].astype(np.int32), "df": np.r_[total[at], n]})
@@ -254,7 +279,7 @@ def classed_sentences(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Data
             keys, spans, parts = [], [], []
             for key, text in zip(b["doc_id"], b["text"]):
                 clean = blanked(text)
-                for i, (s, e, full) in enumerate(sentences(text)):
+                for i, (s, e, full) in enumerate(sentences(clean)):
                     keys.append((key, i, s, e, full))
                     parts.append(clean[s:e])
             if not parts or not langs:

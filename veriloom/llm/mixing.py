@@ -47,11 +47,9 @@ def _posteriors(docs: DataFrame, missing: DataFrame, sources: list[str]) -> Data
     share = F.create_map(*(x for s in sources for x in (F.lit(s), F.lit(min(1.0, PER_SOURCE / max(1, sizes.get(s, 0)))))))
     sample = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / float(1 << 20) < share[F.col("source")]).toPandas()
     y = np.array([sources.index(s) for s in sample["source"]], int)
-    at, ids = langid.features(sample["text"].tolist())
-    bounds = np.searchsorted(at, np.arange(len(sample) + 1))
     examples = []
-    for i in range(len(sample)):
-        u, c = np.unique(ids[bounds[i] : bounds[i + 1]], return_counts=True)
+    for ids in langid.part_ids(sample["text"].tolist()):
+        u, c = np.unique(ids, return_counts=True)
         examples.append((np.r_[u, langid.DIM], np.r_[20 * c / max(1, c.sum()), 1.0]))
     weights = langid.ftrl(examples, y, len(sources)) if examples else np.zeros((langid.DIM + 1, len(sources)))
     weights[:-1] *= 20

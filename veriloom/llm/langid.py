@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -49,7 +50,6 @@ BRACKETED = re.compile(r"\([^()]{0,200}\)|\[[^\[\]]{0,200}\]")
 SENTENCE = re.compile(r"\S(?:[^.!?\n]++|[.!?](?![\s\"”»“’')\]]|$)|\n(?!\s*\n))*+(?:[.!?…]+[\"”»“’')\]]*(?=\s|$))?")
 #: Words long enough to hold an endless repetition, and the repetition.
 LONG, REPEATED = re.compile(r"\S{20,}"), re.compile(r"(\S{1,4}?)\1{9,}")
-LETTERS = re.compile(r"[\W\d_]+")
 WORD = re.compile(r"[^\W\d_]+")
 ENDED = re.compile(r"[.!?…][\"”»“’')\]]*\s*$")
 
@@ -91,10 +91,26 @@ def sentences(clean: str) -> list[tuple[int, int, bool]]:
     return out
 
 
+@cache
+def _letters() -> np.ndarray:
+    """For each character of the basic plane, its lower-case letter, or a space if it is none; one more for all others."""
+    table = np.full(1 << 16, 32, np.uint32)
+    for n in range(1 << 16):
+        if not 0xD800 <= n < 0xE000 and (c := chr(n)).isalpha():
+            table[n] = ord(c.lower()[0])
+    return np.r_[table, np.uint32(32)]
+
+
 def _codes(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The characters of all parts, lower case, each part between spaces; and where each part ends."""
-    texts = [f" {LETTERS.sub(' ', p.lower()).strip()} " for p in parts]
-    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), np.cumsum([len(t) for t in texts])
+    """The letters of all parts, lower case, all else as single spaces, each part between spaces; and where each part ends."""
+    raw = np.frombuffer("".join(f" {p} " for p in parts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes = _letters()[np.minimum(raw, 1 << 16)]
+    space = codes == 32
+    ends = np.cumsum([len(p) + 2 for p in parts])
+    keep = ~space
+    keep[1:] |= ~space[:-1]
+    keep[np.r_[0, ends[:-1]]] = True  # each part keeps its own first space
+    return codes[keep], np.cumsum(keep)[ends - 1]
 
 
 def _hashed(codes: np.ndarray) -> Iterator[np.ndarray]:
@@ -126,7 +142,7 @@ def scores(parts: list[str], weights: np.ndarray) -> np.ndarray:
         starts = np.r_[0, ends[:-1]]
         own = np.array(owner)
         for order, ids in zip(ORDERS, _hashed(codes)):
-            stops = ends - order + 1
+            stops = np.maximum(ends - order + 1, starts)
             # Sums from each part's start to its last whole n-gram; those across two parts fall between.
             cuts = np.minimum(np.stack([starts, stops], axis=1).ravel(), len(ids) - 1) if len(ids) else np.zeros(0, int)
             if not len(cuts):

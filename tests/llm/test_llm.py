@@ -309,3 +309,15 @@ def test_nulls_in_any_column(spark):
     df = spark.createDataFrame(rows, PASSAGE)
     people = roster(spark)
     assert [r["person_id"] for r in turns.turns(turns.fragments(df, turns.roster_of(people)), people).collect()] == ["P0"]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("aB é1.ß漢\n", max_size=12), max_size=6))
+def test_scores_alike_alone_and_together(parts):
+    w = np.random.default_rng(0).random((langid.DIM + 1, 3)).astype(np.float32)
+    together = langid.scores(parts, w)
+    for p, got in zip(parts, together):
+        ids = langid.part_ids([p])[0]
+        want = w[-1] + (w[ids].sum(axis=0) / len(ids) if len(ids) else 0)
+        assert np.allclose(got, want, atol=1e-4)
+        assert np.allclose(langid.scores([p], w)[0], got, atol=1e-4)

@@ -157,7 +157,7 @@ def scores(parts: list[str], weights: np.ndarray) -> np.ndarray:
 
     held, owner, size = [], [], 0
     for i, p in enumerate(parts):
-        for j in range(0, len(p), AT_ONCE):
+        for j in range(0, max(1, len(p)), AT_ONCE):
             held.append(p[j : j + AT_ONCE])
             owner.append(i)
             size += len(held[-1])

@@ -24,7 +24,7 @@ def unique_source(quotes: DataFrame, own: DataFrame, passages: DataFrame) -> Dat
     return found.select("key", "pos", F.when(F.col("n") == 1, F.col("pid")).otherwise(F.lit("")).alias("source"))
 
 
-def located(quotes: DataFrame, passages: DataFrame, words: int = 5) -> DataFrame:
+def located(quotes: DataFrame, passages: DataFrame, words: int = 8) -> DataFrame:
     """(key, pos, pid) of every passage that holds a quote, normalised, whole.
 
     A quote inside a text brings its inner words with it: the first ``words`` of them that are
@@ -38,14 +38,16 @@ def located(quotes: DataFrame, passages: DataFrame, words: int = 5) -> DataFrame
     keyed = norm.select("key", "pos", "q", F.when(n >= words + 2, F.array_join(F.slice(toks, 2, words), " ")).alias("run"), F.when(n >= 3, F.element_at(F.array_sort(F.transform(F.slice(toks, 2, n - 2), lambda t: F.struct((-F.length(t)).alias("l"), t.alias("t")))), 1)["t"]).alias("one"))
     body = passages.select("pid", T.norm_quote(T.visible_text("context", "text")).alias("body"))
     words_of = F.split("body", " ")
-    long_ = keyed.where("run is not null").withColumn("h", F.xxhash64("run"))
-    runs = body.select("pid", "body", F.explode(F.array_distinct(T.shingles(words_of, words))).alias("run")).withColumn("h", F.xxhash64("run"))
-    wanted = long_.select("h").distinct()
-    met = runs.join(wanted, "h", "left_semi").select("h", "pid", "body").join(long_, "h")
-    short = keyed.where("run is null and one is not null")
-    singles = body.select("pid", "body", F.explode(F.array_distinct(words_of)).alias("one")).join(short.select("one").distinct(), "one", "left_semi")
-    met_short = singles.join(short, "one")
-    parts = [x.where(F.contains("body", "q")).select("key", "pos", "pid") for x in (met, met_short)]
+    # Only ids and hashes are shuffled to find who meets; the texts join afterwards.
+    at = lambda w, i: F.xxhash64(F.slice(w, i, words))
+    hashes = F.when(F.size(words_of) >= words, F.transform(F.sequence(F.lit(1), F.size(words_of) - words + 1), lambda i: at(words_of, i)))
+    runs = body.select("pid", F.explode(F.array_distinct(hashes)).alias("h"))
+    met = runs.join(keyed.where("run is not null").select("key", "pos", F.xxhash64(F.split("run", " ")).alias("h")), "h").select("key", "pos", "pid")
+    short = keyed.where("run is null and one is not null").select("key", "pos", "one")
+    singles = body.select("pid", F.explode(F.array_distinct(words_of)).alias("one"))
+    met_short = singles.join(short, "one").select("key", "pos", "pid")
+    sure = met.unionByName(met_short).join(norm, ["key", "pos"]).join(body, "pid").where(F.contains("body", "q")).select("key", "pos", "pid")
+    parts = [sure]
     tiny = keyed.where("run is null and one is null").select("key", "pos", "q")
     if not tiny.isEmpty():  # quotes of one or two words have no complete word inside
         parts.append(_located_tiny(tiny, body))

@@ -80,3 +80,13 @@ def test_unit_vector(spark):
 @pytest.mark.parametrize("p,want", [("2024-02-14/1_x#t9", "hearing:2024-02-14/1_x"), ("submission-3#p1", "submission:3"), ("qon-a-b#p2", "qon:a-b"), ("report-1-x#p2#1", "report:1-x")])
 def test_canonical_doc(spark, p, want):
     assert one(spark, T.canonical_doc("p"), p=p) == want
+
+
+@pytest.mark.parametrize("t,c,want", [("A reader may look", "", "reader"), ("The superannuation plan", "superannuation", ""), ("The superannuation plan", "plan", "superannuation"), ("It is so", "", "")])
+def test_plain_bad_word(spark, t, c, want):
+    assert one(spark, T.plain_bad_word("t", T.run_tokens("c", digits=False)), t=t, c=c) == want
+
+
+@pytest.mark.parametrize("t,want", [("It is not so", "not"), ("rather than that", "rather than"), ("a knot", ""), ("", "")])
+def test_contrast_word(spark, t, want):
+    assert one(spark, T.contrast_word("t"), t=t) == want

@@ -6,6 +6,7 @@ a docstring says otherwise.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -67,15 +68,22 @@ def quote_in(quote: C, context: C, text: C) -> Column:
     return F.coalesce((q != "") & F.contains(norm_quote(visible_text(context, text)), q), F.lit(False))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, though lambdas inside refer to it again and again."""
+    return F.transform(F.array(value), use)[0]
+
+
 def shingles(words: Column, n: int) -> Column:
     """All runs of n words, joined by spaces; none if there are fewer words."""
-    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    return bound(words, lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(none))
 
 
 def verbatim_run(text: C, refs: Column, n: int) -> Column:
     """The first run of n words of a text that stands in a row in any of the texts ``refs``; "" if none."""
     ref_runs = F.flatten(F.transform(F.coalesce(refs, F.array().cast("array<string>")), lambda r: shingles(run_tokens(F.coalesce(r, F.lit(""))), n)))
-    return F.coalesce(F.try_element_at(F.filter(shingles(run_tokens(text), n), lambda s: F.array_contains(ref_runs, s)), F.lit(1)), F.lit(""))
+    first = bound(ref_runs, lambda runs: F.try_element_at(F.filter(shingles(run_tokens(text), n), lambda s: F.array_contains(runs, s)), F.lit(1)))
+    return F.coalesce(first, F.lit(""))
 
 
 def syllables(word: C) -> Column:
@@ -87,8 +95,8 @@ def syllables(word: C) -> Column:
 
 def plain_bad_word(text: C, allowed: Column) -> Column:
     """The first word that is reader or would, or of four or more syllables and not among ``allowed``; "" if none."""
-    bad = F.filter(run_tokens(text, digits=False), lambda w: w.isin("reader", "would") | ((syllables(w) >= 4) & ~F.array_contains(allowed, w)))
-    return F.coalesce(F.try_element_at(bad, F.lit(1)), F.lit(""))
+    first = bound(allowed, lambda known: F.try_element_at(F.filter(run_tokens(text, digits=False), lambda w: w.isin("reader", "would") | ((syllables(w) >= 4) & ~F.array_contains(known, w))), F.lit(1)))
+    return F.coalesce(first, F.lit(""))
 
 
 def contrast_word(text: C) -> Column:
@@ -231,7 +239,7 @@ def unit_vector(vec: C) -> Column:
     """A vector over its length; a zero vector stays as it is."""
     v = _c(vec)
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return F.transform(v, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(x.cast("double")))
+    return bound(norm, lambda n: F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double"))))
 
 
 def dot(a: C, b: C) -> Column:

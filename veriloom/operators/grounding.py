@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -39,8 +39,7 @@ def located(quotes: DataFrame, passages: DataFrame, words: int = 8) -> DataFrame
     body = passages.select("pid", T.norm_quote(T.visible_text("context", "text")).alias("body"))
     words_of = F.split("body", " ")
     # Only ids and hashes are shuffled to find who meets; the texts join afterwards.
-    at = lambda w, i: F.xxhash64(F.slice(w, i, words))
-    hashes = F.when(F.size(words_of) >= words, F.transform(F.sequence(F.lit(1), F.size(words_of) - words + 1), lambda i: at(words_of, i)))
+    hashes = T.bound(words_of, lambda w: F.when(F.size(w) >= words, F.transform(F.sequence(F.lit(1), F.size(w) - words + 1), lambda i: F.xxhash64(F.slice(w, i, words)))))
     runs = body.select("pid", F.explode(F.array_distinct(hashes)).alias("h"))
     met = runs.join(keyed.where("run is not null").select("key", "pos", F.xxhash64(F.split("run", " ")).alias("h")), "h").select("key", "pos", "pid")
     short = keyed.where("run is null and one is not null").select("key", "pos", "one")
@@ -61,8 +60,13 @@ def _located_tiny(tiny: DataFrame, body: DataFrame) -> DataFrame:
     """Quotes of one or two words in all texts: their first letters meet the distinct word pairs of the corpus, and these their texts."""
     words = F.split("body", " ")
     pairs = body.select("pid", F.explode(F.array_distinct(F.when(F.size(words) == 1, words).otherwise(T.shingles(words, 2)))).alias("unit"))
-    starts = tiny.withColumn("gram", F.substring("q", 1, 3))
-    grams = F.flatten(F.transform(F.array(*(F.lit(n) for n in (1, 2, 3))), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length("unit") - n + 1, F.lit(1))), lambda i: F.substring(F.col("unit"), i, n))))
+    starts = tiny.withColumn("gram", F.substring("q", 1, 6))
+    sizes = sorted(r[0] for r in starts.select(F.char_length("gram")).distinct().collect())  # at most six
+
+    def of(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.char_length("unit") - n + 1, F.lit(1))), lambda i: F.substring(F.col("unit"), i, F.lit(n)))
+
+    grams = F.flatten(F.array(*(of(n) for n in sizes)))
     units = pairs.select("unit").distinct().select("unit", F.explode(F.array_distinct(grams)).alias("gram"))
     held = units.join(starts, "gram").where(F.contains("unit", "q")).select("unit", "key", "pos").distinct()
     return pairs.join(held, "unit").select("key", "pos", "pid")

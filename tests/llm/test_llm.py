@@ -129,6 +129,43 @@ def test_consensus_edges(spark):
     assert items.count() == 0
 
 
+RUNS = "item string, annotator string, verdict string, spread string, samples array<string>, at timestamp, row_id long"
+
+
+def votes_of(spark, runs, brief):
+    rows = [(i, a, v, s, x, dt.datetime(2024, 1, 1 + n), k) for n, (i, a, v, s, x, k) in enumerate(runs)]
+    got = consensus.judge_votes(spark.createDataFrame(rows, RUNS), spark.createDataFrame(brief, "item string, faith string, spread string, dissent string"))
+    return {(r["item"], r["annotator"], r["label"]): (round(r["n"], 6), round(r["alike"], 6)) for r in got.collect()}
+
+
+def test_judge_votes_are_all_counted_once(spark):
+    runs = [
+        ("a", "r1", "partial", "2/3", ["Partial", "absent", "partial"], 1), ("a", "r1", "partial", "2/3", ["Partial", "absent", "partial"], 1),  # one record twice
+        ("a", "r1", "faithful", "3/3", ["faithful"] * 3, 2), ("a", "r2", "partial", "2/3", None, 3), ("a", "r3", "error", None, None, 4),
+        ("b", "r1", "partial", "1/3", [], 5), ("c", "r1", "absent", "x", None, None), ("c", "r2", "absent", None, [None, "?"], None), (None, "r1", "absent", None, None, 6),
+    ]
+    got = votes_of(spark, runs, [("a", "Faithful", "4/10", "partial; absent, over-stated"), ("a", "Faithful", "4/10", "partial; absent, over-stated"), ("d", "absent", None, "partial"), (None, "absent", "1/2", None)])
+    sums = {}
+    for (item, _, label), (n, _) in got.items():
+        sums[item, label] = sums.get((item, label), 0) + n
+    assert got["a", "r1", "partial"] == (2, 2) and got["a", "r1", "faithful"] == (3, 3) and got["a", "r1", "absent"] == (1, 1)
+    assert got["a", "r2", "partial"] == (2, 2) and ("a", "r2", "overstated") in got and sum(n for (i, a, _), (n, _) in got.items() if (i, a) == ("a", "r2")) == 3
+    assert round(sum(n for (i, _), n in sums.items() if i == "a"), 5) == 10  # no vote twice, none lost
+    assert got["b", "r1", "partial"] == (1, 1) and got["b", "r1", "absent"] == (0.5, 0.125)  # two open votes, of any other label
+    assert sums["c", "absent"] == 2 and sums["d", "absent"] == 1 and sums["d", "partial"] == 1
+
+
+def test_consensus_query_reads_samples_and_dissent(spark, tmp_path):
+    from veriloom.llm import queries
+
+    t = dt.datetime(2024, 1, 1)
+    spark.createDataFrame([(1, "a", "partial", "AB", t)], "adj_id long, id string, verdict string, initials string, judged_at timestamp").write.parquet(f"{tmp_path}/adjudications.parquet")
+    spark.createDataFrame([("a", "x", "partial", "2/3", ["partial", "absent", "partial"], t, 1), ("a", "y", "partial", "2/3", None, t, 2)], "claim_id string, chain string, verdict string, spread string, samples array<string>, written_at timestamp, record_id long").write.parquet(f"{tmp_path}/chains.parquet")
+    spark.createDataFrame([("a", "partial", "4/6", "absent, contradicted")], "id string, faith string, spread string, dissent string").write.parquet(f"{tmp_path}/brief_rows.parquet")
+    got = queries.p4_consensus(spark, str(tmp_path)).first()
+    assert (got["verdict"], got["votes"], got["n_labels"], got["agreement"]) == ("partial", 5, 7, round(20 / 42, 6))
+
+
 @pytest.mark.parametrize("raw,want", [(" Faith-ful.\t", "faithful"), ("not present (absent)", "absent"), ("over-stated", "overstated"), ("partially", "partial"), ("contradicts", "contradicted"), ("?", None), (None, None)])
 def test_verdict_spellings(spark, raw, want):
     from pyspark.sql import functions as F

@@ -11,6 +11,9 @@ repeated rows count once; of an annotator's labels of an item the latest holds,
 to the greater row id; an item with one label gets that label; ties between labels go to the one
 with more votes, then to the order of ``labels``; an empty table gives an empty result; extra
 columns are ignored.
+
+Judge runs and brief rows become votes in :func:`judge_votes`; a vote known only to be one of
+several labels counts for each by its share.
 """
 
 from __future__ import annotations
@@ -41,33 +44,89 @@ def latest_labels(rows: DataFrame) -> DataFrame:
     return known.groupBy("item", "annotator").agg(F.max_by("label", F.struct("at", "row_id")).alias("label"))
 
 
+def spread_of(raw: Column) -> Column:
+    """A spread ``k/N`` as struct (k, n); null if it is none."""
+    k, n = (F.regexp_extract(raw, r"^\s*(\d{1,9})\s*/\s*(\d{1,9})\s*$", i).try_cast("long") for i in (1, 2))
+    return F.when((k <= n) & (n > 0), F.struct(k.alias("k"), n.alias("n")))
+
+
+def judge_votes(records: DataFrame, brief: DataFrame) -> DataFrame:
+    """Every vote of the judge, once: (item, annotator, label, n, alike), ``n`` votes of which ``alike`` is the sum of squared shares.
+
+    records (item, annotator, verdict, spread, samples, at, row_id): each sample of each record is a
+    vote; a record without samples gives k votes to its verdict and N-k open ones to any other; one
+    without a spread gives one. brief (item, faith, spread, dissent) pools the same records, so it adds no
+    second vote: it tells which labels the open votes have, and gives the votes (annotator ``brief``)
+    by which its N exceeds the records'. Of these votes, faith gets what its k lacks, each label of
+    dissent not seen yet gets one, and the rest is shared evenly among dissent, or all other labels
+    if none is named.
+    """
+    what = F.struct("item", "annotator", "verdict", "spread", "samples")
+    unnamed = F.when(F.col("row_id").isNull(), F.xxhash64("item", "annotator", "verdict", "at"))
+    once = records.where("item is not null and annotator is not null and annotator <> ''").groupBy("row_id", unnamed.alias("unnamed")).agg(F.max_by(what, F.struct("at", "verdict", "spread", "samples")).alias("x")).select("x.*")
+    samples = F.coalesce(F.filter(F.transform("samples", verdict_of), lambda v: v.isNotNull()), F.array().cast("array<string>"))
+    kn = F.coalesce(spread_of(F.col("spread")), F.struct(F.lit(1).cast("long").alias("k"), F.lit(1).cast("long").alias("n")))
+    sampled = F.transform(samples, lambda v: F.struct(v.alias("label"), F.lit(1).cast("long").alias("n"), F.lit(0).cast("long").alias("open")))
+    told = F.array(F.struct(verdict_of(F.col("verdict")).alias("label"), kn["k"].alias("n"), (kn["n"] - kn["k"]).alias("open")))
+    votes = checkpointed(once.select("item", "annotator", F.explode(F.when(F.size(samples) > 0, sampled).otherwise(told)).alias("v")).select("item", "annotator", "v.*").where("label is not null").groupBy("item", "annotator", "label").agg(F.sum("n").alias("n"), F.sum("open").alias("open")))
+
+    of = F.array(*(F.lit(v) for v in VERDICTS))
+    split = F.array_distinct(F.filter(F.transform(F.split(F.coalesce("dissent", F.lit("")), "[,;/|]"), verdict_of), lambda v: v.isNotNull()))
+    rows = brief.where("item is not null").select("item", F.struct(verdict_of(F.col("faith")).alias("faith"), spread_of(F.col("spread")).alias("kn"), split.alias("dissent")).alias("b"))
+    briefs = rows.where("b.faith is not null").groupBy("item").agg(F.max("b").alias("b"))
+    facts = votes.groupBy("item").agg(*(F.sum(F.when(F.col("label") == v, F.col("n")).otherwise(0)).alias(v) for v in VERDICTS), F.sum("open").alias("open"))
+    both = facts.join(briefs, "item", "full").select("item", F.transform(F.array(*VERDICTS), lambda x: F.coalesce(x, F.lit(0))).alias("seen"), F.coalesce("open", F.lit(0)).alias("open"), "b.faith", "b.kn", F.array_except("b.dissent", F.array("b.faith")).alias("dissent"))
+    at = lambda v: F.col("seen")[F.array_position(of, v).cast("int") - 1]
+    known = F.aggregate("seen", F.lit(0).cast("long"), lambda a, x: a + x)
+    unseen = lambda names: F.filter(names, lambda v: at(v) == 0)
+    both = both.withColumn("n", F.when(F.col("kn").isNotNull(), F.col("kn.n")).otherwise(known + F.size(unseen(F.concat(F.array("faith"), "dissent")))))
+    both = both.select("*", F.coalesce(F.greatest(F.col("n") - known - F.col("open"), F.lit(0)), F.lit(0)).alias("more")).withColumn("loose", F.col("open") + F.col("more")).where("loose > 0")
+    lacks = F.when(F.col("faith").isNull(), 0).otherwise(F.least("loose", F.greatest(F.coalesce("kn.k", F.lit(1)) - at(F.col("faith")), F.lit(0))))
+    both = both.withColumn("lacks", lacks).withColumn("names", F.when(F.size("dissent") > 0, F.col("dissent")).otherwise(F.filter(of, lambda v: ~v.eqNullSafe(F.col("faith")))))
+    both = both.withColumn("new", F.when(F.size("dissent") > 0, unseen(F.col("names"))).otherwise(F.array().cast("array<string>")))
+    both = both.withColumn("each", F.when(F.size("new") > 0, F.least(F.lit(1.0), (F.col("loose") - F.col("lacks")) / F.size("new"))).otherwise(0.0))
+    even = (F.col("loose") - F.col("lacks") - F.col("each") * F.size("new")) / F.size("names")
+    share = lambda v: (F.when(v.eqNullSafe(F.col("faith")), F.col("lacks")).otherwise(0) + F.when(F.array_contains("new", v), F.col("each")).otherwise(0) + F.when(F.array_contains("names", v), even).otherwise(0)) / F.col("loose")
+    shares = both.select("item", "more", F.transform(of, lambda v: F.struct(v.alias("label"), share(v).alias("share"))).alias("shares"))
+
+    free = F.filter("shares", lambda x: x["label"] != F.col("but"))
+    whole = F.aggregate(free, F.lit(0.0), lambda a, x: a + x["share"])
+    fair = F.transform(free, lambda x: F.struct(x["label"].alias("label"), F.when(whole > 1e-9, x["share"] / whole).otherwise(1 / F.size(free)).alias("share")))
+    opened = votes.where("open > 0").select("item", "annotator", F.col("label").alias("but"), F.col("open").alias("u")).join(shares, "item").select("item", "annotator", "u", F.explode(fair).alias("x"))
+    added = shares.where("more > 0").select("item", F.lit("brief").alias("annotator"), F.col("more").alias("u"), F.explode("shares").alias("x"))
+    loose = opened.unionByName(added).where("x.share > 1e-9").select("item", "annotator", "x.label", (F.col("u") * F.col("x.share")).alias("n"), (F.col("u") * F.col("x.share") * F.col("x.share")).alias("alike"))
+    return votes.select("item", "annotator", "label", F.col("n").cast("double").alias("n"), F.col("n").cast("double").alias("alike")).where("n > 0").unionByName(loose).groupBy("item", "annotator", "label").agg(F.sum("n").alias("n"), F.sum("alike").alias("alike"))
+
+
 def fit(labels: DataFrame, classes: tuple[str, ...] = VERDICTS, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """(items, annotators) of labels (item, annotator, label).
+    """(items, annotators) of labels (item, annotator, label), each row one label, or n labels as of :func:`judge_votes`.
 
     items: item, label, votes, n_labels, confidence, agreement. annotators: annotator, n_labels,
     reliability, guesses (a map from label to its share when guessing).
     """
     k = len(classes)
-    labels = checkpointed(labels.select("item", "annotator", "label"))
-    votes = labels.groupBy("item", "label").agg(F.count(F.lit(1)).alias("n"))
+    one = F.lit(1).cast("long")
+    labels = labels if "n" in labels.columns else labels.select("item", "annotator", "label", one.alias("n"), one.alias("alike"))
+    labels = checkpointed(labels.select("item", "annotator", "label", "n", "alike"))
+    votes = labels.groupBy("item", "label").agg(F.sum("n").alias("n"), F.sum("alike").alias("own"))
     per_item = W.partitionBy("item")
     start = votes.select("item", "label", (F.col("n") / F.sum("n").over(per_item)).alias("p"))
     posterior = start
-    counts = labels.groupBy("annotator").agg(F.count(F.lit(1)).alias("n_labels"))
+    counts = labels.groupBy("annotator").agg(F.sum("n").alias("n_labels"))
     params, prev = None, None
     for _ in range(rounds):
         by = labels.join(posterior, ["item", "label"])
         if params is None:  # at first the vote share stands for competence
-            comp = by.select("annotator", "label", F.col("p").alias("c"))
+            comp = by.select("annotator", "label", "n", F.col("p").alias("c"))
         else:
-            comp = by.join(params.select("annotator", "label", "theta", "xi"), ["annotator", "label"]).select("annotator", "label", (F.col("p") * F.col("theta") / (F.col("theta") + (1 - F.col("theta")) * F.col("xi"))).alias("c"))
-        cells = comp.groupBy("annotator", "label").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n"))
+            comp = by.join(params.select("annotator", "label", "theta", "xi"), ["annotator", "label"]).select("annotator", "label", "n", (F.col("p") * F.col("theta") / (F.col("theta") + (1 - F.col("theta")) * F.col("xi"))).alias("c"))
+        cells = comp.groupBy("annotator", "label").agg(F.sum(F.col("n") * F.col("c")).alias("c"), F.sum("n").alias("n"))
         own = W.partitionBy("annotator")
         theta = (F.sum("c").over(own) + PRIOR_RIGHT) / (F.sum("n").over(own) + PRIOR_RIGHT + PRIOR_WRONG)
         xi = (F.col("n") - F.col("c") + PRIOR_GUESS) / (F.sum(F.col("n") - F.col("c")).over(own) + k * PRIOR_GUESS)
         params = checkpointed(cells.select("annotator", "label", theta.alias("theta"), xi.alias("xi")))
         # A label's weight for its own class, over what a guess would give it anyway.
-        scores = labels.join(params, ["annotator", "label"]).groupBy("item", "label").agg(F.sum(F.log1p(F.col("theta") / ((1 - F.col("theta")) * F.col("xi")))).alias("s"))
+        scores = labels.join(params, ["annotator", "label"]).groupBy("item", "label").agg(F.sum(F.col("n") * F.log1p(F.col("theta") / ((1 - F.col("theta")) * F.col("xi")))).alias("s"))
         top = F.max("s").over(per_item)
         # Classes that nobody chose have score 0 each.
         rest = (F.lit(k) - F.count(F.lit(1)).over(per_item)) * F.exp(-top)
@@ -80,7 +139,7 @@ def fit(labels: DataFrame, classes: tuple[str, ...] = VERDICTS, rounds: int = RO
     order = F.array_position(F.array(*(F.lit(c) for c in classes)), F.col("label"))
     items = (
         posterior.join(votes, ["item", "label"]).groupBy("item")
-        .agg(F.max_by(F.struct("label", "p", "n"), F.struct(F.round("p", 9), "n", -order)).alias("x"), F.sum("n").alias("n_labels"), F.sum(F.col("n") * (F.col("n") - 1)).alias("alike"))
+        .agg(F.max_by(F.struct("label", "p", "n"), F.struct(F.round("p", 9), "n", -order)).alias("x"), F.sum("n").alias("n_labels"), F.sum(F.col("n") * F.col("n") - F.col("own")).alias("alike"))
         .select("item", F.col("x.label").alias("label"), F.col("x.n").alias("votes"), "n_labels", F.round("x.p", 6).alias("confidence"),
                 F.when(F.col("n_labels") > 1, F.round(F.col("alike") / (F.col("n_labels") * (F.col("n_labels") - 1)), 6)).alias("agreement"))
     )

@@ -45,10 +45,9 @@ def _adjudicated(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _judged(spark: SparkSession, d: str) -> DataFrame:
-    """Judge runs and the merged rows as further annotators."""
-    runs = table(spark, d, "chains").select(F.col("claim_id").alias("item"), F.concat(F.lit("run:"), "chain").alias("annotator"), consensus.verdict_of(F.col("verdict")).alias("label"), F.col("written_at").alias("at"), F.col("record_id").alias("row_id"))
-    brief = table(spark, d, "brief_rows").select(F.col("id").alias("item"), F.lit("brief").alias("annotator"), consensus.verdict_of(F.col("faith")).alias("label"), F.lit(None).cast("timestamp").alias("at"), F.xxhash64("id", "faith").alias("row_id"))
-    return runs.unionByName(brief)
+    """Every sample of the judge runs, with the brief rows for what the runs leave open."""
+    runs = table(spark, d, "chains").select(F.col("claim_id").alias("item"), F.concat(F.lit("run:"), "chain").alias("annotator"), "verdict", "spread", "samples", F.col("written_at").alias("at"), F.col("record_id").alias("row_id"))
+    return consensus.judge_votes(runs, table(spark, d, "brief_rows").select(F.col("id").alias("item"), "faith", "spread", "dissent"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -59,8 +58,9 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_consensus(spark: SparkSession, d: str) -> DataFrame:
     """Consensus, confidence and agreement of every claim over adjudicators and judge runs."""
-    labels = consensus.latest_labels(_adjudicated(spark, d).unionByName(_judged(spark, d)))
-    return consensus.fit(labels)[0].withColumnRenamed("item", "claim_id").withColumnRenamed("label", "verdict")
+    people = consensus.latest_labels(_adjudicated(spark, d)).withColumns({"n": F.lit(1.0), "alike": F.lit(1.0)})
+    items = consensus.fit(people.unionByName(_judged(spark, d)))[0]
+    return items.withColumns({c: F.round(c, 6) for c in ("votes", "n_labels")}).withColumnRenamed("item", "claim_id").withColumnRenamed("label", "verdict")
 
 
 def p4_reliability(spark: SparkSession, d: str) -> DataFrame:

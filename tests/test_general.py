@@ -38,6 +38,44 @@ def test_drift_empty_and_unified(spark):
     assert {tuple(sorted(r["fields"])) for r in drift.unified(df, drift.schema_changes(df)).collect()} == {("idx", "y")}
 
 
+def typed(df):
+    return drift.typed(drift.unified(df, drift.schema_changes(df)))
+
+
+def test_unified_casts_to_one_type(spark):
+    recs = [
+        {"idx": 0, "samples": ["a", "b"], "elapsed_s": 13.89, "spread": "3/5", "backend": "x", "passages": [{"id": "p1", "rank": 1}, "p2"], "quotes": ["one, two"], "n": 3, "bad": 1, "line_id": "q", "detail": {"on": True}},
+        {"idx": "1", "samples": "a, b", "elapsed_s": "10.3s", "spread": {"k": 3, "n": 5}, "backend": {"name": "x", "local": False}, "passages": "p1,p2", "quotes": "three, four", "n": "3", "bad": 2, "detail": {"on": "false"}},
+        {"idx": 2, "samples": "", "bad": "two", "detail": None},
+    ]
+    t = typed(lines(spark, *(("a", i, 1, r) for i, r in enumerate(recs))))
+    kinds = dict(t.dtypes)
+    a, b, c = sorted(t.collect(), key=lambda r: r["line_no"])
+    assert (kinds["idx"], kinds["samples"], kinds["elapsed_s"], kinds["spread"], kinds["n"], kinds["detail.on"]) == ("bigint", "array<string>", "double", "string", "bigint", "boolean")
+    assert a["samples"] == b["samples"] == ["a", "b"] and c["samples"] == [] and (a["elapsed_s"], b["elapsed_s"]) == (13.89, 10.3) and a["n"] == b["n"] == 3
+    assert a["spread"] == b["spread"] == "3/5" and a["backend"] == b["backend"] == "x" and json.loads(b["backend.rest"]) == {"local": False}
+    assert a["passages"] == b["passages"] == ["p1", "p2"] and a["passages.rest"] == ['{"rank": 1}', None] and b["quotes"] == ["three, four"]
+    assert (a["detail.on"], b["detail.on"], a["field.line_id"], a["line_id"]) == (True, False, "q", 0)
+    assert c["bad"] is None and [tuple(x) for x in c["uncast"]] == [("bad", '"two"', "no bigint")] and a["uncast"] == b["uncast"] == []
+
+
+def test_unified_renames_in_file_order(spark):
+    df = lines(spark, ("z", 0, 1, {"idx": 0, "zz": "v"}), ("y", 0, 2, {"idx": 0, "aa": "v"}), ("x", 0, 3, {"idx": 0, "zz": "v"}))
+    assert [set(r["fields"]) for r in drift.unified(df, drift.schema_changes(df)).collect()] == [{"idx", "zz"}] * 3
+    # A name used again for another field: neither value is lost.
+    df = lines(spark, ("a", 0, 1, {"idx": 0, "x": "v", "y": "w"}), ("b", 0, 2, {"idx": 0, "y": "w", "n": "v"}), ("c", 0, 3, {"idx": 0, "y": "w"}), ("d", 0, 4, {"idx": 0, "n": "w"}))
+    got = {r["file_name"]: r for r in typed(df).collect()}
+    assert got["b"]["n"] == "v" and [x["value"] for x in got["b"]["uncast"]] == ['"w"'] and got["c"]["n"] == got["d"]["n"] == "w"
+    # Series that end with different names share one.
+    two = df.sparkSession.createDataFrame([("t", "e", 0, 9, None, '{"idx": 0, "zz": "v"}', "x")], LINES)
+    df = lines(spark, ("a", 0, 1, {"idx": 0, "zz": "v"}), ("b", 0, 2, {"idx": 0, "aa": "v"})).unionByName(two)
+    assert len({frozenset(r["fields"]) for r in drift.unified(df, drift.schema_changes(df)).collect()}) == 1
+
+
+def test_typed_empty(spark):
+    assert typed(spark.createDataFrame([], LINES)).count() == 0
+
+
 def test_nested_children(spark):
     rows = [
         {"passages": ["p1", {"id": "p2", "rank": 1}], "detail": {"quotes": ["t0", {"text": "t1", "passage": "p2"}, {"text": "t2", "cite": {"passage": {"id": "p1"}}}, {"text": "t3", "cite": None}], "quote_passages": ["p9"]}},

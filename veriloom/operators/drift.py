@@ -20,14 +20,18 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window as W
 
 from veriloom.operators.nested import kind_of, parse_object
+from veriloom.sources.tables import checkpointed
 
 #: Share of the idx with both values for which these must be equal in a rename.
 RENAME_SHARE = 0.5
@@ -171,30 +175,193 @@ def changes(was: dict[str, list[str]], is_: dict[str, list[str]], facts: dict[tu
 
 
 def unified(lines: DataFrame, found: DataFrame) -> DataFrame:
-    """All complete records as one table: every field under its newest name, values as JSON text.
+    """All complete records under one set of names: series, file_name, line_no, line_id, fields (name to JSON text), uncast.
 
-    ``found`` is the result of :func:`schema_changes`. A name is carried forward along the renames
-    of its series; the map of renames per series is small and joined, not collected.
+    ``found`` is the result of :func:`schema_changes`. A name is carried forward along the renames of
+    its series in the order of the files, so one that is reversed later ends as it is in the last
+    file. Series that ended with different names for one field (linked by a rename of any series, never
+    both in one record) get the name that most series have. Of two fields of a record that end
+    under one name the one already called so holds, else the first by name; the other is in ``uncast``.
     """
-    renames = found.where("change_kind = 'renamed'").groupBy("series").agg(F.collect_list(F.struct("file_name", "field", "new_field")).alias("renames"))
-    base = lines.select("series", "file_name", "line_no", "line_id", "raw").join(renames, "series", "left")
+    found = checkpointed(found.where("change_kind = 'renamed'").select("series", "file_name", "field", "new_field"))
+    files = lines.where("series is not null and file_name is not null").groupBy("series", "file_name").agg(F.min(F.col("written_at").cast("timestamp")).alias("began"))
+    files = files.select("series", "file_name", F.row_number().over(W.partitionBy("series").orderBy("began", "file_name")).alias("pos"))
+    renames = found.join(files, ["series", "file_name"]).groupBy("series").agg(F.sort_array(F.collect_list(F.struct("pos", "field", "new_field"))).alias("renames"))
+    base = lines.select("series", "file_name", "line_no", "line_id", "raw").join(files, ["series", "file_name"], "left").join(renames, "series", "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for s, f, no, key, raw, ren in zip(b["series"], b["file_name"], b["line_no"], b["line_id"], b["raw"], b["renames"]):
+            for s, f, no, key, raw, pos, ren in zip(b["series"], b["file_name"], b["line_no"], b["line_id"], b["raw"], b["pos"], b["renames"]):
                 rec = parse_object(raw)
                 if rec is None:
                     continue
-                to = {r["field"]: r["new_field"] for r in (ren if ren is not None else [])}
-                values = {}
+                later = [(r["field"], r["new_field"]) for r in (ren if ren is not None else []) if r["pos"] > pos]
+                got = []
                 for k, v in split_fields(rec).items():
-                    seen = set()
-                    while k in to and k not in seen:
-                        seen.add(k)
-                        k = to[k]
-                    values[min(seen | {k}) if k in seen else k] = v if isinstance(v, str) else json.dumps(v, sort_keys=True)
-                rows.append((s, f, no, key, values))
-            yield pd.DataFrame(rows, columns=["series", "file_name", "line_no", "line_id", "fields"])
-
-    return base.mapInPandas(run, "series string, file_name string, line_no int, line_id long, fields map<string,string>")
+                    name = k
+                    for old, new in later:
+                        name = new if name == old else name
+                    got.append((name != k, k, name, json.dumps(v, sort_keys=True)))
+                values, lost = {}, []
+                for _, k, name, v in sorted(got):
+                    if name in values:
+                        lost.append({"field": name, "value": v, "why": f"{k} under a name in use"})
+                    else:
+                        values[name] = v
+                rows.append((s, f, no, key, values, lost))
+            yield pd.DataFrame(rows, columns=["series", "file_name", "line_no", "line_id", "fields", "uncast"])
+
+    named = checkpointed(base.mapInPandas(run, f"series string, file_name string, line_no int, line_id long, fields map<string,string>, uncast {UNCAST}"))
+    to = common_names(named, found)
+    if not to:
+        return named
+    names = F.create_map(*(F.lit(x) for p in sorted(to.items()) for x in p))
+    return named.withColumn("fields", F.transform_keys("fields", lambda k, _: F.coalesce(F.try_element_at(names, k), k)))
+
+
+def common_names(named: DataFrame, found: DataFrame) -> dict[str, str]:
+    """The name over all series of each name that has another; only names and pairs of names reach the driver."""
+    pairs = sorted(((r["n"], r["field"], r["new_field"]) for r in found.groupBy("field", "new_field").agg(F.count(F.lit(1)).alias("n")).collect()), key=lambda x: (-x[0], x[1:]))
+    linked = {x for p in pairs for x in p[1:]}
+    if not linked:
+        return {}
+    keys = named.select("series", F.array_intersect(F.map_keys("fields"), F.array(*(F.lit(x) for x in sorted(linked)))).alias("keys"))
+    held = {r["name"]: (r["n_series"], r["n"]) for r in keys.select("series", F.explode("keys").alias("name")).groupBy("name").agg(F.count_distinct("series").alias("n_series"), F.count(F.lit(1)).alias("n")).collect()}
+    both = keys.select("keys", F.explode("keys").alias("a")).select("a", F.explode("keys").alias("b")).where("a < b").distinct().collect()
+    apart = {(r["a"], r["b"]) for r in both}
+    group = {x: {x} for x in linked}
+    for _, a, b in pairs:
+        x, y = group[a], group[b]
+        if x is not y and not any((min(m, o), max(m, o)) in apart for m in x for o in y):
+            x |= y
+            for m in y:
+                group[m] = x
+    best = {x: min(group[x], key=lambda m: (*(-n for n in held.get(m, (0, 0))), m)) for x in linked}
+    return {x: m for x, m in best.items() if x != m}
+
+
+UNCAST = "array<struct<field:string,value:string,why:string>>"
+#: Numbers written as text, with or without seconds as their unit; members that name an object, the best first.
+NUMBER = re.compile(r"\s*([-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?)\s*(?:s|secs?|seconds?)?\s*", re.ASCII)
+MAIN = ("id", "text", "name")
+STATS = ("number", "whole", "like", "likewhole", "string", "boolean", "truth", "array", "object", "marks", "rest", "bare")
+
+
+def number_of(value: object) -> int | float | None:
+    """The number that a number or a text means, null if none or not finite."""
+    if isinstance(value, bool):
+        return None
+    if isinstance(value, str):
+        m = NUMBER.fullmatch(value)
+        if not m:
+            return None
+        value = int(m[1]) if m[1].lstrip("+-").isdigit() and len(m[1]) < 400 else float(m[1])
+    if isinstance(value, float) and math.isfinite(value) and value.is_integer() and abs(value) < 2**53:
+        return int(value)
+    return value if isinstance(value, int) or isinstance(value, float) and math.isfinite(value) else None
+
+
+def text_of(value: object) -> tuple[str | None, dict | None]:
+    """The text of a value and what it leaves of an object; (null, null) if an object or list has none."""
+    if isinstance(value, dict):
+        if set(value) == {"k", "n"} and all(isinstance(number_of(x), int) for x in value.values()):
+            return f"{number_of(value['k'])}/{number_of(value['n'])}", None
+        m = next((m for m in MAIN if isinstance(value.get(m), str)), None)
+        return (None, None) if m is None else (value[m], {k: v for k, v in value.items() if k != m} or None)
+    if isinstance(value, list):
+        return None, None
+    return (value if isinstance(value, str) else json.dumps(value)), None
+
+
+def stats_of(value: object) -> list[int]:
+    """What one value tells of the type of its field, in the order of STATS."""
+    kind, n = kind_of(value), number_of(value)
+    whole = isinstance(n, int) and -(2**63) <= n < 2**63
+    items = value if isinstance(value, list) else [value]
+    rest = any(text_of(x)[1] for x in items if isinstance(x, dict))
+    marks = kind == "array" and any("," in (text_of(x)[0] or "") or ";" in (text_of(x)[0] or "") for x in items)
+    return [int(x) for x in (kind == "number", kind == "number" and whole, kind == "string" and n is not None, kind == "string" and whole, kind == "string", kind == "boolean", kind == "string" and value.strip().lower() in ("true", "false"), kind == "array", kind == "object", marks, rest, kind == "object" and text_of(value)[0] is None)]
+
+
+def type_of(n: dict[str, int]) -> str:
+    """The one type of a field from its summed stats: a list if any is one, the number or truth value that most mean, else text."""
+    plain = n["number"] + n["string"] + n["boolean"]
+    if n["array"]:
+        return "array<string>"
+    if n["number"] and not n["object"] and 2 * (n["number"] + n["like"]) >= plain:
+        return "bigint" if n["whole"] + n["likewhole"] == n["number"] + n["like"] else "double"
+    if n["boolean"] and not n["object"] and 2 * (n["boolean"] + n["truth"]) >= plain:
+        return "boolean"
+    return "json" if n["object"] and n["bare"] == n["object"] and not plain else "string"
+
+
+def cast(value: object, to: str, marks: bool) -> tuple[object, object]:
+    """(value in the type, rest of its objects); (null, null) if it cannot be cast without loss. ``marks``: commas do not separate."""
+    if to == "json":
+        return json.dumps(value, sort_keys=True), None
+    if to == "array<string>":
+        items = value if isinstance(value, list) else [value] if marks or not isinstance(value, str) else [x.strip() for x in re.split("[,;]", value)]
+        items = [x for x in items if x != ""] if isinstance(value, str) else items
+        got = [(None, None) if x is None else text_of(x) for x in items]
+        if any(t is None and x is not None for x, (t, _) in zip(items, got)):
+            return None, None
+        return [t for t, _ in got], ([r and json.dumps(r, sort_keys=True) for _, r in got] if any(r for _, r in got) else None)
+    if to == "boolean":
+        return (value if isinstance(value, bool) else {"true": True, "false": False}.get(value.strip().lower()) if isinstance(value, str) else None), None
+    if to in ("bigint", "double"):
+        n = number_of(value)
+        if n is None or to == "bigint":
+            return (n if isinstance(n, int) and -(2**63) <= n < 2**63 else None), None
+        return (float(n) if isinstance(n, float) or abs(n) < 2**1000 and int(float(n)) == n else None), None
+    text, rest = text_of(value)
+    return text, rest and json.dumps(rest, sort_keys=True)
+
+
+def typed(records: DataFrame) -> DataFrame:
+    """The records of :func:`unified` as typed columns, one for each field: bigint, double, boolean, string or array<string>.
+
+    Text with commas becomes a list where others are lists (unless the items of these hold
+    commas), text such as ``10.3s`` a number where others are numbers, {k, n} ``k/n``. An object becomes its id,
+    text or name, and its other members stay as JSON text in ``<field>.rest``, in a list at the same place.
+    What cannot be cast is null in its column and stands in ``uncast`` with its JSON text. Only one row of
+    counts for each field reaches the driver. A field called like a key column gets ``field.`` before its name.
+    """
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sums: dict[str, list[int]] = {}
+            for fields in b["fields"]:
+                for k, v in dict(fields).items():
+                    sums[k] = [x + y for x, y in zip(sums.get(k, [0] * len(STATS)), stats_of(json.loads(v)))]
+            yield pd.DataFrame([(k, *v) for k, v in sums.items()], columns=["field", *STATS])
+
+    seen = records.select("fields").mapInPandas(look, "field string, " + ", ".join(f"{s} long" for s in STATS)).groupBy("field").agg(*(F.sum(s).alias(s) for s in STATS))
+    stats = {r["field"]: r.asDict() for r in seen.collect()}
+    keys = ("series", "file_name", "line_no", "line_id", "uncast")
+    name = {f: f"field.{f}" if f.lower() in keys else f for f in stats}
+    types = {f: (type_of(n), bool(n["marks"])) for f, n in sorted(stats.items())}
+    rests = {f: "array<string>" if types[f][0] == "array<string>" else "string" for f in types if stats[f]["rest"] and types[f][0] in ("array<string>", "string")}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out, lost = [], []
+            for fields, before in zip(b["fields"], b["uncast"]):
+                row, bad = {}, [dict(x) for x in before]
+                for f, raw in dict(fields).items():
+                    got, rest = cast(json.loads(raw), *types[f])
+                    if got is None:
+                        bad.append({"field": f, "value": raw, "why": f"no {types[f][0]}"})
+                    else:
+                        row[name[f]] = got
+                        if rest is not None:
+                            row[f"{name[f]}.rest"] = rest
+                out.append(json.dumps(row))
+                lost.append(bad)
+            yield b[["series", "file_name", "line_no", "line_id"]].assign(row=out, uncast=lost)
+
+    kinds = {"json": StringType(), "string": StringType(), "bigint": LongType(), "double": DoubleType(), "boolean": BooleanType(), "array<string>": ArrayType(StringType())}
+    columns = [x for f, (t, _) in types.items() for x in [StructField(name[f], kinds[t]), *([StructField(f"{name[f]}.rest", kinds[rests[f]])] if f in rests else [])]]
+    cast_rows = records.mapInPandas(run, f"series string, file_name string, line_no int, line_id long, row string, uncast {UNCAST}")
+    if not columns:
+        return cast_rows.drop("row")
+    return cast_rows.select("series", "file_name", "line_no", "line_id", F.from_json("row", StructType(columns)).alias("x"), "uncast").select("series", "file_name", "line_no", "line_id", "x.*", "uncast")

@@ -22,9 +22,9 @@ def p3_changes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_unified(spark: SparkSession, d: str) -> DataFrame:
-    """All complete records in one table, fields under their newest names."""
+    """All complete records in one table of typed columns, each field under one name, with what could not be cast."""
     lines = table(spark, d, "chain_lines")
-    return drift.unified(lines, drift.schema_changes(lines))
+    return drift.typed(drift.unified(lines, drift.schema_changes(lines)))
 
 
 def _children(spark: SparkSession, d: str) -> DataFrame:

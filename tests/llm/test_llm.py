@@ -236,6 +236,25 @@ def test_scanned_pages(spark):
     assert para["p0"] == "Our part-time platform reviewed the costume in Harrow. The" and para["p1"] == "The modest plan."
 
 
+def test_words_of_three_confusions_meet(spark):
+    rng = random.Random(5)
+    words = ["momentum", "commitment", "communal", "aboriginal", "harbour", "wilderness", "kindling", "dominion", "summarily"]
+    fixed = [("rnornenturn", "momentum"), ("cornrnitrnent", "commitment"), ("oboriginol", "aboriginal"), ("hornmcl", "hammd")]
+    made = []
+    for w in words * 30:
+        out, i, left = "", 0, 3
+        while i < len(w):
+            hits = [(r, x) for r, x in scans.CONFUSIONS if w.startswith(r, i)]
+            r, x = rng.choice(hits) if left and hits and rng.random() < 0.4 else (w[i], w[i])
+            left -= r != x
+            out, i = out + x, i + len(r)
+        made.append((out, w))
+    for read, right in fixed[:3] + made:
+        assert scans.distance(read, right) <= scans.REACH + 1e-9 and scans.confusion_keys(read, True) & scans.confusion_keys(right, False)
+    got = scans.candidates(spark.createDataFrame([(r, 1) for r, _ in fixed], "w string, n long"), spark.createDataFrame([(w, 9) for w in words], "c string, n long"))
+    assert {(r["w"], r["c"]) for r in got.collect()} == set(fixed[:3])
+
+
 def test_scans_empty(spark):
     texts, scan = repaired(spark, [], ["a"])
     none = spark.createDataFrame([], "rec string, ord long, doc string, text string")

@@ -6,9 +6,9 @@
    the pages of their document, also when misread.
 3. The other lines are joined. A word broken across lines is the form, with or without the hyphen,
    that the lexicon knows best.
-4. Words that the lexicon does not know meet it in a symmetric-delete index: both sides, with
-   letters that scanners confuse folded together, are joined on themselves and on each form with
-   one letter deleted. A weighted edit distance, with the confusion pairs cheap, ranks the
+4. Words that the lexicon does not know meet it in a symmetric index: both sides, with letters
+   that scanners confuse folded together, are joined on themselves and on each form with two
+   (readings) or one (right forms) of the other confusion pairs replaced. A weighted edit distance, with the confusion pairs cheap, ranks the
    candidates, and the word pairs with the neighbours on both sides pick the repair.
 
 The commonest words, at most ``COMMON``, are sent to all tasks to keep known words out of the
@@ -68,22 +68,41 @@ def fold(word: str) -> str:
     return word.translate(_FOLDED)
 
 
-def delete_keys(word: str, read: bool) -> set[str]:
-    """The folded word and each form of it with one letter deleted.
+def _put(word: str, by: dict[str, list[str]], times: int) -> set[str]:
+    """The word and each form of it with up to ``times`` separate runs of letters replaced as ``by`` says."""
+    out, open_ = {word}, [("", 0, times)]
+    while open_:
+        done, i, left = open_.pop()
+        for j in range(i, len(word)):
+            for k in (1, 2):
+                for to in by.get(word[j : j + k], ()) if j + k <= len(word) else ():
+                    form = done + word[i:j] + to
+                    out.add(form + word[j + k :])
+                    if left > 1:
+                        open_.append((form, j + k, left - 1))
+    return out
+
+
+@lru_cache(maxsize=1)
+def _unfolded() -> tuple[dict[str, list[str]], dict[str, list[str]]]:
+    """The confusion pairs that folding leaves apart: readings to right forms, and the reverse."""
+    back: dict[str, list[str]] = {}
+    forth: dict[str, list[str]] = {}
+    for right, read in CONFUSIONS:
+        if fold(right) != fold(read):
+            back.setdefault(read, []).append(right)
+            forth.setdefault(right, []).append(read)
+    return back, forth
+
+
+def confusion_keys(word: str, read: bool) -> set[str]:
+    """The folded forms under which a reading and a right form within ``REACH`` meet.
 
-    Of a reading also the folded forms in which one run of letters is put right by a confusion pair
-    of more than one letter.
+    Of the up to three confusion pairs between them that folding leaves apart, two are put right in
+    the reading and one is made in the right form; no other edit is within reach.
     """
-    f = fold(word)
-    keys = {f} | {f[:i] + f[i + 1 :] for i in range(len(f))}
-    if read:
-        for right, wrong in CONFUSIONS:
-            if len(right) != 1 or len(wrong) != 1:
-                i = word.find(wrong)
-                while i >= 0:
-                    keys.add(fold(word[:i] + right + word[i + len(wrong) :]))
-                    i = word.find(wrong, i + 1)
-    return keys
+    back, forth = _unfolded()
+    return {fold(x) for x in (_put(word, back, 2) if read else _put(word, forth, 1))}
 
 
 def clean_page(text: str) -> str:
@@ -103,7 +122,7 @@ def _confusions() -> dict[str, list[str]]:
 
 def distance(read: str, right: str, limit: float = REACH) -> float:
     """The weighted edit distance of a reading from a right form; beyond ``limit`` any greater number."""
-    if abs(len(read) - len(right)) > 2:
+    if abs(len(read) - len(right)) > 3:
         return limit + 1
     by = _confusions()
     n, m = len(read), len(right)
@@ -249,11 +268,11 @@ def page_parts(scans: DataFrame, heads: DataFrame, common: frozenset[str]) -> Da
 
 
 def candidates(unknown: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Repairs of unknown words (w, n) from known ones (c, n): w, c, cost, n; by symmetric-delete join."""
+    """Repairs of unknown words (w, n) from known ones (c, n): w, c, cost, n; by a join on the keys of both."""
     def keyed(name: str, read: bool):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                rows = [(k, w, n) for w, n in zip(b[name], b["n"]) for k in delete_keys(w, read)]
+                rows = [(k, w, n) for w, n in zip(b[name], b["n"]) for k in confusion_keys(w, read)]
                 yield pd.DataFrame(rows, columns=["key", name, "n"])
         return run
 

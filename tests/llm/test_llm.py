@@ -336,6 +336,13 @@ def test_languages_on_held_out_texts(spark):
     assert segs == [(0, "en"), (1, "fr")]
 
 
+def test_samples_are_bounded_whatever_the_copies(spark):
+    rows = [(f"text {i % 40}" if i % 3 else "copied", "en") for i in range(600)] + [("copied", "de"), ("other", "de")]
+    got = langid.drawn(spark.createDataFrame(rows, "text string, code string"), "code", 10)
+    assert got.groupby("code").size().to_dict() == {"de": 2, "en": 10} and not got.duplicated().any()
+    assert len(langid.drawn(spark.createDataFrame(rows, "text string, code string"), "code", 100)) == 43
+
+
 def test_languages_without_labels(spark):
     df = spark.createDataFrame([(1, "Some text here now.", None)], "doc_id long, text string, lang string")
     assert langid.unnamed_languages(df).count() == 0

@@ -2,7 +2,7 @@
 
 A sparse multinomial logistic regression on TF-IDF character n-grams is trained by
 follow-the-regularised-leader with an elastic net, then calibrated by a temperature. Training uses
-a bounded sample of labelled rows (``per_language`` documents of each, whole texts); later
+a bounded sample of labelled rows (``per_language`` distinct texts of each, whole); later
 fits leave out sentences that the one before gives another language, since labels may be wrong and
 texts mixed.
 Document frequencies are counted over all documents. Every sentence of every document is then
@@ -37,7 +37,7 @@ BITS = 16
 DIM = 1 << BITS
 #: Orders of the n-grams, from one on.
 ORDERS = (1, 2, 3)
-#: Labelled documents of each language in the training sample, and passes over it.
+#: Distinct labelled texts of each language in the training sample, at most, and passes over it.
 PER_LANGUAGE, EPOCHS = 400, 3
 #: Follow-the-regularised-leader: step, smoothing, and the two penalties of the elastic net.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-3, 1e-3
@@ -270,15 +270,25 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[int, np.n
     return n, np.log((1 + n) / (1 + df[:-1])) + 1.0
 
 
+def drawn(rows: DataFrame, key: str, most: int) -> pd.DataFrame:
+    """At most ``most`` distinct texts of each value of ``key`` in rows (text, key): those of the least hashes.
+
+    Only hashes are sorted; just the drawn texts, each once, come to the driver.
+    """
+    from pyspark.sql.window import Window as W
+
+    hashed = rows.select("text", key, F.xxhash64("text").alias("h"))
+    least = hashed.select(key, "h").distinct().withColumn("at", F.row_number().over(W.partitionBy(key).orderBy("h"))).where(F.col("at") <= most).select(key, "h")
+    texts = hashed.join(F.broadcast(least), [key, "h"]).groupBy(key, "h").agg(F.min("text").alias("text"))
+    return texts.select("text", key).toPandas().sort_values([key, "text"], kind="stable", ignore_index=True)
+
+
 def fitted(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray, float]:
-    """A model trained on a sample of about ``per_language`` labelled documents of each language."""
+    """A model trained on at most ``per_language`` distinct labelled texts of each language."""
     labelled = docs.select("text", label_code(F.col("lang")).alias("code")).where("code is not null and length(trim(text)) > 0")
-    sizes = {r["code"]: r["n"] for r in labelled.groupBy("code").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not sizes:
+    sample = drawn(labelled, "code", per_language)
+    if sample.empty:
         return [], np.zeros((DIM + 1, 0)), 1.0
-    share = F.create_map(*(x for c, n in sizes.items() for x in (F.lit(c), F.lit(per_language / n))))
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / float(1 << 20)
-    sample = labelled.where(draw < share[F.col("code")]).toPandas().sort_values(["code", "text"], kind="stable")
     _, idf = document_frequencies(docs)
     return train(sample, idf)
 

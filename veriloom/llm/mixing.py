@@ -34,7 +34,7 @@ from pyspark.sql.window import Window as W
 from veriloom.llm import bpe, langid
 from veriloom.sources.tables import checkpointed
 
-#: Labelled documents of each source in the classifier's sample; steps of the fit, and the relative gap that ends it.
+#: Distinct labelled texts of each source in the classifier's sample, at most; steps of the fit, and the relative gap that ends it.
 PER_SOURCE, STEPS, CLOSE = 150, 60, 1e-4
 #: Bins of the histogram of hashes; sources that mixes may name.
 BINS, SOURCES_MOST = 4096, 10_000
@@ -43,9 +43,7 @@ BINS, SOURCES_MOST = 4096, 10_000
 def _posteriors(docs: DataFrame, missing: DataFrame, sources: list[str]) -> DataFrame:
     """(doc_id, q) for documents without a source: posteriors of a classifier trained on labelled ones."""
     labelled = docs.where(F.col("source").isin(sources) & (F.length("text") > 0)).select("text", "source")
-    sizes = {r["source"]: r["n"] for r in labelled.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
-    share = F.create_map(*(x for s in sources for x in (F.lit(s), F.lit(min(1.0, PER_SOURCE / max(1, sizes.get(s, 0)))))))
-    sample = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / float(1 << 20) < share[F.col("source")]).toPandas()
+    sample = langid.drawn(labelled, "source", PER_SOURCE)
     y = np.array([sources.index(s) for s in sample["source"]], int)
     examples = []
     for ids in langid.part_ids(sample["text"].tolist()):

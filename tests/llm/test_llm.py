@@ -204,6 +204,12 @@ def test_turns_alike_in_any_blocks(spark, block):
     assert found_turns(spark, ROWS, block) == [(1, 3, "P0"), (5, 6, "P2"), (7, 7, "P1"), (8, 8, "P3"), (10, 10, "P0")]
 
 
+@pytest.mark.parametrize("marks", ["[]", "<>", "()", "**"])
+def test_long_notes_are_no_speech(spark, marks):
+    note = marks[0] + "a long noise of chairs " * 5 + "outside" + marks[1]
+    assert found_turns(spark, [(0, "LORNE", "chair", "I open."), (1, "McVAY, Dee", None, note), (2, "LORNE", "chair", "Thank you.")]) == [(0, 2, "P0")]
+
+
 def test_turn_speech_is_clean(spark):
     people = roster(spark)
     df = spark.createDataFrame([("d/s#t0", 1, "LORNE", "chair", "[00:01:02] Ada LORNE: The the plan, um... is you know – good [coughs] now.", "hearing"), ("x", 2, None, None, "no", "qon"), ("d/s#t0", 0, "LORNE", "chair", "Old text.", "hearing"), ("d/s#t1", 3, None, None, None, "hearing")], PASSAGE)

@@ -40,7 +40,7 @@ BLOCK, ROSTER_MOST = 1000, 100_000
 ROUNDS = 1
 
 TIME = r"[<\[(]?(?:\d{1,3}:\d{2}(?::\d{2})?(?:[.,]\d{1,3})?|\d{1,4}m\d{1,2}s)[>\])]?(?:\s*-->)?"
-SPLIT = re.compile(rf"(?P<word>[^\W\d_](?:[\w'’-]*[^\W_])?)|(?P<time>{TIME})|(?P<note>\[[^\[\]\n]{{1,80}}\]|<[^<>\n]{{1,80}}>|\*[^*\n]{{1,80}}\*|[♪♫]+)|(?P<paren>\([^()\n]{{1,80}}\))|(?P<number>[^\W_](?:[\w'’-]*[^\W_])?)|(?P<colon>:)|(?P<punct>[^\s\w])")
+SPLIT = re.compile(rf"(?P<word>[^\W\d_](?:[\w'’-]*[^\W_])?)|(?P<time>{TIME})|(?P<note>\[[^\[\]\n]+\]|<[^<>\n]+>|\*[^*\n]{{1,80}}\*|\*(?=\S)[^*\n]{{81,}}(?<=\S)\*|[♪♫]+)|(?P<paren>\([^()\n]+\))|(?P<number>[^\W_](?:[\w'’-]*[^\W_])?)|(?P<colon>:)|(?P<punct>[^\s\w])")
 STATES = ("NAME", "COLON", "TIME", "NOTE", "FILL", "SPEECH")
 OBS = ("time", "note", "paren", "filler", "phrase", "name", "initial", "word", "colon", "punct")
 S, O = len(STATES), len(OBS)  # noqa: E741

@@ -70,6 +70,32 @@ def test_spans_hot_phrase_by_window(spark):
     assert got == brute_shared(texts, 20)
 
 
+def test_automaton_alone_tells_the_places(spark, monkeypatch):
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    same = text(60)
+    rows = [(11, 1, 0, text(7) + same + text(20)), (12, 2, 50, text(33) + same + text(5)), (11, 1, 90, same)]
+    phrases = [same[20:28]]
+    assert set(spans.shared_windows(phrases, rows, 20, 8)) == {(11, 1, 7 + 8, 7 + 40), (12, 2, 50 + 33 + 8, 50 + 33 + 40), (11, 1, 98, 130)}
+    # A phrase counts wherever the automaton finds it, not only where it was chosen; without the automaton nothing is found.
+    assert not list(spans.shared_windows([], rows, 20, 8))
+    none = np.zeros(0, np.int64)
+    monkeypatch.setattr(spans, "places", lambda auto, pieces: (none, none))
+    assert not list(spans.shared_windows(phrases, rows, 20, 8))
+
+
+@pytest.mark.parametrize("piece,held,hot", [(30, 1 << 22, 20_000), (30, 120, 20_000), (50, 200, 2), (4096, 1, 1), (1, 500, 4)])
+def test_spans_alike_in_any_pieces_and_shards(spark, monkeypatch, piece, held, hot):
+    rng = random.Random(piece + held)
+    base = ["".join(rng.choice("ab c") for _ in range(rng.randint(30, 200))) for _ in range(5)]
+    texts = [rng.choice(base)[rng.randint(0, 30) :] + rng.choice(base)[: rng.randint(0, 90)] for _ in range(14)] + base
+    monkeypatch.setattr(spans, "PIECE", piece)
+    monkeypatch.setattr(spans, "HELD", held)
+    df = texts_of(spark, texts)
+    got = {r["rec"]: r["n_shared"] for r in spans.shared_spans(df, span=20, anchor=8, hot=hot).collect()}
+    assert got == brute_shared(texts, 20)
+
+
 def test_spans_edges(spark):
     long_ = "x y z " * 60
     df = spark.createDataFrame([("p:a", 1, long_), ("p:a", 2, "short"), ("p:b", 1, long_), ("q:1#0", 1, long_), (None, 1, long_), ("p:c", 1, None)], REC)

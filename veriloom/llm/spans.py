@@ -33,10 +33,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from veriloom.sources.tables import checkpointed
 
 SPAN, ANCHOR = 160, 64
 #: Windows of one piece of a text, and pieces with one phrase beyond which they are spread over several shards.
 PIECE, HOT = 4096, 20_000
+#: Tasks over which the pieces of one phrase are spread while they are counted.
+SALTS = 64
 #: Phrases of one automaton, characters hashed at a time, and characters that a home's pieces may hold in memory.
 PHRASES, CHUNK, HELD = 4_000, 1 << 21, 1 << 22
 POS_BITS = np.uint64(31)
@@ -195,16 +200,19 @@ def shared_spans(texts: DataFrame, span: int = SPAN, anchor: int = ANCHOR, hot:
             held = {(i, h) for i, h, _, _, _ in anchors_of([x[3] for x in cut], span, anchor)}
             yield pd.DataFrame([(*cut[i][:3], h) for i, h in held], columns=["t1", "t2", "piece", "h"])
 
-    found = long_.mapInPandas(find, "t1 long, t2 long, piece int, h long")
-    home = F.min(F.struct("t1", "t2", "piece"))
-    recurring = found.groupBy("h").agg(home.alias("home"), F.max(F.struct("t1", "t2")).alias("other"), F.count(F.lit(1)).alias("n")).where("home.t1 <> other.t1 or home.t2 <> other.t2")
+    # Shuffled once, for the counts and for the way back, with the pieces of a common phrase over SALTS tasks.
+    found = long_.mapInPandas(find, "t1 long, t2 long, piece int, h long").withColumn("salt", F.pmod(F.xxhash64("t1", "piece"), F.lit(SALTS)))
+    found = found.where("h is not null and salt is not null").repartition("h", "salt")
+    part = found.groupBy("h", "salt").agg(F.min(F.struct("t1", "t2", "piece")).alias("least"), F.max("t1").alias("most"), F.count(F.lit(1)).alias("n"))
+    every = W.partitionBy("h")  # of one phrase, SALTS rows at most
+    part = part.select("h", "salt", F.min("least").over(every).alias("home"), F.max("most").over(every).alias("most"), F.sum("n").over(every).alias("n"))
     spread = F.when(F.col("n") > hot, F.ceil(F.col("n") / hot)).otherwise(1).cast("int")
-    recurring = recurring.select("h", "home", spread.alias("shards"))
+    recurring = part.where("home.t1 <> most").select("h", "salt", "home", spread.alias("shards"))
     own = F.struct("t1", "t2", "piece") == F.col("home")
     # A home's piece goes to all shards of its phrases, to bring them; any other to one.
-    routes = found.join(recurring, "h").select("t1", "t2", "piece", "h", "home", "shards", own.alias("own"))
+    routes = found.join(recurring, ["h", "salt"]).select("t1", "t2", "piece", "h", "home", "shards", own.alias("own"))
     routes = routes.withColumn("shard", F.explode(F.when(F.col("own"), F.sequence(F.lit(0), F.col("shards") - 1)).otherwise(F.array(F.pmod(F.xxhash64("t1", "piece"), F.col("shards")).cast("int")))))
-    routes = routes.groupBy("t1", "t2", "piece", "home", "shards", "shard").agg(F.collect_list(F.when(F.col("own"), F.col("h"))).alias("hs"))
+    routes = routes.repartition("t1", "t2").groupBy("t1", "t2", "piece", "home", "shards", "shard").agg(F.collect_list(F.when(F.col("own"), F.col("h"))).alias("hs"))
     at = F.col("piece") * PIECE
     routed = long_.join(routes, ["t1", "t2"]).select("home", "shards", "shard", "t1", "t2", at.alias("offset"), F.substring("text", at + 1, F.lit(PIECE + span - 1)).alias("ctx"), "hs")
     routed = routed.withColumn("home", F.xxhash64("home")).repartition("home", "shards", "shard").sortWithinPartitions("home", "shards", "shard", F.size("hs").desc())
@@ -251,7 +259,7 @@ def shared_spans(texts: DataFrame, span: int = SPAN, anchor: int = ANCHOR, hot:
         if rows:
             yield digested() if wide or key[1] > 1 else compared()
 
-    located = routed.mapInPandas(locate, "t1 long, t2 long, start int, end int, w1 long, w2 long")
+    located = checkpointed(routed.mapInPandas(locate, "t1 long, t2 long, start int, end int, w1 long, w2 long"))
     usual = located.where("w1 is null").select("t1", "t2", "start", "end")
     digests = located.where("w1 is not null")
     twice = digests.groupBy("w1", "w2").agg(F.min(F.struct("t1", "t2")).alias("x"), F.max(F.struct("t1", "t2")).alias("y")).where("x <> y").select("w1", "w2")

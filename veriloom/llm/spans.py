@@ -187,7 +187,7 @@ def _union_length(iv: Column) -> Column:
 def shared_spans(texts: DataFrame, span: int = SPAN, anchor: int = ANCHOR, hot: int = HOT) -> DataFrame:
     """For each record of ``texts`` (rec, ord, text): rec, n_chars, n_shared, n_copies."""
     a1, a2 = F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(7), "text").alias("t2")
-    keyed = texts.where("rec is not null and text is not null").select("rec", "ord", a1, a2, "text")
+    keyed = texts.where("rec is not null and text is not null").select("rec", "ord", a1, a2, "text", F.char_length("text").alias("n_chars"))
     # Names meet digests only, so each text is shuffled once, by its digest; superseded texts fall out in the join.
     recs = keyed.groupBy("rec").agg(F.max(F.struct("ord", "t1", "t2")).alias("x")).select("rec", "x.t1", "x.t2")
     copies = recs.groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("n_copies"))
@@ -202,7 +202,7 @@ def shared_spans(texts: DataFrame, span: int = SPAN, anchor: int = ANCHOR, hot:
 
     # Shuffled once, for the counts and for the way back, with the pieces of a common phrase over SALTS tasks.
     found = long_.mapInPandas(find, "t1 long, t2 long, piece int, h long").withColumn("salt", F.pmod(F.xxhash64("t1", "piece"), F.lit(SALTS)))
-    found = found.where("h is not null and salt is not null").repartition("h", "salt")
+    found = found.where("t1 is not null and t2 is not null and h is not null and salt is not null").repartition("h", "salt")
     part = found.groupBy("h", "salt").agg(F.min(F.struct("t1", "t2", "piece")).alias("least"), F.max("t1").alias("most"), F.count(F.lit(1)).alias("n"))
     every = W.partitionBy("h")  # of one phrase, SALTS rows at most
     part = part.select("h", "salt", F.min("least").over(every).alias("home"), F.max("most").over(every).alias("most"), F.sum("n").over(every).alias("n"))
@@ -265,7 +265,8 @@ def shared_spans(texts: DataFrame, span: int = SPAN, anchor: int = ANCHOR, hot:
     twice = digests.groupBy("w1", "w2").agg(F.min(F.struct("t1", "t2")).alias("x"), F.max(F.struct("t1", "t2")).alias("y")).where("x <> y").select("w1", "w2")
     hot_windows = digests.join(twice, ["w1", "w2"]).select("t1", "t2", "start", "end")
     parts = usual.unionByName(hot_windows).groupBy("t1", "t2").agg(F.collect_list(F.struct("start", "end")).alias("iv")).select("t1", "t2", _union_length(F.col("iv")).alias("part"))
-    sized = whole.select("t1", "t2", "n_copies", F.char_length("text").alias("n_chars")).join(parts, ["t1", "t2"], "left")
+    sizes = keyed.groupBy("t1", "t2").agg(F.first("n_chars").alias("n_chars")).join(copies, ["t1", "t2"])  # without the texts
+    sized = sizes.join(parts, ["t1", "t2"], "left")
     amount = F.when((F.col("n_copies") > 1) & (F.col("n_chars") >= span), F.col("n_chars")).otherwise(F.coalesce("part", F.lit(0)))
     per_text = sized.select("t1", "t2", "n_chars", "n_copies", amount.alias("n_shared"))
     return recs.join(per_text, ["t1", "t2"]).select("rec", "n_chars", "n_shared", "n_copies")

@@ -236,6 +236,15 @@ def test_long_notes_are_no_speech(spark, marks):
     assert found_turns(spark, [(0, "LORNE", "chair", "I open."), (1, "McVAY, Dee", None, note), (2, "LORNE", "chair", "Thank you.")]) == [(0, 2, "P0")]
 
 
+def test_decoding_alike_alone_and_together(monkeypatch):
+    rng = random.Random(8)
+    seqs = [[rng.randrange(turns.O) for _ in range(rng.randint(0, 40))] for _ in range(60)]
+    whole = turns.decode(seqs, turns.first_model())
+    monkeypatch.setattr(turns, "CELLS", 50)
+    for a, b, one in zip(whole, turns.decode(seqs, turns.first_model()), seqs):
+        assert list(a) == list(b) == list(turns.decode([one], turns.first_model())[0])
+
+
 def test_turn_speech_is_clean(spark):
     people = roster(spark)
     df = spark.createDataFrame([("d/s#t0", 1, "LORNE", "chair", "[00:01:02] Ada LORNE: The the plan, um... is you know – good [coughs] now.", "hearing"), ("x", 2, None, None, "no", "qon"), ("d/s#t0", 0, "LORNE", "chair", "Old text.", "hearing"), ("d/s#t1", 3, None, None, None, "hearing")], PASSAGE)
@@ -287,6 +296,38 @@ def test_words_of_three_confusions_meet(spark):
     assert {(r["w"], r["c"]) for r in got.collect()} == set(fixed[:3])
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text("abcdeghilmnortuv01", min_size=1, max_size=12), st.integers(0, 11), st.sampled_from(["drop", "put", "swap"]), st.sampled_from("aeimnrstz"))
+def test_one_other_edit_meets(word, at, how, letter):
+    at %= len(word)
+    read = word[:at] + ("" if how == "drop" else letter) + word[at + (how != "put") :]
+    if read and scans.distance(read, word) <= scans.REACH:
+        assert scans.confusion_keys(read, True) & scans.confusion_keys(word, False)
+    assert scans.distance(read, word) <= scans.EDIT
+
+
+def test_faint_repairs_need_both_neighbours(spark):
+    clean = ["the old hospital was full and it is a good plan"] * 9 + ["part 15 of the plan"] * 5
+    texts, scan = repaired(spark, ["The old hqspital was full.", "By hqspital rules it 15 a good plan, part 15 of the plan, oj the old", "Part i5 of the plan"], [*clean, *["of the old plan"] * 9])
+    got = {(r["rec"][-2:], r["read"], r["item"]) for r in scans.repairs(texts, scan).collect()}
+    assert ("p0", "hqspital", "hospital") in got and ("p1", "15", "is") in got and not any(r == "hqspital" and p == "p1" for p, r, _ in got)
+    assert sum(r == "15" for _, r, _ in got) == 1
+
+
+def test_heads_misread_in_any_place(spark):
+    rng = random.Random(4)
+    for _ in range(300):
+        a = "".join(rng.choice("abc") for _ in range(rng.randint(10, 16)))
+        i, n = rng.randint(0, len(a) - 3), rng.randint(0, 3)
+        b = a[:i] + "".join(rng.choice("abc") for _ in range(n)) + a[i + 3 :]
+        if scans.nearly(a, b) and len(b) >= 10:
+            assert set(scans.halves(a)) & set(scans.halves(b)), (a, b)
+    pages = [f"{head}\nthe plan of page {i} goes on" for i, head in enumerate(["Of Many Things"] * 5 + ["Of Mxmy Things", "Of Quite Other Things"])]
+    _, scan = repaired(spark, pages, [])
+    got = {r["rec"][-2:]: list(r["heads"]) for r in scans.running_heads(scan).collect()}
+    assert got == {f"p{i}": [0] for i in range(6)}
+
+
 def test_scans_empty(spark):
     texts, scan = repaired(spark, [], ["a"])
     none = spark.createDataFrame([], "rec string, ord long, doc string, text string")
@@ -375,6 +416,11 @@ def test_samples_are_bounded_whatever_the_copies(spark):
     assert len(langid.drawn(spark.createDataFrame(rows, "text string, code string"), "code", 100)) == 43
 
 
+@pytest.mark.parametrize("word,gone", [("aaaaaaaaaa", True), ("ababababababababababx", True), ("aaaaaaaaaaaa,", True), ("aaaaaaaaa", False), ("Donaudampfschiff", False)])
+def test_endless_repetitions_go(word, gone):
+    assert (word[:10] not in langid.blanked(f"so {word} it is")) is gone
+
+
 def test_languages_without_labels(spark):
     df = spark.createDataFrame([(1, "Some text here now.", None)], "doc_id long, text string, lang string")
     assert langid.unnamed_languages(df).count() == 0

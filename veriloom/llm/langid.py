@@ -41,6 +41,8 @@ ORDERS = (1, 2, 3)
 PER_LANGUAGE, EPOCHS = 400, 3
 #: Follow-the-regularised-leader: step, smoothing, and the two penalties of the elastic net.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-3, 1e-3
+#: Examples of one step.
+BATCH = 16
 #: The least confidence, and the least words, of a sentence that counts as one of its language.
 SURE, MIN_WORDS = 0.6, 4
 
@@ -49,7 +51,7 @@ SPEAKER = re.compile(r"(?m)^[ \t]*(?:\w[\w.'-]*[ \t]+){0,4}[A-Z][\w'-]+:(?=\s)")
 BRACKETED = re.compile(r"\([^()]{0,200}\)|\[[^\[\]]{0,200}\]")
 SENTENCE = re.compile(r"\S(?:[^.!?\n]++|[.!?](?![\s\"”»“’')\]]|$)|\n(?!\s*\n))*+(?:[.!?…]+[\"”»“’')\]]*(?=\s|$))?")
 #: Words long enough to hold an endless repetition, and the repetition.
-LONG, REPEATED = re.compile(r"\S{20,}"), re.compile(r"(\S{1,4}?)\1{9,}")
+LONG, REPEATED = re.compile(r"\S{10,}"), re.compile(r"(\S{1,4}?)\1{9,}")
 WORD = re.compile(r"[^\W\d_]+")
 ENDED = re.compile(r"[.!?…][\"”»“’')\]]*\s*$")
 
@@ -66,6 +68,8 @@ def _blank(m: re.Match) -> str:
 
 
 def _calm(m: re.Match) -> str:
+    if len(set(m[0])) > len(m[0]) - 6:  # ten letters or more of at most four kinds leave no more than six kinds less than letters
+        return m[0]
     # Of a row of full stops the first stays: it ends the sentence.
     return REPEATED.sub(lambda r: ("." if r[0][0] == "." else " ") + " " * (len(r[0]) - 1), m[0])
 
@@ -176,23 +180,28 @@ def softmax(s: np.ndarray, temperature: float) -> np.ndarray:
 
 
 def ftrl(examples: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, k: int, epochs: int = EPOCHS) -> np.ndarray:
-    """Weights (features and a bias, by class) fitted by follow-the-regularised-leader."""
+    """Weights (features and a bias, by class) fitted by follow-the-regularised-leader, ``BATCH`` examples at a step."""
     z, n = np.zeros((DIM + 1, k)), np.zeros((DIM + 1, k))
+    weights = lambda z, n: np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
     rng = np.random.default_rng(7)
     for _ in range(epochs):
-        for i in rng.permutation(len(examples)):
-            ids, x = examples[i]
-            zi, ni = z[ids], n[ids]
-            w = np.where(np.abs(zi) <= L1, 0.0, -(zi - np.sign(zi) * L1) / ((BETA + np.sqrt(ni)) / ALPHA + L2))
-            s = x @ w
-            p = np.exp(s - s.max())
-            p /= p.sum()
-            p[y[i]] -= 1.0
-            g = x[:, None] * p
-            sigma = (np.sqrt(ni + g * g) - np.sqrt(ni)) / ALPHA
-            z[ids] = zi + g - sigma * w
-            n[ids] = ni + g * g
-    return np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
+        order = rng.permutation(len(examples))
+        for lo in range(0, len(order), BATCH):
+            part = order[lo : lo + BATCH]
+            u, at = np.unique(np.concatenate([examples[i][0] for i in part]), return_inverse=True)
+            size = [len(examples[i][0]) for i in part]
+            x = np.zeros((len(part), len(u)))
+            x[np.repeat(np.arange(len(part)), size), at] = np.concatenate([examples[i][1] for i in part])
+            zu, nu = z[u], n[u]
+            w = weights(zu, nu)
+            p = softmax(x @ w, 1.0)
+            p[np.arange(len(part)), y[part]] -= 1.0
+            g = x.T @ p
+            # Each example's own square counts, as if it had come alone.
+            more = (x * x).T @ (p * p)
+            z[u] = zu + g - (np.sqrt(nu + more) - np.sqrt(nu)) / ALPHA * w
+            n[u] = nu + more
+    return weights(z, n)
 
 
 def train(sample: pd.DataFrame, idf: np.ndarray) -> tuple[list[str], np.ndarray, float]:

@@ -7,22 +7,27 @@
 3. The other lines are joined. A word broken across lines is the form, with or without the hyphen,
    that the lexicon knows best.
 4. Words that the lexicon does not know meet it in a symmetric index: both sides, with letters
-   that scanners confuse folded together, are joined on themselves and on each form with two
-   (readings) or one (right forms) of the other confusion pairs replaced. A weighted edit distance, with the confusion pairs cheap, ranks the
-   candidates, and the word pairs with the neighbours on both sides pick the repair.
+   that scanners confuse folded together, are joined on themselves, on each form with one letter
+   deleted, and on each form with two (readings) or one (right forms) of the other confusion pairs
+   replaced. A weighted edit distance ranks the candidates: up to three confusion pairs, or one
+   other edit. The word pairs with the neighbours on both sides pick the repair. Where the letters
+   alone prove little, in numbers, in words of one or two letters and for an edit that is no
+   confusion, a repair must form known pairs with both neighbours, and a number must be rarer than
+   it after the word before.
 
 The commonest words, at most ``COMMON``, are sent to all tasks to keep known words out of the
 shuffle; every other word is looked up by join, so that bound changes no result.
 
 Defined cases: null and empty texts give nothing; a text of one line keeps it unless it is a page
 mark or head; a hyphen at the end of the last line joins nothing; unknown words without a candidate
-stay as they are; equal candidates tie to the more frequent, then the smaller; repeated deliveries
+stay as they are, as do words that differ from known ones in accents alone; equal candidates tie to the more frequent, then the smaller; repeated deliveries
 are one record, the last to come holding; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -42,8 +47,12 @@ CONFUSIONS = [
     ("m", "rn"), ("rn", "m"), ("n", "ri"), ("ri", "n"), ("u", "ii"), ("ii", "u"), ("d", "cl"), ("cl", "d"), ("h", "li"), ("li", "h"), ("w", "vv"), ("vv", "w"),
     ("m", "nn"), ("nn", "m"), ("m", "in"), ("in", "m"), ("m", "ni"), ("ni", "m"), ("k", "lc"), ("lc", "k"), ("fi", "fl"), ("fl", "fi"), ("u", "li"), ("n", "ii"),
 ]
-#: The cost of a confusion pair and of any other edit, and the reach: up to three confusions, no free edit.
-CHEAP, EDIT, REACH = 0.3, 1.0, 0.9
+#: The cost of a confusion pair and of any other edit, and the reach: up to three confusions, or one other edit.
+CHEAP, EDIT, REACH = 0.3, 0.85, 0.9
+#: A title is a running head if it recurs unmarked on so many pages of its document, or is marked as one on any.
+HEAD_PAGES = 4
+#: Tasks over which the lines with one head are spread.
+SALTS = 32
 #: Times in unscanned text that make a word known; how much more frequent a repair must be; commonest words sent to tasks.
 KNOWN, RATIO, COMMON = 2, 3, 50_000
 #: The longest line that may be a page mark.
@@ -99,10 +108,12 @@ def confusion_keys(word: str, read: bool) -> set[str]:
     """The folded forms under which a reading and a right form within ``REACH`` meet.
 
     Of the up to three confusion pairs between them that folding leaves apart, two are put right in
-    the reading and one is made in the right form; no other edit is within reach.
+    the reading and one is made in the right form. For the one other edit, each form with one letter
+    deleted is a key of both.
     """
     back, forth = _unfolded()
-    return {fold(x) for x in (_put(word, back, 2) if read else _put(word, forth, 1))}
+    keys = {fold(x) for x in (_put(word, back, 2) if read else _put(word, forth, 1))}
+    return keys | {"-" + word[:i] + word[i + 1 :] for i in range(len(word))} | {"-" + word}
 
 
 def clean_page(text: str) -> str:
@@ -172,20 +183,26 @@ def nearly(a: str, b: str, region: int = 3) -> bool:
     return max(len(a), len(b)) - i - j <= region
 
 
-def noise_lines(text: str, heads: set[str] | list[str]) -> list[bool]:
-    """For each line of a text, whether it is no part of the paragraph."""
+def halves(key: str, region: int = 3) -> list[str]:
+    """Parts of a key of which two keys that are :func:`nearly` equal share one, named by length and end."""
     out = []
-    for line in text.split("\n"):
+    for most in range(len(key), len(key) + region + 1):
+        n = max(1, (most - region + 1) // 2)
+        out += [f"{most}<{key[:n]}", f"{most}>{key[-n:]}"]
+    return out
+
+
+def noise_lines(text: str, heads: set[int]) -> list[bool]:
+    """For each line of a text, whether it is no part of the paragraph; ``heads`` are the numbers of its running heads."""
+    out = []
+    for no, line in enumerate(text.split("\n")):
         if not line.strip():
             out.append(False)
         elif len(line) <= MARK_MOST and (PAGE_MARK.match(line) or PAGE_WORD.match(line)):
             out.append(True)
         else:
             key = head_key(line)
-            hit = key is not None and (marked(line) or bool(NUMBERED.match(line)) or key in heads)
-            if not hit and key is not None and len(key) >= 10:
-                hit = any(nearly(key, h) for h in heads)
-            out.append(hit)
+            out.append(no in heads or key is not None and (marked(line) or bool(NUMBERED.match(line))))
     return out
 
 
@@ -224,21 +241,48 @@ def pair_counts(texts: DataFrame) -> DataFrame:
 
 
 def running_heads(scans: DataFrame) -> DataFrame:
-    """The folded keys of titles that recur over the pages of each document: doc, heads."""
+    """The lines of each page that hold a running head of its document, also when misread: rec, heads.
+
+    Lines meet the heads of their document by join, on the folded key and, for keys of ten letters
+    or more, on the parts that a nearly equal key shares; no document's heads are gathered anywhere.
+    """
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for doc, text in zip(b["doc"], map(clean_page, b["text"])):
-                keys: dict[str, bool] = {}
-                for line in text.split("\n"):
-                    if (k := head_key(line)) is not None:
-                        keys[k] = keys.get(k, False) or marked(line)
-                rows.extend((doc, k, m) for k, m in keys.items())
-            yield pd.DataFrame(rows, columns=["doc", "key", "marked"])
+            rows = [
+                (rec, doc, no, k, marked(line))
+                for rec, doc, text in zip(b["rec"], b["doc"], map(clean_page, b["text"]))
+                for no, line in enumerate(text.split("\n"))
+                if line.strip() and (k := head_key(line)) is not None
+            ]
+            yield pd.DataFrame(rows, columns=["rec", "doc", "line", "key", "marked"])
+
+    lines = checkpointed(scans.where("doc is not null").select("rec", "doc", "text").mapInPandas(find, "rec string, doc string, line int, key string, marked boolean"))
+    # Pages are counted, not lines, as a title may stand twice on one page.
+    often = lines.groupBy("doc", "key", "rec").agg(F.max("marked").alias("m")).groupBy("doc", "key").agg(F.count(F.lit(1)).alias("n"), F.max("m").alias("m")).where(f"n >= {HEAD_PAGES} or m").select("doc", "key")
+    salt = F.pmod(F.xxhash64("rec"), F.lit(SALTS)).cast("int").alias("salt")
+    spread = often.select("doc", "key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(True).alias("known"))
+    met = lines.select("rec", "doc", "line", "key", salt).join(spread, ["doc", "key", "salt"], "left")
+
+    def parted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(*x, p) for x in b.itertuples(index=False, name=None) if len(x[-1]) >= 10 for p in halves(x[-1])]
+            yield pd.DataFrame(rows, columns=[*b.columns, "part"])
+
+    # Misread keys, each once for a document, however many lines have it.
+    other = met.where("known is null and length(key) >= 10").select("doc", "key").distinct()
+    close = (
+        other.mapInPandas(parted, "doc string, key string, part string")
+        .join(often.select("doc", F.col("key").alias("head")).mapInPandas(parted, "doc string, head string, part string"), ["doc", "part"])
+        .select("doc", "key", "head").distinct()
+    )
+
+    def checked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b[[nearly(x, y) for x, y in zip(b["key"], b["head"])]][["doc", "key"]]
 
-    keys = scans.where("doc is not null").select("doc", "text").mapInPandas(find, "doc string, key string, marked boolean")
-    often = keys.groupBy("doc", "key").agg(F.count(F.lit(1)).alias("n"), F.count_if("marked").alias("m")).where("n >= 4 or (n >= 2 and m >= 1) or m >= 1")
-    return often.groupBy("doc").agg(F.collect_list("key").alias("heads"))
+    misread = close.mapInPandas(checked, "doc string, key string").distinct()
+    found = met.where("known").select("rec", "line").unionByName(met.where("known is null").join(misread, ["doc", "key"], "left_semi").select("rec", "line"))
+    return found.groupBy("rec").agg(F.collect_set("line").alias("heads"))
 
 
 PARTS = "rec string, kind string, pos int, a string, b string, prev string, next string"
@@ -253,18 +297,23 @@ def page_parts(scans: DataFrame, heads: DataFrame, common: frozenset[str]) -> Da
         for batch in batches:
             rows: list[tuple] = []
             for rec, text, hs in zip(batch["rec"], map(clean_page, batch["text"]), batch["heads"]):
-                noise = noise_lines(text, set(hs) if hs is not None else set())
+                noise = noise_lines(text, set(map(int, hs)) if hs is not None else set())
                 rows.extend((rec, "line", i, None, None, None, None) for i, bad in enumerate(noise) if bad)
                 para, broken = joined_paragraph(text, noise)
                 rows.extend((rec, "joined", at, a.lower(), b.lower(), None, None) for at, a, b in broken)
                 toks = _tokens_of(para)
                 skip = {at + len(a) for at, a, _ in broken}
                 for i, (s, e, w) in enumerate(toks):
-                    if w not in known and not w.isdigit() and e not in skip and s - 1 not in skip:
+                    if w not in known and e not in skip and s - 1 not in skip:
                         rows.append((rec, "word", s, w, None, toks[i - 1][2] if i else "", toks[i + 1][2] if i + 1 < len(toks) else ""))
             yield pd.DataFrame(rows, columns=["rec", "kind", "pos", "a", "b", "prev", "next"])
 
-    return scans.join(heads, "doc", "left").select("rec", "text", "heads").mapInPandas(run, PARTS)
+    return scans.join(heads, "rec", "left").select("rec", "text", "heads").mapInPandas(run, PARTS)
+
+
+def bare(word: str) -> str:
+    """A word without its accents."""
+    return word if word.isascii() else "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
 
 
 def candidates(unknown: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -282,7 +331,8 @@ def candidates(unknown: DataFrame, lexicon: DataFrame) -> DataFrame:
 
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.assign(cost=[distance(w, c) for w, c in zip(b["w"], b["c"])])
+            # Words that differ in accents alone are different words, not readings of each other.
+            yield b.assign(cost=[distance(w, c) if bare(w) != bare(c) else REACH + 1 for w, c in zip(b["w"], b["c"])])
 
     return met.mapInPandas(weigh, "w string, c string, n long, cost double").where(F.col("cost") <= REACH)
 
@@ -309,20 +359,28 @@ def repairs(texts: DataFrame, scans: DataFrame) -> DataFrame:
     )
     words = parts.where("kind = 'word'").select("rec", "pos", F.col("a").alias("w"), "prev", "next")
     asked = words.select("w").unionByName(chosen.select("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    unknown = asked.join(good.select(F.col("c").alias("w")), "w", "left_anti").where(F.length("w") >= 3)
+    unknown = asked.join(good.select(F.col("c").alias("w")), "w", "left_anti")
     cands = checkpointed(candidates(unknown, good))
-    listed = cands.groupBy("w").agg(F.array_sort(F.collect_list(F.struct("cost", (-F.col("n")).alias("less"), "c"))).alias("cs"))
+    # Numbers, short words and edits that are no confusion prove little by their letters alone.
+    faint = F.col("w").rlike("^[0-9]+$") | (F.length("w") < 3) | (F.abs(F.col("cost") - EDIT) < 1e-6)
+    cands = cands.withColumn("faint", faint)
+    listed = cands.groupBy("w").agg(F.array_sort(F.collect_list(F.struct("cost", (-F.col("n")).alias("less"), "c", "faint"))).alias("cs"))
     met = words.join(listed, "w")
-    clear = met.where("size(cs) = 1").select("rec", "pos", "w", F.col("cs")[0]["c"].alias("item"))
-    open_ = met.where("size(cs) > 1").select("rec", "pos", "w", "prev", "next", F.explode("cs").alias("x")).select("rec", "pos", "w", "prev", "next", "x.c", "x.cost", (-F.col("x.less")).alias("n"))
+    alone = (F.size("cs") == 1) & ~F.col("cs")[0]["faint"]
+    clear = met.where(alone).select("rec", "pos", "w", F.col("cs")[0]["c"].alias("item"))
+    open_ = met.where(~alone).select("rec", "pos", "w", "prev", "next", F.explode("cs").alias("x")).select("rec", "pos", "w", "prev", "next", "x.c", "x.cost", (-F.col("x.less")).alias("n"), "x.faint")
     seen = pairs.select("w1", "w2", F.col("n").alias("k"))
+    # After a word, a number and the end of a text are counted as the empty word.
+    no_word = seen.where("w2 = ''").select(F.col("w1").alias("prev"), F.col("k").alias("k0"))
     both = (
         open_.join(seen.select(F.col("w1").alias("prev"), F.col("w2").alias("c"), F.col("k").alias("k1")), ["prev", "c"], "left")
         .join(seen.select(F.col("w1").alias("c"), F.col("w2").alias("next"), F.col("k").alias("k2")), ["c", "next"], "left")
+        .join(no_word, "prev", "left")
+        .where(~F.col("faint") | (F.col("k1") > 0) & (F.col("k2") > 0) & (F.col("next") >= "a") & (~F.col("w").rlike("^[0-9]+$") | (F.col("k1") > F.coalesce("k0", F.lit(0)))))
         .withColumn("score", F.round(F.log1p(F.coalesce("k1", F.lit(0))) + F.log1p(F.coalesce("k2", F.lit(0))) + 0.25 * F.log("n") - 8 * F.col("cost"), 9))
     )
     picked = both.groupBy("rec", "pos", "w").agg(F.min_by("c", F.struct(-F.col("score"), "c")).alias("item"))
-    best = listed.select("w", F.col("cs")[0]["c"].alias("fixed"))
+    best = listed.select("w", F.get(F.filter("cs", lambda x: ~x["faint"]), F.lit(0))["c"].alias("fixed"))
     joined = chosen.join(best, "w", "left").select("rec", F.lit("joined").alias("noise"), "pos", F.coalesce("fixed", "w").alias("item"), F.col("w").alias("read"))
     fixed = clear.unionByName(picked).select("rec", F.lit("word").alias("noise"), "pos", "item", F.col("w").alias("read"))
     return lines.unionByName(joined).unionByName(fixed)

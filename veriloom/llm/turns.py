@@ -2,8 +2,8 @@
 
 1. Each fragment's tokens are tagged as speaker, timestamp, annotation, filler or speech by a hidden
    Markov model over token shapes, decoded by Viterbi. Its parameters are trained on all fragments
-   by Viterbi training: a pass decodes with the last parameters and counts anew, and only the
-   counts, of fixed number, leave the tasks.
+   by ``ROUNDS`` passes of Viterbi training: each decodes with the last parameters and counts anew, and
+   only the counts, of fixed number, leave the tasks.
 2. The label that opens a text, else the speaker field, is matched with the roster. A surname of
    several people goes, within its session, to the one whose role is given or who is named outright.
 3. Turns are found in two levels, so a session of any length is never one task: fragments in blocks
@@ -37,7 +37,9 @@ HONORIFICS = frozenset("mr mrs ms miss mx dr prof professor sir dame senator hon
 CHAIR = frozenset("chair chairman chairwoman chairperson".split())
 #: Places in one block, and people a roster may hold, since it is sent to all tasks.
 BLOCK, ROSTER_MOST = 1000, 100_000
-ROUNDS = 1
+ROUNDS = 2
+#: Tokens decoded at a time, padding included; a longer text is decoded alone.
+CELLS = 1 << 17
 
 TIME = r"[<\[(]?(?:\d{1,3}:\d{2}(?::\d{2})?(?:[.,]\d{1,3})?|\d{1,4}m\d{1,2}s)[>\])]?(?:\s*-->)?"
 SPLIT = re.compile(rf"(?P<word>[^\W\d_](?:[\w'’-]*[^\W_])?)|(?P<time>{TIME})|(?P<note>\[[^\[\]\n]+\]|<[^<>\n]+>|\*[^*\n]{{1,80}}\*|\*(?=\S)[^*\n]{{81,}}(?<=\S)\*|[♪♫]+)|(?P<paren>\([^()\n]+\))|(?P<number>[^\W_](?:[\w'’-]*[^\W_])?)|(?P<colon>:)|(?P<punct>[^\s\w])")
@@ -93,8 +95,13 @@ def decode(seqs: list[list[int]], model: tuple[np.ndarray, np.ndarray, np.ndarra
         start, move, emit = (np.log(m / m.sum(axis=-1, keepdims=True)) for m in model)
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(seqs)
     order = sorted((i for i, s in enumerate(seqs) if s), key=lambda i: len(seqs[i]))
-    for lo in range(0, len(order), 512):
-        part = order[lo : lo + 512]
+    lo = 0
+    while lo < len(order):
+        # Sorted by length, so the last of a part is its widest.
+        hi = lo + 1
+        while hi < len(order) and (hi + 1 - lo) * len(seqs[order[hi]]) <= CELLS:
+            hi += 1
+        part, lo = order[lo:hi], hi
         n = np.array([len(seqs[i]) for i in part])
         width = int(n.max())
         x = np.zeros((len(part), width), np.int64)

@@ -84,7 +84,7 @@ def test_nested_children(spark):
         {"passages": None},
     ]
     df = lines(spark, *((f, 0, 1, r) for f, r in zip("abcd", rows)), ("e", 0, 1, '{"passages": ["p1"'), ("f", 0, 1, None), ("g", 0, 1, "7"))
-    got = {(r["line_id"], r["child"], r["num"], r["ref_id"]) for r in nested.chain_children(nested.record_triples(df, "chain_lines")).collect()}
+    got = {(r["line_id"], r["child"], r["num"], r["ref_id"]) for r in nested.chain_children(nested.flat_rows(df, "chain_lines")).collect()}
     assert got == {(0, "passages", 0, "p1"), (0, "passages", 1, "p2"), (0, "quotes", 0, "p9"), (0, "quotes", 1, "p2"), (0, "quotes", 2, "p1"), (0, "quotes", 3, ""), (1, "passages", 0, "p1"), (1, "passages", 1, "p2")}
 
 
@@ -96,15 +96,41 @@ def test_nested_counts(spark):
         {"verdict_counts": {}, "other": {"a": 9}},
     ]
     df = lines(spark, *((f, 0, 1, r) for f, r in zip("abcd", rows)))
-    got = sorted((r["line_id"], r["num"], r["ref_id"]) for r in nested.count_children(nested.record_triples(df, "x")).collect())
+    got = sorted((r["line_id"], r["num"], r["ref_id"]) for r in nested.count_children(nested.flat_rows(df, "x")).collect())
     assert got == [(0, 1, "a"), (0, 2, "b"), (0, 3, "c"), (1, 4, "a"), (2, 5, "a"), (2, 6, "a")]
 
 
+def test_tables_of_any_shape(spark):
+    rows = [{"a": 1, "xs": [{"b": "p", "ys": [10, {"c": None}], "PLACE": True}, {"deep": [{"only": ["q"]}]}], "e": [], "m": {"n": [[1, 2], [3]]}}, {"a": "z", "xs": "w"}]
+    flat = nested.flat_rows(lines(spark, *((f, 0, 1, r) for f, r in zip("ab", rows))), "s")
+    got = {g: sorted(tuple(r)[1:] for r in t.collect()) for g, t in nested.tables(flat).items()}
+    assert got == {
+        "": [(0, [], None, "1", None), (1, [], None, "z", "w")], "xs[]": [(0, [0], None, "true", "p"), (0, [1], None, None, None)], "xs[].ys[]": [(0, [0, 0], None, "10"), (0, [0, 1], None, None)],
+        "xs[].deep[]": [(0, [1, 0], None)], "xs[].deep[].only[]": [(0, [1, 0, 0], None, "q")], "m.n[]": [(0, [0], None), (0, [1], None)], "m.n[][]": [(0, [0, 0], None, "1"), (0, [0, 1], None, "2"), (0, [1, 0], None, "3")],
+    }
+    assert "field.PLACE" in nested.tables(flat)["xs[]"].columns
+    keys = {(r["line_id"], r["grp"], tuple(r["place"])) for r in flat.collect()}
+    assert all((r["line_id"], r["parent"], tuple(r["place"][:-1])) in keys for r in flat.collect() if r["grp"])
+
+
+def test_flooding_settles_on_structure():
+    was = {"idx": ["number"], "spot": ["array"], "spot[]": ["object"], "spot[].page": ["number"], "tag": ["array"], "tag[]": ["string"]}
+    now = {"idx": ["number"], "uses": ["array"], "uses[]": ["object"], "uses[].page": ["number"], "mark": ["array"], "mark[]": ["string"]}
+    score = drift.flood(was, now, {})
+    assert score["spot", "uses"] > score["spot", "mark"] and score["tag", "mark"] > score["tag", "uses"]
+    # Between pairs that all pass the value rule, what lies inside decides.
+    facts = {(a, b): (4, 4) for a in ("spot", "tag") for b in ("uses", "mark")}
+    top = lambda k: {f: v for f, v in k.items() if "[" not in f}
+    inside = lambda k: [f"{f}|{v[0]}" for f, v in k.items() if "[" in f]
+    got = {c[1:3] for c in drift.changes(top(was), top(now), facts, inside(was), inside(now))}
+    assert got == {("spot", "uses"), ("tag", "mark")}
+
+
 def test_deep_and_empty(spark):
     deep = "[" * 100_000
     df = lines(spark, ("a", 0, 1, '{"x": ' + deep))
-    assert nested.record_triples(df, "x").count() == 0
-    assert nested.chain_children(nested.record_triples(spark.createDataFrame([], LINES), "x")).count() == 0
+    assert nested.record_triples(df, "x").count() == 0 and nested.flat_rows(df, "x").count() == 0
+    assert nested.chain_children(nested.flat_rows(spark.createDataFrame([], LINES), "x")).count() == 0
 
 
 def test_nulls_in_any_column(spark):
@@ -114,4 +140,4 @@ def test_nulls_in_any_column(spark):
     rows = [(None, "a", 0, 1, t, '{"idx": 0}', "x"), ("s", None, 0, 1, t, '{"idx": 0}', "x"), ("s", "a", None, None, None, '{"idx": 0, "a": 1}', None), ("s", "b", 0, 9007199254740993, t, '{"idx": 0, "b": 1, "passages": ["p"]}', "x"), ("s", "b", 1, None, t, '{"idx": 1}', "x")]
     df = spark.createDataFrame(rows, LINES)
     assert {r["change_kind"] for r in drift.schema_changes(df).collect()} <= {"renamed", "added", "removed"}
-    assert [(r["line_id"], r["ref_id"]) for r in nested.chain_children(nested.record_triples(df, "x")).collect()] == [(9007199254740993, "p")]
+    assert [(r["line_id"], r["ref_id"]) for r in nested.chain_children(nested.flat_rows(df, "x")).collect()] == [(9007199254740993, "p")]

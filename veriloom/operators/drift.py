@@ -1,11 +1,13 @@
 """Schemas that drift between files (problem 3): one consistent table and a list of every change.
 
-Every line is parsed once. Per file, a schema graph is built whose nodes are the fields (name,
-nesting, kinds). For each file and the one before it in its series, similarity flooding spreads
-match scores between the fields that went and those that came, along equal-parent and equal-kind
-edges, until they settle; consistent one-to-one correspondences are then chosen by score. A chosen
-pair counts as a rename only if it passes the exact value rule, so scores decide between
-candidates but never invent a rename.
+Every line is parsed once. Per file, a schema graph is built: a node for every path at any depth,
+for every kind and for every word of a name, with edges from a parent to its member, from a path to its
+kinds and to the words of its name. For each file and the one before it in its series, similarity
+flooding starts from names, kinds and equal values and spreads match scores over all pairs of nodes, along edges of one
+sort that both graphs have, until they settle. One-to-one correspondences between the fields that
+went and those that came are chosen by falling score. The statement of renames is exact, so a
+chosen pair is then checked by it: at least ``RENAME_SHARE`` of the idx with both values have them
+equal; a pair that fails gives way to the next.
 
 Defined cases: null, blank, cut-off and non-object lines are skipped, as are lines without a series
 or a file; null line numbers are the least; a file without a complete
@@ -22,8 +24,9 @@ import hashlib
 import json
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +38,9 @@ from veriloom.sources.tables import checkpointed
 
 #: Share of the idx with both values for which these must be equal in a rename.
 RENAME_SHARE = 0.5
-PARSED = "series string, file_name string, line_no int, line_id long, written_at timestamp, idx string, ok boolean, fields map<string,string>, kinds map<string,string>"
+PARSED = "series string, file_name string, line_no int, line_id long, written_at timestamp, idx string, ok boolean, fields map<string,string>, kinds map<string,string>, below array<string>"
+#: Similarity flooding: rounds at most, and the change that ends them.
+FLOOD_ROUNDS, SETTLED = 100, 1e-4
 
 
 def _digest(value: object) -> str:
@@ -56,11 +61,25 @@ def split_fields(rec: dict) -> dict[str, object]:
     return out
 
 
+def paths_below(fields: dict[str, object]) -> list[str]:
+    """``path|kind`` of everything inside the fields' lists and objects, each once, whatever its depth."""
+    seen: dict[str, None] = {}
+    stack = [(f, v) for f, v in fields.items() if isinstance(v, (list, dict))]
+    while stack:
+        path, v = stack.pop()
+        for p, x in ((f"{path}[]", x) for x in v) if isinstance(v, list) else ((f"{path}.{k}", x) for k, x in v.items()):
+            if x is not None:
+                seen[f"{p}|{kind_of(x)}"] = None
+                if isinstance(x, (list, dict)):
+                    stack.append((p, x))
+    return list(seen)
+
+
 def parsed_lines(lines: DataFrame) -> DataFrame:
     """One row per line with the digests and kinds of its non-null fields; no shuffle."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            oks, idxs, fields, kinds = [], [], [], []
+            oks, idxs, fields, kinds, below = [], [], [], [], []
             for raw in b["raw"]:
                 rec = parse_object(raw)
                 got = split_fields(rec) if rec is not None else {}
@@ -69,51 +88,86 @@ def parsed_lines(lines: DataFrame) -> DataFrame:
                 idxs.append(None if idx is None or isinstance(idx, (list, dict)) else str(int(idx)) if isinstance(idx, float) and idx.is_integer() else str(idx).strip())
                 fields.append({k: _digest(v) for k, v in got.items()})
                 kinds.append({k: kind_of(v) for k, v in got.items()})
-            yield b[["series", "file_name", "line_no", "line_id", "written_at"]].assign(idx=idxs, ok=oks, fields=fields, kinds=kinds)
+                below.append(paths_below(got))
+            yield b[["series", "file_name", "line_no", "line_id", "written_at"]].assign(idx=idxs, ok=oks, fields=fields, kinds=kinds, below=below)
 
     cols = ["series", "file_name", F.coalesce(F.col("line_no").cast("int"), F.lit(-1)).alias("line_no"), F.coalesce(F.col("line_id").cast("long"), F.lit(-1)).alias("line_id"), F.col("written_at").cast("timestamp").alias("written_at"), F.col("raw").cast("string").alias("raw")]
     return lines.where("series is not null and file_name is not null").select(*cols).mapInPandas(run, PARSED)
 
 
-def flood(gone: list[tuple[str, list[str], float]], new: list[tuple[str, list[str], float]], value: dict[tuple[str, str], float], rounds: int = 40, eps: float = 1e-4) -> dict[tuple[str, str], float]:
-    """Similarity flooding between the fields that went and those that came.
+def _parent(path: str) -> str:
+    return path[:-2] if path.endswith("[]") else path.rpartition(".")[0]
+
+
+def _words(path: str) -> list[str]:
+    return re.findall(r"[a-z]+|[0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", path.rpartition(".")[2]).lower()) or [path]
+
+
+def graph_of(kinds: dict[str, list[str]]) -> tuple[list[str], dict[str, list[tuple[int, int]]]]:
+    """(nodes, edges by sort) of a schema graph; kinds are given for the paths that have values."""
+    paths: dict[str, None] = {"": None}
+    for p in sorted(kinds):
+        up = [p]
+        while up[-1]:
+            up.append(_parent(up[-1]))
+        paths.update(dict.fromkeys(reversed(up)))
+    nodes = [f"p:{p}" for p in paths]
+    nodes += sorted({f"k:{k}" for ks in kinds.values() for k in ks}) + sorted({f"w:{w}" for p in paths if p for w in _words(p)})
+    no = {n: i for i, n in enumerate(nodes)}
+    edges: dict[str, list[tuple[int, int]]] = {"member": [], "item": [], "kind": [], "word": []}
+    for p in paths:
+        if p:
+            edges["item" if p.endswith("[]") else "member"].append((no[f"p:{_parent(p)}"], no[f"p:{p}"]))
+            edges["word"] += [(no[f"p:{p}"], no[f"w:{w}"]) for w in dict.fromkeys(_words(p))]
+        edges["kind"] += [(no[f"p:{p}"], no[f"k:{k}"]) for k in kinds.get(p, [])]
+    return nodes, edges
+
+
+def _shares(edges: list[tuple[int, int]], n: int) -> np.ndarray:
+    """The adjacency of edges, each node's outgoing weight shared among them."""
+    m = np.zeros((n, n))
+    for a, b in edges:
+        m[a, b] = 1.0
+    return m / np.maximum(m.sum(axis=1, keepdims=True), 1.0)
+
+
+def flood(was: dict[str, list[str]], is_: dict[str, list[str]], value: dict[tuple[str, str], float]) -> dict[tuple[str, str], float]:
+    """Similarity flooding between two schema graphs, given by path and kinds; the scores of all pairs of paths.
 
-    Each side's items are (field, kinds, fill). A pair's seed joins name likeness, kind overlap
-    and value agreement; its score flows to the parent pair and to the kind pairs it shares with
-    others, and back, until no score moves by more than ``eps``.
+    A pair starts from the likeness of its names and kinds, its agreement in values if known, and
+    wholly alike if it is one path. In each round it sends its score to the pairs that both its nodes
+    point to by edges of one sort, and those that point to it, shared among them; the scores are
+    scaled to 1 and the rounds end when none moves by more than ``SETTLED``.
     """
-    def grams(name: str) -> set[str]:
-        x = f"^{name.rsplit('.', 1)[-1]}$"
-        return {x[i : i + 2] for i in range(len(x) - 1)}
-
-    pairs = [(g[0], n[0]) for g in gone for n in new]
-    kinds = {f: set(k) for f, k, _ in [*gone, *new]}
-    seed = {}
-    for a, b in pairs:
-        x, y = grams(a), grams(b)
-        k = len(kinds[a] & kinds[b]) / max(1, len(kinds[a] | kinds[b]))
-        seed[a, b] = 0.2 * 2 * len(x & y) / max(1, len(x) + len(y)) + 0.1 * k + 0.7 * value.get((a, b), 0.0)
-    nodes: dict[tuple, list[tuple[str, str]]] = {}
-    for a, b in pairs:
-        nodes.setdefault(("parent", a.startswith("detail."), b.startswith("detail.")), []).append((a, b))
-        for ka in kinds[a]:
-            for kb in kinds[b]:
-                nodes.setdefault(("kind", ka, kb), []).append((a, b))
-    score = dict(seed)
-    for _ in range(rounds):
-        flow = {p: 0.0 for p in pairs}
-        for members in nodes.values():
-            mean = sum(score[p] for p in members) / len(members)
-            for p in members:
-                flow[p] += mean / 4
-        nxt = {p: seed[p] + 0.5 * score[p] + flow[p] for p in pairs}
-        top = max(nxt.values(), default=1.0) or 1.0
-        nxt = {p: v / top for p, v in nxt.items()}
-        moved = max((abs(nxt[p] - score[p]) for p in pairs), default=0.0)
-        score = nxt
-        if moved < eps:
+    a, ea = graph_of(was)
+    b, eb = graph_of(is_)
+    grams = [[{x[i : i + 2] for i in range(len(x) - 1)} for x in (f"^{n.rpartition('.')[2]}$" for n in nodes)] for nodes in (a, b)]
+    start = np.zeros((len(a), len(b)))
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            if x[:2] == y[:2]:
+                p, q = x[2:], y[2:]
+                if x == y:
+                    start[i, j] = 1.0
+                elif x[:2] == "p:" and p and q:
+                    kp, kq = set(was.get(p, ())), set(is_.get(q, ()))
+                    like = 2 * len(grams[0][i] & grams[1][j]) / max(1, len(grams[0][i]) + len(grams[1][j]))
+                    start[i, j] = 0.25 * like + 0.15 * len(kp & kq) / max(1, len(kp | kq)) + 0.6 * value.get((p, q), 0.0)
+    ways = []
+    for sort in ea:
+        to_a, to_b = _shares(ea[sort], len(a)), _shares(eb[sort], len(b))
+        from_a, from_b = _shares([(y, x) for x, y in ea[sort]], len(a)), _shares([(y, x) for x, y in eb[sort]], len(b))
+        ways += [(to_a, to_b), (from_a, from_b)]
+    score = start
+    for _ in range(FLOOD_ROUNDS):
+        sent = start + score
+        new = sent + sum(x.T @ sent @ y for x, y in ways)
+        new /= max(new.max(), 1e-12)
+        moved = np.abs(new - score).max()
+        score = new
+        if moved < SETTLED:
             break
-    return score
+    return {(x[2:], y[2:]): float(score[i, j]) for i, x in enumerate(a) if x[:2] == "p:" for j, y in enumerate(b) if y[:2] == "p:"}
 
 
 def schema_changes(lines: DataFrame) -> DataFrame:
@@ -122,9 +176,10 @@ def schema_changes(lines: DataFrame) -> DataFrame:
     complete = parsed.where("ok")
     first = parsed.groupBy("series", "file_name").agg(F.min("written_at").alias("began"))
     per_field = complete.select("series", "file_name", F.explode("kinds").alias("field", "kind")).groupBy("series", "file_name", "field").agg(F.sort_array(F.collect_set("kind")).alias("kinds"), F.count(F.lit(1)).alias("n"))
-    files = per_field.groupBy("series", "file_name").agg(F.sort_array(F.collect_list(F.struct("field", "kinds", "n"))).alias("schema")).join(first, ["series", "file_name"])
+    inside = complete.select("series", "file_name", F.explode("below").alias("path")).groupBy("series", "file_name").agg(F.sort_array(F.collect_set("path")).alias("below"))
+    files = per_field.groupBy("series", "file_name").agg(F.sort_array(F.collect_list(F.struct("field", "kinds", "n"))).alias("schema")).join(first, ["series", "file_name"]).join(inside, ["series", "file_name"], "left")
     order = W.partitionBy("series").orderBy("began", "file_name")
-    steps = files.select("series", "file_name", "schema", F.lag("file_name").over(order).alias("old_file"), F.lag("schema").over(order).alias("old_schema")).where("old_file is not null")
+    steps = files.select("series", "file_name", "schema", "below", *(F.lag(c).over(order).alias(f"old_{n}") for c, n in (("file_name", "file"), ("schema", "schema"), ("below", "below")))).where("old_file is not null")
     had, has = F.transform("old_schema", lambda s: s["field"]), F.transform("schema", lambda s: s["field"])
     steps = steps.select("*", F.array_except(had, has).alias("gone"), F.array_except(has, had).alias("new"))
     # Values are compared only for the fields that went or came, per idx; the last line of an idx holds.
@@ -141,28 +196,37 @@ def schema_changes(lines: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("both"), F.count_if(F.col("va") == F.col("vb")).alias("same"))
     )
     facts = agree.groupBy("series", "file_name").agg(F.collect_list(F.struct("field", "new_field", "both", "same")).alias("agree"))
-    joined = steps.join(facts, ["series", "file_name"], "left").select("series", "file_name", "old_schema", "schema", "agree")
+    joined = steps.join(facts, ["series", "file_name"], "left").select("series", "file_name", "old_schema", "schema", "old_below", "below", "agree")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for series, name, old, now, agree_ in zip(b["series"], b["file_name"], b["old_schema"], b["schema"], b["agree"]):
+            for series, name, old, now, old_below, below, agree_ in b.itertuples(index=False, name=None):
                 was = {s["field"]: sorted(s["kinds"]) for s in old}
                 is_ = {s["field"]: sorted(s["kinds"]) for s in now}
                 facts_ = {(x["field"], x["new_field"]): (x["both"], x["same"]) for x in (agree_ if agree_ is not None else [])}
-                rows.extend((series, name, *c) for c in changes(was, is_, facts_))
+                rows.extend((series, name, *c) for c in changes(was, is_, facts_, *(() if x is None else x for x in (old_below, below))))
             yield pd.DataFrame(rows, columns=["series", "file_name", "change_kind", "field", "new_field", "old_kinds", "new_kinds"])
 
     return joined.mapInPandas(run, "series string, file_name string, change_kind string, field string, new_field string, old_kinds array<string>, new_kinds array<string>")
 
 
-def changes(was: dict[str, list[str]], is_: dict[str, list[str]], facts: dict[tuple[str, str], tuple[int, int]]) -> list[tuple[str, str, str, list[str], list[str]]]:
-    """The changes between two schemas, given for pairs of gone and new fields (both valued, equal)."""
+def changes(was: dict[str, list[str]], is_: dict[str, list[str]], facts: dict[tuple[str, str], tuple[int, int]], old_below: Iterable[str] = (), below: Iterable[str] = ()) -> list[tuple[str, str, str, list[str], list[str]]]:
+    """The changes between two schemas, given for pairs of gone and new fields (both valued, equal), and ``path|kind`` of what lies inside the fields."""
     gone, new = sorted(set(was) - set(is_)), sorted(set(is_) - set(was))
-    value = {p: s / b for p, (b, s) in facts.items() if b}
-    score = flood([(f, was[f], 1.0) for f in gone], [(f, is_[f], 1.0) for f in new], value)
+    score = {}
+    if gone and new:
+        whole = []
+        for fields, inside in ((was, old_below), (is_, below)):
+            kinds = {f: list(k) for f, k in fields.items()}
+            for x in inside:
+                path, _, kind = x.rpartition("|")
+                kinds.setdefault(path, []).append(kind)
+            whole.append(kinds)
+        every = flood(*whole, {p: s / b for p, (b, s) in facts.items() if b})
+        score = {(a, b): every[a, b] for a in gone for b in new}
     out, used_a, used_b = [], set(), set()
-    for (a, b), _ in sorted(score.items(), key=lambda x: (-x[1], x[0])):
+    for (a, b), _ in sorted(score.items(), key=lambda x: (-round(x[1], 9), x[0])):
         both, same = facts.get((a, b), (0, 0))
         if a not in used_a and b not in used_b and both and same >= RENAME_SHARE * both:
             used_a.add(a)

@@ -27,32 +27,36 @@ def p3_unified(spark: SparkSession, d: str) -> DataFrame:
     return drift.typed(drift.unified(lines, drift.schema_changes(lines)))
 
 
-def _children(spark: SparkSession, d: str) -> DataFrame:
-    chains = nested.record_triples(table(spark, d, "chain_lines"), "chain_lines")
-    logs = nested.record_triples(table(spark, d, "calibration_lines"), "calibration_lines")
-    return nested.chain_children(chains).unionByName(nested.count_children(logs))
+def _rows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return tuple(nested.flat_rows(table(spark, d, n), n) for n in ("chain_lines", "calibration_lines"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Child rows of passages, quotes and counts with their parent's key and place."""
-    return _children(spark, d).select("src", "line_id", "child", "num", "ref_id").distinct()
+    chains, logs = _rows(spark, d)
+    return nested.chain_children(chains).unionByName(nested.count_children(logs)).select("src", "line_id", "child", "num", "ref_id").distinct()
+
+
+def p7_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Every cell of every table that the records come to: group, place, key of a counted map, column, value."""
+    chains, logs = _rows(spark, d)
+    cells = chains.unionByName(logs).select("src", "line_id", "grp", F.array_join(F.col("place").cast("array<string>"), ".").alias("place"), "key", F.explode("fields").alias("column_name", "value"))
+    return cells.distinct()
 
 
 def p7_records(spark: SparkSession, d: str) -> DataFrame:
     """The parent tables of p7_found, one row per complete record."""
-    chains = nested.record_triples(table(spark, d, "chain_lines"), "chain_lines")
-    logs = nested.record_triples(table(spark, d, "calibration_lines"), "calibration_lines")
+    chains, logs = _rows(spark, d)
     fields = ("mode", "idx", "claim", "verdict", "backend", "route", "date", "model", "fixture", "runs")
     return nested.flat_records(chains, fields).unionByName(nested.flat_records(logs, fields))
 
 
 def p7_quotes(spark: SparkSession, d: str) -> DataFrame:
     """The table of quotes: parent key, place, text and cited passage."""
-    t = nested.record_triples(table(spark, d, "chain_lines"), "chain_lines")
-    return nested.chain_children(t).where(F.col("child") == "quotes").select("line_id", "num", "text", "ref_id")
+    return nested.chain_children(_rows(spark, d)[0]).where(F.col("child") == "quotes").select("line_id", "num", "text", "ref_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_changes, p3_unified, p7_found, p7_records, p7_quotes)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_changes, p3_unified, p7_found, p7_tables, p7_records, p7_quotes)}
 
 _P7 = """WITH c AS (SELECT line_id, raw::JSON AS j FROM chain_lines WHERE json_valid(raw) AND json_type(raw) = 'OBJECT'),
 pa AS (SELECT line_id, unnest(range(json_array_length(j, '$.passages')::BIGINT)) AS num, unnest(from_json(j->'$.passages', '["JSON"]')) AS x FROM c WHERE json_type(j, '$.passages') = 'ARRAY'),
@@ -69,6 +73,21 @@ counts AS (SELECT line_id, key AS ref, CASE json_type(v, '$."' || key || '"') WH
 SELECT DISTINCT 'chain_lines' AS src, line_id, 'passages' AS child, num::BIGINT AS num, ref AS ref_id FROM passages WHERE coalesce(ref, '') <> ''
 UNION ALL SELECT DISTINCT 'chain_lines', line_id, 'quotes', num::BIGINT, ref FROM quotes WHERE body IS NOT NULL
 UNION ALL SELECT DISTINCT 'calibration_lines', line_id, 'verdict_counts', n::BIGINT, ref FROM counts WHERE ref IS NOT NULL AND n IS NOT NULL"""
+# Every leaf of every record; the list or counted map it lies in names its table.
+_P7_LEAVES = """WITH r AS (SELECT 'chain_lines' AS src, line_id, raw FROM chain_lines UNION ALL SELECT 'calibration_lines', line_id, raw FROM calibration_lines),
+j AS (SELECT src, line_id, CASE WHEN json_valid(raw) AND json_type(raw) = 'OBJECT' THEN raw END AS raw FROM r WHERE line_id IS NOT NULL),
+t AS (SELECT src, line_id, raw, regexp_replace(regexp_replace(e.fullkey, '^\\$\\.?', ''), '"', '', 'g') AS k, e.type AS kind, e.atom FROM j, json_tree(j.raw) e WHERE j.raw IS NOT NULL AND e.type NOT IN ('OBJECT', 'ARRAY', 'NULL')),
+m AS (SELECT *, regexp_extract(k, 'verdict_counts\\.([^.\\[]+)', 1) AS in_map, json_keys(raw, '$' || CASE WHEN contains(k, 'verdict_counts.') THEN '.' || regexp_extract(k, '^(.*verdict_counts)\\.', 1) ELSE '' END) AS names FROM t),
+p AS (SELECT *, CASE WHEN in_map <> '' THEN regexp_replace(regexp_replace(k, 'verdict_counts\\.[^.\\[]+', 'verdict_counts{}'), '\\[\\d+\\]', '[]', 'g') ELSE regexp_replace(k, '\\[\\d+\\]', '[]', 'g') END AS path,
+ CASE WHEN in_map <> '' THEN regexp_replace(k, 'verdict_counts\\.[^.\\[]+', 'verdict_counts[' || (list_position(names, in_map) - 1) || ']') ELSE k END AS spot FROM m),
+g AS (SELECT *, regexp_extract(path, '^(.*(\\[\\]|\\{\\}))', 1) AS grp FROM p)
+SELECT DISTINCT src, line_id, grp, array_to_string(regexp_extract_all(spot, '\\[(\\d+)\\]', 1), '.') AS place, CASE WHEN grp LIKE '%{}' THEN in_map END AS key,
+ CASE WHEN ltrim(substr(path, length(grp) + 1), '.') = '' THEN 'value' ELSE ltrim(substr(path, length(grp) + 1), '.') END AS column_name, CASE WHEN kind = 'VARCHAR' THEN atom->>'$' ELSE atom::VARCHAR END AS value FROM g"""
+_OF = lambda f: f"CASE WHEN json_type(j, '$.{f}') NOT IN ('OBJECT', 'ARRAY', 'NULL') THEN j->>'$.{f}' END AS {f}"
+_P7_RECORDS = " UNION ALL ".join(
+    f"SELECT '{t}' AS src, line_id, {', '.join(map(_OF, ('mode', 'idx', 'claim', 'verdict', 'backend', 'route', 'date', 'model', 'fixture', 'runs')))} FROM (SELECT line_id, raw::JSON AS j FROM {t} WHERE json_valid(raw) AND json_type(raw) = 'OBJECT')"
+    for t in ("chain_lines", "calibration_lines")
+)
 _P3 = """WITH c AS (SELECT series, file_name, line_no, line_id, raw::JSON AS j FROM chain_lines WHERE json_valid(raw) AND json_type(raw) = 'OBJECT'),
 f0 AS (SELECT series, file_name, line_no, line_id, k AS field, j->('$."' || k || '"') AS v FROM (SELECT *, unnest(json_keys(j)) AS k FROM c) WHERE k <> 'detail'
  UNION ALL SELECT series, file_name, line_no, line_id, 'detail.' || k, j->('$.detail."' || k || '"') FROM (SELECT *, unnest(json_keys(j, '$.detail')) AS k FROM c WHERE json_type(j, '$.detail') = 'OBJECT')),
@@ -85,4 +104,12 @@ SELECT now AS file_name, 'renamed' AS change_kind, field, new_field FROM rn
 UNION SELECT now, 'removed', field, '' FROM gone ANTI JOIN rn USING (now, field)
 UNION SELECT h.now, 'added', h.field, '' FROM fresh h ANTI JOIN rn ON rn.now = h.now AND rn.new_field = h.field
 UNION SELECT st.now, 'retyped', x.field, '' FROM st JOIN ff x ON x.series = st.series AND x.file_name = st.was JOIN ff y ON y.series = st.series AND y.file_name = st.now AND y.field = x.field AND y.kinds <> x.kinds"""
-SQL: dict[str, str] = {"p3_found": _P3, "p7_found": _P7}
+# The list of p3_found with its series and the kinds before and after.
+_P3_LIST = _P3[: _P3.index("SELECT now AS file_name")] + """SELECT a.series, a.now AS file_name, a.change_kind, a.field, a.new_field, coalesce(x.kinds, []) AS old_kinds, coalesce(y.kinds, []) AS new_kinds FROM (
+SELECT series, now, was, 'renamed' AS change_kind, field, new_field FROM rn JOIN st USING (now) UNION SELECT series, now, was, 'removed', field, '' FROM gone ANTI JOIN rn USING (now, field)
+UNION SELECT h.series, h.now, h.was, 'added', h.field, '' FROM fresh h ANTI JOIN rn ON rn.now = h.now AND rn.new_field = h.field
+UNION SELECT st.series, st.now, st.was, 'retyped', x.field, '' FROM st JOIN ff x ON x.series = st.series AND x.file_name = st.was JOIN ff y ON y.series = st.series AND y.file_name = st.now AND y.field = x.field AND y.kinds <> x.kinds) a
+LEFT JOIN ff x ON x.series = a.series AND x.file_name = a.was AND x.field = a.field AND a.change_kind <> 'added'
+LEFT JOIN ff y ON y.series = a.series AND y.file_name = a.now AND y.field = CASE WHEN a.new_field <> '' THEN a.new_field ELSE a.field END AND a.change_kind <> 'removed'"""
+_P7_QUOTES = _P7[: _P7.index("SELECT DISTINCT 'chain_lines'")] + "SELECT line_id, num::BIGINT AS num, body AS text, ref AS ref_id FROM quotes WHERE body IS NOT NULL"
+SQL: dict[str, str] = {"p3_found": _P3, "p3_changes": _P3_LIST, "p7_found": _P7, "p7_tables": _P7_LEAVES, "p7_records": _P7_RECORDS, "p7_quotes": _P7_QUOTES}

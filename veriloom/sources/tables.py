@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,12 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the folder of ``spark.checkpoint.dir``.
 
-    The folder is shared by the executors, so losing one of them loses nothing. Only where the
-    session names no folder, as in tests, a temporary one of this machine is set.
+    The folder is shared by the executors, so losing one of them loses nothing. A session of one
+    machine that names no folder, as in tests, gets a temporary one; a cluster must name its own.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        named = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="veriloom-ckpt-")
-        sc.setCheckpointDir(named)
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="veriloom-ckpt-"))
     return df.checkpoint(eager)

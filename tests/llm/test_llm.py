@@ -120,6 +120,23 @@ def test_second_lookalike_goes_by_vocabulary(spark):
     assert forms["p:001"] == "list" and forms["p:003"] == "In"
 
 
+def test_vocabulary_decides_where_tables_cannot(spark, monkeypatch):
+    monkeypatch.setattr(lookalike, "TRIE_WORDS", 2)  # several tries for one key
+    plain = ["over over under lost loss lose love lone Iowa", "ovum list"]
+    forms = {r["rec"]: r["canonical"] for r in lookalike.canonical(texts_of(spark, [*plain, "oυer υnder", "ꓲist Ⅰowa ⅼost ⅼove", "𝐥𝐨𝐬𝐬 ᏞΟЅТ"])).collect()}
+    assert forms["p:002"] == "over under" and forms["p:003"] == "list Iowa lost love" and forms["p:004"] == "loss LOST"
+
+
+def test_classes_and_large_classes(spark, monkeypatch):
+    monkeypatch.setattr(lookalike, "CLASS_ROWS", 2)
+    texts = ["a b", "a  b", "а b", "a b", "c", "c", "d", "ԁ"]
+    df = texts_of(spark, texts)
+    got = {r["rec"]: tuple(r)[1:] for r in lookalike.equal_looking_classes(df).collect()}
+    assert got == {"p:000": ("p:000", "p:000", 3, 4), "p:003": ("p:000", "p:000", 3, 4), "p:001": ("p:000", "p:001", 3, 4), "p:002": ("p:000", "p:002", 3, 4), "p:006": ("p:006", "p:006", 2, 2), "p:007": ("p:006", "p:007", 2, 2)}
+    pairs = {(int(r["rec_a"][2:]), int(r["rec_b"][2:])) for r in lookalike.equal_looking_pairs(df).collect()}
+    assert pairs == {(0, 1), (0, 2), (1, 2), (1, 3), (2, 3), (6, 7)}
+
+
 def test_by_table_is_idempotent():
     for c in list(lookalike.tables())[::7]:
         assert lookalike.by_table(lookalike.by_table(c)) == lookalike.by_table(c)

@@ -3,13 +3,14 @@
 1. A text is suspect if it holds a character that may be an ignorable, foreign white space, a wide or
    narrow form, a ligature, a combining mark or a look-alike letter, which is any but the plain Latin
    ones. Other texts only have their white space made single spaces.
-2. The vocabulary is counted over all plain tokens of all texts, and cut to those whose key, the
-   form in which look-alikes are one letter, is also the key of a suspect token.
-3. Suspect tokens and vocabulary are routed by key. Each shard holds a bounded number of words in a
-   trie, which a weighted edit automaton walks for each suspect token: ignorables and look-alikes
-   cost nothing, a look-alike of a second letter a little, all else more than the limit. The
-   cheapest, then most frequent spelling is canonical; a token that meets none is normalised by
-   table.
+2. The vocabulary is counted over all plain tokens of all texts.
+3. Suspect tokens and vocabulary are routed by a coarse key, the number of visible letters and the
+   first two of them, a suspect token by every reading of these. Each shard holds a bounded number
+   of words in a trie, which a weighted edit automaton walks for each suspect token: ignorables and
+   look-alikes cost nothing, the second reading of a letter that looks like two a little, all else
+   more than the limit, since case, accents and digits differ. The cheapest, then most frequent
+   spelling is canonical; a token that meets none is normalised by table. For letters with one reading
+   both ways agree; those with two, as a stroke that is I or l, are decided by the vocabulary alone.
 4. Tokens are put back in their places.
 
 Case, accents, digits and words differ; so 0 and O, or 1 and l, are never made one.
@@ -33,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veriloom.llm.records import one_per_record
+from veriloom.operators.skew import heavy_join
 from veriloom.sources.tables import checkpointed
 
 # Letters of other scripts that look like a Latin letter in common typefaces.
@@ -47,11 +49,19 @@ LOOKALIKES = {
     "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J", "ο": "o", "ν": "v", "α": "a", "ι": "i", "ρ": "p", "ϲ": "c", "ϳ": "j", "υ": "u", "κ": "k", "χ": "x", "γ": "y", "τ": "t", "η": "n",
     # Armenian and others
     "օ": "o", "ս": "u", "հ": "h", "ց": "g", "ո": "n", "Օ": "O", "Ս": "U", "ɑ": "a", "ɡ": "g", "ı": "i",
+    # Cherokee
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮐ": "G", "Ꮓ": "Z", "Ꮖ": "I",
+    "Ꮩ": "V", "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ᏼ": "B",
+    # Lisu
+    "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N",
+    "ꓡ": "L", "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
+    # Small capitals that look like the small letter
+    "ᴄ": "c", "ᴏ": "o", "ᴠ": "v", "ᴡ": "w", "ᴢ": "z", "ꜱ": "s", "ᴜ": "u",
     # Hyphens
     "‐": "-", "‑": "-",
 }
 # Letters that also look like a second Latin letter.
-SECOND = {"Ӏ": "l", "ӏ": "I", "І": "l", "Ι": "l"}
+SECOND = {"Ӏ": "l", "ӏ": "I", "І": "l", "Ι": "l", "Ꮖ": "l", "ꓲ": "l", "Ⅰ": "l", "ⅼ": "I", "υ": "v", "γ": "v", "ո": "u"}
 # White space, as the inside of a character class; and ignorables besides category Cf.
 SPACES = "\t\n\x0b\x0c\r\x1c-\x20\x85\xa0  -     　"
 IGNORED = "͏ᅟᅠ឴឵ㅤﾠ"
@@ -59,16 +69,22 @@ IGNORED = "͏ᅟᅠ឴឵ㅤﾠ"
 PLAIN = r"\x20-\x7e\t\n\r\u00a1-\u00ac\u00ae-\u0130\u0132-\u024f\u2012-\u2027\u2030-\u205e\u20a0-\u20bf"
 #: What the automaton allows: a look-alike is free, a second letter costs SECOND_COST, more than LIMIT is no match.
 SECOND_COST, LIMIT = 0.25, 0.5
-#: Words of one trie.
-TRIE_WORDS = 20_000
+#: Words of one trie, and members of a class that meet in one task.
+TRIE_WORDS, CLASS_ROWS = 20_000, 10_000
+
+
+def _styled(n: int, c: str, tag: str) -> bool:
+    """Whether a character is a mathematical form, or a Roman numeral, of one Latin letter or digit."""
+    plain = unicodedata.normalize("NFKC", c)
+    return len(plain) == 1 and plain.isascii() and (tag == "<font>" or 0x2160 <= n < 0x2180)
 
 
 @cache
 def tables() -> dict[str, str]:
     """The mapping of single characters.
 
-    Built by rule from the Unicode data: wide, narrow and no-break forms, Latin ligatures, canonical
-    singletons, format characters and controls, beside the fixed look-alikes.
+    Built by rule from the Unicode data: wide, narrow, mathematical and no-break forms, Latin
+    ligatures, canonical singletons, format characters and controls, beside the fixed look-alikes.
     """
     space = re.compile(f"[{SPACES}]")
     to: dict[str, str] = dict(LOOKALIKES)
@@ -81,7 +97,7 @@ def tables() -> dict[str, str]:
             to[c] = ""
         elif c not in to and (d := unicodedata.decomposition(c)):
             tag = d.split()[0]
-            if tag in ("<wide>", "<narrow>", "<noBreak>") or 0xFB00 <= n < 0xFB07:
+            if tag in ("<wide>", "<narrow>", "<noBreak>") or 0xFB00 <= n < 0xFB07 or _styled(n, c, tag):
                 to[c] = unicodedata.normalize("NFKC", c)
             elif tag[0] != "<" and len(d.split()) == 1:
                 to[c] = unicodedata.normalize("NFC", c)
@@ -100,9 +116,17 @@ def by_table(token: str) -> str:
     return unicodedata.normalize("NFC", unicodedata.normalize("NFD", token.translate(to)).translate(to))
 
 
-def key_of(token: str) -> str:
-    """The table's form with the letters that second look-alikes join made one."""
-    return by_table(token).replace("I", "l")
+def key_of(word: str) -> str:
+    """The coarse key of a plain word: its length and its first two letters."""
+    return f"{len(word)}:{word[:2]}"
+
+
+def keys_of(token: str) -> set[str]:
+    """The coarse keys of a suspect token, for every reading of its letters within the limit."""
+    live = {(0, "", 0.0)}
+    for options in units(token):
+        live = {(n + len(s), (head + s)[:2], cost + w) for n, head, cost in live for s, w in options if cost + w <= LIMIT}
+    return {f"{n}:{head}" for n, head, _ in live}
 
 
 def units(token: str) -> list[list[tuple[str, float]]]:
@@ -131,8 +155,8 @@ class Trie:
             node = node.setdefault(c, {})
         node[""] = node.get("", 0) + n
 
-    def match(self, token: str) -> str | None:
-        """The cheapest, then most frequent, then smallest spelling of a token within the limit."""
+    def match(self, token: str) -> tuple[float, int, str] | None:
+        """The cheapest, then most frequent, then smallest spelling of a token within the limit: (cost, -n, spelling)."""
         live = [(self.root, "", 0.0)]
         for options in units(token):
             nxt = []
@@ -145,7 +169,7 @@ class Trie:
                         nxt.append((at, word + s, cost + w))
             live = nxt
         ends = [(cost, -node[""], word) for node, word, cost in live if "" in node]
-        return min(ends)[2] if ends else None
+        return min(ends) if ends else None
 
 
 def is_suspect(text: Column) -> Column:
@@ -171,40 +195,51 @@ def digest(col: str) -> list[Column]:
 
 
 def spellings(texts: DataFrame) -> DataFrame:
-    """(token, spelling) of every suspect token of the texts; the vocabulary is counted over all of them."""
+    """(token, n, spelling) of every suspect token of the texts; the vocabulary is counted over all of them."""
     # Cut from its lineage, so that the filters below aren't pushed under the count and all tokens aren't counted twice.
     words = checkpointed(texts.select(F.explode(tokens(F.col("text"))).alias("token")).where("token <> ''").groupBy("token").agg(F.count(F.lit(1)).alias("n")))
 
-    def with_key(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def with_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.assign(key=[key_of(t) for t in b["token"]])
+            yield pd.DataFrame([(t, n, k) for t, n in zip(b["token"], b["n"]) for k in keys_of(t)], columns=["token", "n", "key"])
 
-    odd = words.where(is_suspect(F.col("token"))).mapInPandas(with_key, "token string, n long, key string")
-    plain = words.where(~is_suspect(F.col("token"))).select("token", "n", F.replace("token", F.lit("I"), F.lit("l")).alias("key"))
-    wanted = plain.join(odd.select("key").distinct(), "key", "left_semi").select("key", "token", "n", F.lit(False).alias("odd"))
-    shards = wanted.unionByName(odd.select("key", "token", "n", F.lit(True).alias("odd"))).repartition("key").sortWithinPartitions("key", "odd")
+    odd = words.where(is_suspect(F.col("token")))
+    keyed = odd.mapInPandas(with_keys, "token string, n long, key string")
+    plain = words.where(~is_suspect(F.col("token"))).select("token", "n", F.concat_ws(":", F.char_length("token"), F.substring("token", 1, 2)).alias("key"))
+    wanted = plain.join(keyed.select("key").distinct(), "key", "left_semi").select("key", "token", "n", F.lit(False).alias("odd"))
+    shards = wanted.unionByName(keyed.select("key", "token", "n", F.lit(True).alias("odd"))).repartition("key").sortWithinPartitions("key", F.desc("odd"))
 
     def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple] = []
+        trie, n_words, asked, own, key = Trie(), 0, [], 0, None
 
-        def done() -> pd.DataFrame:
-            trie = Trie()
-            for _, token, n, is_odd in held:
-                if not is_odd:
-                    trie.add(token, n)
-            rows = [(token, m if (m := trie.match(token)) is not None else by_table(token)) for _, token, _, is_odd in held if is_odd]
-            held.clear()
-            return pd.DataFrame(rows, columns=["token", "spelling"])
+        def walked() -> pd.DataFrame:
+            return pd.DataFrame([(t, *m) for t in asked if (m := trie.match(t)) is not None], columns=["token", "cost", "less", "spelling"])
 
         for b in batches:
-            for row in b.itertuples(index=False, name=None):
-                if len(held) >= TRIE_WORDS and row[0] != held[-1][0]:
-                    yield done()
-                held.append(row)
-        if held:
-            yield done()
+            for k, token, n, is_odd in b.itertuples(index=False, name=None):
+                if k != key and n_words >= TRIE_WORDS:
+                    yield walked()
+                    trie, n_words, asked = Trie(), 0, []
+                if k != key:
+                    key, own = k, len(asked)
+                if is_odd:
+                    asked.append(token)
+                    continue
+                if n_words >= 2 * TRIE_WORDS:  # more words of one key than a trie holds: its tokens walk the next one too
+                    yield walked()
+                    trie, n_words, asked, own = Trie(), 0, asked[own:], 0
+                trie.add(token, n)
+                n_words += 1
+        if asked:
+            yield walked()
+
+    def tabled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"token": b["token"], "n": b["n"], "table": [by_table(t) for t in b["token"]]})
 
-    return shards.mapInPandas(spell, "token string, spelling string")
+    best = shards.mapInPandas(spell, "token string, cost double, less long, spelling string").groupBy("token").agg(F.min(F.struct("cost", "less", "spelling"))["spelling"].alias("spelling"))
+    rest = odd.select("token", "n").mapInPandas(tabled, "token string, n long, table string")
+    return checkpointed(rest.join(best, "token", "left").select("token", "n", F.coalesce("spelling", "table").alias("spelling")))
 
 
 def rebuilt(texts: DataFrame) -> DataFrame:
@@ -213,7 +248,8 @@ def rebuilt(texts: DataFrame) -> DataFrame:
     odd = texts.where(is_suspect(F.col("text"))).select(t1.alias("t1"), t2.alias("t2"), "text").dropDuplicates(["t1", "t2"])
     # Only suspect tokens leave their text; it is put together again where it is, from a map of their places.
     placed = odd.select("t1", "t2", F.posexplode(tokens(F.col("text"))).alias("pos", "token")).where(is_suspect(F.col("token")))
-    fixes = placed.join(spellings(texts), "token").groupBy("t1", "t2").agg(F.map_from_entries(F.collect_list(F.struct("pos", "spelling"))).alias("fix"))
+    # In text of another script its common words are suspect tokens too, and hot.
+    fixes = heavy_join(placed, spellings(texts), ["token"], "n", F.xxhash64("t1", "pos")).groupBy("t1", "t2").agg(F.map_from_entries(F.collect_list(F.struct("pos", "spelling"))).alias("fix"))
     put = F.transform(tokens(F.col("text")), lambda x, i: F.coalesce(F.try_element_at("fix", i), x))
     return odd.join(fixes, ["t1", "t2"], "left").select("t1", "t2", F.array_join(F.filter(put, lambda x: x != ""), " ").alias("canonical"))
 
@@ -244,11 +280,27 @@ def digests(texts: DataFrame) -> DataFrame:
     return recs.where("c1 is not null").unionByName(odd.select("rec", "t1", "t2", c1.alias("c1"), c2.alias("c2")))
 
 
+def equal_looking_classes(texts: DataFrame) -> DataFrame:
+    """The classes of records that look the same but differ: rec, class_id, variant, n_variants, n_members.
+
+    A class has at least two different texts; class_id is its smallest record, variant the smallest
+    record with the same characters.
+    """
+    keyed = digests(texts)
+    variants = keyed.groupBy("c1", "c2", "t1", "t2").agg(F.min("rec").alias("variant"), F.count(F.lit(1)).alias("n"))
+    classes = variants.groupBy("c1", "c2").agg(F.min("variant").alias("class_id"), F.count(F.lit(1)).alias("n_variants"), F.sum("n").alias("n_members")).where("n_variants > 1")
+    return keyed.join(variants.drop("n").join(classes, ["c1", "c2"]), ["c1", "c2", "t1", "t2"]).select("rec", "class_id", "variant", "n_variants", "n_members")
+
+
 def equal_looking_pairs(texts: DataFrame) -> DataFrame:
-    """Pairs (rec_a, rec_b) of records with one canonical form whose texts differ; rec_a < rec_b."""
+    """Pairs (rec_a, rec_b) of records with one canonical form whose texts differ; rec_a < rec_b.
+
+    The members of a class of more than ``CLASS_ROWS`` are spread over as many tasks as it has such
+    parts, each of which meets all of them.
+    """
     keyed = digests(texts)
-    mixed = keyed.groupBy("c1", "c2").agg(F.min(F.struct("t1", "t2")).alias("x"), F.max(F.struct("t1", "t2")).alias("y")).where("x <> y").select("c1", "c2")
-    rows = keyed.join(mixed, ["c1", "c2"], "left_semi")
-    a = rows.select("c1", "c2", F.col("rec").alias("rec_a"), F.col("t1").alias("a1"), F.col("t2").alias("a2"))
-    b = rows.select("c1", "c2", F.col("rec").alias("rec_b"), F.col("t1").alias("b1"), F.col("t2").alias("b2"))
-    return a.join(b, ["c1", "c2"]).where("rec_a < rec_b and (a1 <> b1 or a2 <> b2)").select("rec_a", "rec_b")
+    mixed = keyed.groupBy("c1", "c2").agg(F.min(F.struct("t1", "t2")).alias("x"), F.max(F.struct("t1", "t2")).alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y")
+    rows = keyed.join(mixed.select("c1", "c2", F.ceil(F.col("n") / CLASS_ROWS).cast("int").alias("parts")), ["c1", "c2"])
+    a = rows.select("c1", "c2", F.pmod(F.xxhash64("rec"), F.col("parts")).cast("int").alias("part"), F.col("rec").alias("rec_a"), F.col("t1").alias("a1"), F.col("t2").alias("a2"))
+    b = rows.select("c1", "c2", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("rec").alias("rec_b"), F.col("t1").alias("b1"), F.col("t2").alias("b2"))
+    return a.join(b, ["c1", "c2", "part"]).where("rec_a < rec_b and (a1 <> b1 or a2 <> b2)").select("rec_a", "rec_b")

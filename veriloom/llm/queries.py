@@ -34,6 +34,11 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.equal_looking_pairs(_texts(spark, d))
 
 
+def p2_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The class of every passage, quote and route paragraph that looks like another but differs."""
+    return lookalike.equal_looking_classes(_texts(spark, d))
+
+
 def p2_forms(spark: SparkSession, d: str) -> DataFrame:
     """The one form of every passage, quote and route paragraph."""
     return lookalike.canonical(_texts(spark, d)).select("rec", "canonical")
@@ -133,7 +138,7 @@ def p10_segments(spark: SparkSession, d: str) -> DataFrame:
     return langid.segments(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_shared, p2_found, p2_forms, p4_found, p4_consensus, p4_reliability, p5_found, p5_turns, p6_found, p6_paragraphs, p8_ids, p9_mix, p9_shares, p10_found, p10_documents, p10_segments)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_shared, p2_found, p2_classes, p2_forms, p4_found, p4_consensus, p4_reliability, p5_found, p5_turns, p6_found, p6_paragraphs, p8_ids, p9_mix, p9_shares, p10_found, p10_documents, p10_segments)}
 
 
 # The records of problems 1 and 2 in SQL: one row per name, the last delivery.
@@ -144,23 +149,28 @@ _WINDOWS = f"""WITH {_RECS}, t AS (SELECT * FROM p UNION ALL SELECT * FROM q), w
 sh AS (SELECT g FROM w GROUP BY g HAVING count(DISTINCT rec) > 1)"""
 
 
-def _forms_sql() -> str:
-    """SQL for the canonical form, by the same tables, without the vocabulary."""
-    to = {a: b for a, b in lookalike.tables().items() if a != "\x00"}
-    one = {a: b for a, b in to.items() if len(b) == 1}
-    gone = "".join(a for a, b in to.items() if not b)
-    q = lambda s: "'" + s.replace("'", "''") + "'"
-    expr = f"translate(text, {q(''.join(one) + gone)}, {q(''.join(one.values()))})"
-    for a, b in to.items():
-        if len(b) > 1:
-            expr = f"replace({expr}, {q(a)}, {q(b)})"
-    return f"trim(regexp_replace(nfc_normalize({expr}), '[\\s\\x{{0b}}\\x{{1c}}-\\x{{1f}}\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+', ' ', 'g'), ' ')"
+# The canonical form in SQL, from letters and ranges of its own: only texts with other than plain characters are taken apart.
+_SQL_LETTERS = (
+    "АВЕЅІЈКМНОРСТУХаеѕіјорсухһԁԛԝӏΑΒΕΖΗΙΚΜΝΟΡΤΥΧοναιρυκχγτη",
+    "ABESIJKMHOPCTYXaesijopcyxhdqwlABEZHIKMNOPTYXovaipukxytn",
+)
+_SQL_FORM = f"""CASE WHEN regexp_matches(text, '[^\\x20-\\x7e\\n]') THEN array_to_string(list_transform(regexp_extract_all(text, '(?s).'), lambda c:
+ CASE WHEN unicode(c) BETWEEN 65281 AND 65374 THEN chr(unicode(c) - 65248)
+ WHEN unicode(c) IN (9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 5760, 8232, 8233, 8239, 8287, 12288) OR unicode(c) BETWEEN 8192 AND 8202 THEN ' '
+ WHEN unicode(c) < 32 OR unicode(c) BETWEEN 127 AND 159 OR unicode(c) IN (173, 847, 1564, 6158, 65279) OR unicode(c) BETWEEN 8203 AND 8207 OR unicode(c) BETWEEN 8234 AND 8238 OR unicode(c) BETWEEN 8288 AND 8303 OR unicode(c) BETWEEN 65024 AND 65039 THEN ''
+ WHEN c = 'ﬁ' THEN 'fi' WHEN c = 'ﬂ' THEN 'fl' WHEN c = 'ﬀ' THEN 'ff' WHEN c = 'ﬃ' THEN 'ffi' WHEN c = 'ﬄ' THEN 'ffl' WHEN unicode(c) IN (8208, 8209) THEN '-'
+ ELSE translate(c, '{_SQL_LETTERS[0]}', '{_SQL_LETTERS[1]}') END), '') ELSE text END"""
+_FORMS = f"""WITH {_RECS}, r AS (SELECT 'r:' || route_no AS rec, paragraph AS text FROM routes_input WHERE paragraph IS NOT NULL),
+x AS (SELECT rec, text, {_SQL_FORM} AS form FROM (SELECT * FROM p UNION ALL SELECT * FROM q UNION ALL SELECT * FROM r)),
+f AS (SELECT rec, text, trim(regexp_replace(nfc_normalize(form), '[ \\n]+', ' ', 'g'), ' ') AS form FROM x)"""
 
 
 SQL: dict[str, str] = {
     "p1_found": f"{_WINDOWS} SELECT DISTINCT rec FROM w SEMI JOIN sh USING (g)",
     "p1_shared": f"""{_WINDOWS}, c AS (SELECT rec, count(*) AS n FROM (SELECT DISTINCT rec, unnest(range(s, s + 160)) AS place FROM w SEMI JOIN sh USING (g)) GROUP BY rec), k AS (SELECT text, count(*) AS n_copies FROM t GROUP BY text)
 SELECT rec, length(text)::INTEGER AS n_chars, coalesce(c.n, 0)::INTEGER AS n_shared, n_copies FROM t LEFT JOIN c USING (rec) JOIN k USING (text)""",
-    "p2_found": f"""WITH {_RECS}, r AS (SELECT 'r:' || route_no AS rec, paragraph AS text FROM routes_input WHERE paragraph IS NOT NULL), f AS (SELECT rec, text, {_forms_sql()} AS form FROM (SELECT * FROM p UNION ALL SELECT * FROM q UNION ALL SELECT * FROM r))
-SELECT a.rec AS rec_a, b.rec AS rec_b FROM f a JOIN f b ON a.form = b.form AND a.rec < b.rec AND a.text <> b.text""",
+    "p2_found": f"{_FORMS} SELECT a.rec AS rec_a, b.rec AS rec_b FROM f a JOIN f b ON a.form = b.form AND a.rec < b.rec AND a.text <> b.text",
+    "p2_classes": f"""{_FORMS}, v AS (SELECT form, text, min(rec) AS variant, count(*) AS n FROM f GROUP BY ALL), k AS (SELECT form, min(variant) AS class_id, count(*) AS n_variants, sum(n)::BIGINT AS n_members FROM v GROUP BY form HAVING count(*) > 1)
+SELECT rec, class_id, variant, n_variants, n_members FROM f JOIN v USING (form, text) JOIN k USING (form)""",
+    "p2_forms": f"{_FORMS} SELECT rec, form AS canonical FROM f",
 }

@@ -162,6 +162,16 @@ def test_consensus_finds_spammers(spark):
     assert right >= 135 and max(rel["a4"], rel["a5"]) < 0.3 and min(rel[f"a{i}"] for i in range(4)) > 0.6
 
 
+def test_consensus_alike_with_hot_keys(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(f"i{rng.randint(0, 12)}", f"a{j}", rng.choice(consensus.VERDICTS[:3])) for j in range(25) for _ in range(8)]
+    df = consensus.latest_labels(spark.createDataFrame([(*r, None, n) for n, r in enumerate(rows)], "item string, annotator string, label string, at timestamp, row_id long"))
+    plain = [sorted(map(str, x.collect())) for x in consensus.fit(df, rounds=3)]
+    for name, value in (("PARAMS_MOST", 0), ("HOT_ROWS", 4)):
+        monkeypatch.setattr(consensus, name, value)
+    assert [sorted(map(str, x.collect())) for x in consensus.fit(df, rounds=3)] == plain
+
+
 def test_consensus_edges(spark):
     schema = "item string, annotator string, label string, at timestamp, row_id long, label2 string"
     t = lambda d: dt.datetime(2024, 1, d)
@@ -396,6 +406,24 @@ def test_mixing_meets_targets_and_caps(spark):
     assert sum(r["n_tokens"] for r in mixing.mix(spark.createDataFrame([], df.schema), goal).collect()) == 0
 
 
+def test_posteriors_move_rates_within_a_source(spark):
+    cat, box = "the cat sat on the mat with its hat ", "zwölf boxkämpfer jagen viktor quer über "
+    docs = [(i, cat * 3, "a") for i in range(40)] + [(100 + i, box * 3, "b") for i in range(40)] + [(200 + i, box * 3, "a") for i in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    goal = spark.createDataFrame([("m", "a", 3.0, 1, 0.5), ("m", "b", 1.0, 1, 0.5)], "mix string, source string, weight double, max_repeats int, size_ratio double")
+    w = mixing.classifier(df, ["a", "b"])
+    q = {r["doc_id"]: (r["own"], list(r["q"])) for r in mixing.memberships(mixing.bpe.token_counts(df, ["doc_id", "source", "text"]), w, ["a", "b"]).collect()}
+    assert q[0][1][0] > q[200][1][0] and q[0][0] == q[200][0] == 0 and len(q) == 120
+    rows = mixing.mix(df, goal).collect()
+    tokens = {s: sum(r["n_tokens"] * r["copies"] for r in rows if r["source"] == s) for s in "ab"}
+    total = sum(mixing.bpe.token_counts(df, ["doc_id"]).toPandas()["n_tokens"])
+    assert abs(tokens["a"] - 0.375 * total) <= 40 and abs(tokens["b"] - 0.125 * total) <= 40
+    # Of one source, texts that read like it have the greater rate while it wants more than the others.
+    m, one = mixing._members(np.array([0, 0]), np.array([True, True]), np.array([[16.0, 0.0], [8.0, 8.0]]))
+    few, many = mixing._rate(m, one, np.ones(2), [("soft", np.array([0.5, 0.1])), ("own", np.array([0.1, 0.1]))])[::-1]
+    assert few < many < 1
+
+
 def test_mixing_soft_members(spark):
     docs = [(i, "the cat sat on the mat with its hat " * 3, "a") for i in range(40)] + [(100 + i, "zwölf boxkämpfer jagen viktor quer über " * 3, "b") for i in range(40)] + [(200 + i, "zwölf jagen quer boxkämpfer über viktor " * 3, None) for i in range(20)]
     df = spark.createDataFrame(docs, "doc_id long, text string, source string")

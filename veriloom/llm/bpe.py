@@ -132,6 +132,6 @@ def token_counts(docs: DataFrame, keys: list[str], text: str = "text", path: str
         for b in batches:
             yield b[keys].assign(n_tokens=[len(bpe.encode(t)) for t in b[text]])
 
-    part = docs.select(*(F.col(k).cast("string").alias(k) for k in keys), text)
+    part = docs.select(*(F.col(k).cast("string").alias(k) for k in keys), *([] if text in keys else [text]))
     schema = ", ".join(f"`{k}` string" for k in keys)
     return part.mapInPandas(run, f"{schema}, n_tokens long").select(*(F.col(k).cast(docs.schema[k].dataType).alias(k) for k in keys), "n_tokens")

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from veriloom.operators.skew import heavy_join
 from veriloom.sources.tables import checkpointed
 
 # The verdicts of the judge, and the stems their spellings begin with.
@@ -30,6 +31,9 @@ STEMS = {"faith": "faithful", "partial": "partial", "overstat": "overstated", "a
 #: Pseudo-counts of competence (right, wrong) and of each guess; iterations at most; the change that ends them.
 PRIOR_RIGHT, PRIOR_WRONG, PRIOR_GUESS = 2.0, 1.0, 0.5
 ROUNDS, SETTLED = 25, 1e-3
+#: Parameters that are broadcast at most; labels of one item and class beyond which their posterior is broadcast, if they are also more
+#: than one in HEAVY of all labels, so that there are fewer than HEAVY such pairs.
+PARAMS_MOST, HOT_ROWS, HEAVY = 200_000, 50_000, 10_000
 
 
 def verdict_of(raw: Column) -> Column:
@@ -113,20 +117,40 @@ def fit(labels: DataFrame, classes: tuple[str, ...] = VERDICTS, rounds: int = RO
     start = votes.select("item", "label", (F.col("n") / F.sum("n").over(per_item)).alias("p"))
     posterior = start
     counts = labels.groupBy("annotator").agg(F.sum("n").alias("n_labels"))
+    pairs = checkpointed(labels.groupBy("annotator", "label").agg(F.count(F.lit(1)).alias("rows")))
+    n_rows, n_pairs = pairs.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.count(F.lit(1))).first()
+    hot = checkpointed(labels.groupBy("item", "label").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > max(HOT_ROWS, n_rows / HEAVY)).select("item", "label", F.lit(True).alias("hot")))
+    any_hot = not hot.isEmpty()
+    if any_hot:
+        labels = checkpointed(labels.join(F.broadcast(hot), ["item", "label"], "left"))
+
+    def with_params(rows: DataFrame, params: DataFrame) -> DataFrame:
+        # An annotator may have labelled most items.
+        if n_pairs <= PARAMS_MOST:
+            return rows.join(F.broadcast(params), ["annotator", "label"])
+        return heavy_join(rows, params.join(pairs, ["annotator", "label"]), ["annotator", "label"], "rows", F.xxhash64("item"))
+
+    def with_posterior(posterior: DataFrame) -> DataFrame:
+        # And an item may have most labels.
+        if not any_hot:
+            return labels.join(posterior, ["item", "label"])
+        known = posterior.join(F.broadcast(hot.select("item", "label")), ["item", "label"], "left_semi")
+        return labels.where("hot is null").join(posterior, ["item", "label"]).unionByName(labels.where("hot").join(F.broadcast(known), ["item", "label"]))
+
     params, prev = None, None
     for _ in range(rounds):
-        by = labels.join(posterior, ["item", "label"])
+        by = with_posterior(posterior)
         if params is None:  # at first the vote share stands for competence
             comp = by.select("annotator", "label", "n", F.col("p").alias("c"))
         else:
-            comp = by.join(params.select("annotator", "label", "theta", "xi"), ["annotator", "label"]).select("annotator", "label", "n", (F.col("p") * F.col("theta") / (F.col("theta") + (1 - F.col("theta")) * F.col("xi"))).alias("c"))
+            comp = with_params(by, params).select("annotator", "label", "n", (F.col("p") * F.col("theta") / (F.col("theta") + (1 - F.col("theta")) * F.col("xi"))).alias("c"))
         cells = comp.groupBy("annotator", "label").agg(F.sum(F.col("n") * F.col("c")).alias("c"), F.sum("n").alias("n"))
         own = W.partitionBy("annotator")
         theta = (F.sum("c").over(own) + PRIOR_RIGHT) / (F.sum("n").over(own) + PRIOR_RIGHT + PRIOR_WRONG)
         xi = (F.col("n") - F.col("c") + PRIOR_GUESS) / (F.sum(F.col("n") - F.col("c")).over(own) + k * PRIOR_GUESS)
         params = checkpointed(cells.select("annotator", "label", theta.alias("theta"), xi.alias("xi")))
         # A label's weight for its own class, over what a guess would give it anyway.
-        scores = labels.join(params, ["annotator", "label"]).groupBy("item", "label").agg(F.sum(F.col("n") * F.log1p(F.col("theta") / ((1 - F.col("theta")) * F.col("xi")))).alias("s"))
+        scores = with_params(labels, params).groupBy("item", "label").agg(F.sum(F.col("n") * F.log1p(F.col("theta") / ((1 - F.col("theta")) * F.col("xi")))).alias("s"))
         top = F.max("s").over(per_item)
         # Classes that nobody chose have score 0 each.
         rest = (F.lit(k) - F.count(F.lit(1)).over(per_item)) * F.exp(-top)

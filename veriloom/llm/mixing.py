@@ -1,13 +1,15 @@
 """Mixing sources to target weights (problem 9), by soft membership and projected-gradient least squares.
 
-1. Every document's size is counted in tokens of a public tokenizer.
-2. A document's membership is its given source; for a document whose source is missing, a classifier
-   trained on a bounded sample of the labelled table predicts a posterior over the sources.
-3. Document rates, between 0 and the repeats allowed, are fitted so that each source's expected
-   tokens match its target: projected-gradient steps on the squared gaps. A step needs only the
-   sums of expected tokens by mix and source, a table of fixed size. A document's rate follows from
-   its membership and the gaps so far, so no rate is stored, and all documents of one given source
-   are one row of the fit.
+1. Every document's size is counted in tokens of a public tokenizer, and a classifier trained on a
+   bounded sample of the labelled table predicts its posterior over the sources, in the same pass.
+2. A document's membership is its posterior; where its source is given, that counts ``TRUST`` and the
+   posterior the rest. Documents of one source and one posterior, in steps of 1/``GRID``, have one rate
+   and are one row of the fit.
+3. Rates, between 0 and the repeats allowed, are fitted so that each source's expected
+   tokens match its target: projected-gradient steps on the squared gaps, each a distributed sum of expected
+   tokens by mix and source, a table of fixed size. A rate follows from the membership and the gaps so
+   far, so none is stored. Shares are stated by given source, so the last steps go by that alone:
+   they leave what the posteriors made of the rates within a source, and mend its sum.
 4. Rates become whole copies: all take the whole part, and the rest goes to documents in the order
    of a hash, up to the amount wanted. The cut is found by a histogram of fixed size, then exactly
    among the documents of one bin.
@@ -35,13 +37,15 @@ from veriloom.llm import bpe, langid
 from veriloom.sources.tables import checkpointed
 
 #: Distinct labelled texts of each source in the classifier's sample, at most; steps of the fit, and the relative gap that ends it.
-PER_SOURCE, STEPS, CLOSE = 150, 60, 1e-4
+PER_SOURCE, STEPS, CLOSE = 150, 20, 1e-4
+#: What a given source counts in its document's membership, and the steps in which posteriors are kept.
+TRUST, GRID = 0.5, 16
 #: Bins of the histogram of hashes; sources that mixes may name.
 BINS, SOURCES_MOST = 4096, 10_000
 
 
-def _posteriors(docs: DataFrame, missing: DataFrame, sources: list[str]) -> DataFrame:
-    """(doc_id, q) for documents without a source: posteriors of a classifier trained on labelled ones."""
+def classifier(docs: DataFrame, sources: list[str]) -> np.ndarray:
+    """Weights of a classifier of sources, trained on a bounded sample of the documents (text, source)."""
     labelled = docs.where(F.col("source").isin(sources) & (F.length("text") > 0)).select("text", "source")
     sample = langid.drawn(labelled, "source", PER_SOURCE)
     y = np.array([sources.index(s) for s in sample["source"]], int)
@@ -51,21 +55,40 @@ def _posteriors(docs: DataFrame, missing: DataFrame, sources: list[str]) -> Data
         examples.append((np.r_[u, langid.DIM], np.r_[20 * c / max(1, c.sum()), 1.0]))
     weights = langid.ftrl(examples, y, len(sources)) if examples else np.zeros((langid.DIM + 1, len(sources)))
     weights[:-1] *= 20
-    shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
+    return weights.astype(np.float32)
+
+
+def memberships(sized: DataFrame, weights: np.ndarray, sources: list[str]) -> DataFrame:
+    """(doc_id, own, given, n_tokens, q) of documents (doc_id, source, text, n_tokens): posteriors ``q`` in GRID steps.
+
+    ``own`` is the number of the given source, or of the likeliest where none is given; sources of no mix have no row.
+    """
+    shared = sized.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number = {s: i for i, s in enumerate(sources)}
         for b in batches:
-            q = langid.softmax(langid.scores(b["text"].tolist(), shared.value), 1.0)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "q": list(q)})
+            q = langid.softmax(langid.scores(b["text"].tolist(), shared.value), 1.0) if len(b) else np.zeros((0, len(sources)))
+            given = b["source"].notna().to_numpy()
+            own = np.where(given, b["source"].map(number).fillna(-1).astype(int), q.argmax(axis=1) if len(b) else 0)
+            yield pd.DataFrame({"doc_id": b["doc_id"], "own": own, "given": given, "n_tokens": b["n_tokens"], "q": list(np.rint(q * GRID).astype(np.int16))})
+
+    known = F.col("source").isNull() | F.col("source").isin(sources)
+    return sized.where(known).select("doc_id", "source", "text", "n_tokens").mapInPandas(run, "doc_id long, own int, given boolean, n_tokens long, q array<short>")
+
 
-    return missing.mapInPandas(run, "doc_id long, q array<double>")
+def _members(own: np.ndarray, given: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(memberships, own sources as rows of zeros and a one)."""
+    one = np.eye(q.shape[1])[own]
+    q = q / np.maximum(q.sum(axis=1, keepdims=True), 1)
+    return np.where(given[:, None], TRUST * one + (1 - TRUST) * q, q), one
 
 
-def _rate(q: np.ndarray, cap: np.ndarray, gaps: list[np.ndarray], start: float) -> np.ndarray:
-    """Rates of documents (rows of q, one mix) after the steps whose scaled gaps are given."""
-    r = np.minimum(start, cap)
-    for g in gaps:
-        r = np.clip(r + q @ g, 0.0, cap)
+def _rate(m: np.ndarray, one: np.ndarray, cap: np.ndarray, gaps: list[tuple[str, np.ndarray]]) -> np.ndarray:
+    """Rates of rows of memberships, for one mix, after the steps whose scaled gaps are given."""
+    r, top = np.zeros(len(m)), one @ cap
+    for by, g in gaps:
+        r = np.clip(r + (m if by == "soft" else one) @ g, 0.0, top)
     return r
 
 
@@ -80,68 +103,71 @@ def mix(docs: DataFrame, targets: DataFrame, path: str | None = None) -> DataFra
     if len(rows) > SOURCES_MOST:
         raise ValueError(f"mixes name more than {SOURCES_MOST} sources")
     mixes, sources = sorted(rows["mix"].unique()), sorted(rows["source"].unique())
+    drawn_schema = "mix string, source string, doc_id long, n_tokens long, rate double, cap double"
+    if not mixes:
+        return whole_copies(spark.createDataFrame([], drawn_schema))
     base = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.nullif(F.btrim("source"), F.lit("")).alias("source"), "text")
-    sized = checkpointed(bpe.token_counts(base, ["doc_id", "source"], path=path).where("n_tokens > 0"))
-    by_source = {r["source"]: (int(r["t"]), int(r["n"])) for r in sized.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n")).where("source is null").unionByName(sized.where(F.col("source").isin(sources)).groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n"))).collect()}
-    total = sized.agg(F.sum("n_tokens")).first()[0] or 0
+    counted = bpe.token_counts(base, ["doc_id", "source", "text"], path=path).where("n_tokens > 0")
+    # Documents of no mix count for the size of the corpus alone.
+    others = bpe.token_counts(base.where(~F.col("source").isin(sources)), ["doc_id"], path=path).agg(F.sum("n_tokens")).first()[0] or 0
+    soft = checkpointed(memberships(counted, classifier(base, sources), sources))
+    groups = checkpointed(soft.groupBy("own", "given", "q").agg(F.sum("n_tokens").alias("t")))
     cap = np.zeros((len(mixes), len(sources)))
     goal = np.zeros_like(cap)
+    gaps: list[list[tuple[str, np.ndarray]]] = [[] for _ in mixes]
+
+    def expected() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens held by membership and by own source, then expected by membership and own source for each mix."""
+        past, n = [list(g) for g in gaps], len(sources)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            acc = np.zeros((2 + 2 * len(past), n))
+            for b in batches:
+                m, one = _members(b["own"].to_numpy(), b["given"].to_numpy(bool), np.vstack(b["q"].to_list()).astype(float))
+                t = b["t"].to_numpy(float)
+                acc[0] += t @ m
+                acc[1] += t @ one
+                for i, g in enumerate(past):
+                    used = _rate(m, one, cap[i], g) * t
+                    acc[2 + i] += used @ m
+                    acc[2 + len(past) + i] += used @ one
+            yield pd.DataFrame({"i": np.arange(acc.size), "t": acc.ravel()})
+
+        flat = np.zeros((2 + 2 * len(past)) * n)
+        sums = groups.mapInPandas(run, "i int, t double").groupBy("i").agg(F.sum("t").alias("t")).toPandas()
+        flat[sums["i"]] = sums["t"]
+        all_ = flat.reshape(-1, n)
+        return all_[:2], all_[2 : 2 + len(past)], all_[2 + len(past) :]
+
+    held, _, _ = expected()
+    total = held[1].sum() + others
     for m, s, w, c, ratio in rows.itertuples(index=False):
         i, j = mixes.index(m), sources.index(s)
         cap[i, j] = c
         goal[i, j] = w / max(1e-12, rows.loc[rows["mix"] == m, "weight"].sum()) * ratio * total
-    held = np.array([by_source.get(s, (0, 0))[0] for s in sources], float)
-    soft = None
-    if by_source.get(None, (0, 0))[1] and sources:
-        missing = base.where("source is null and length(text) > 0").select("doc_id", "text")
-        soft = checkpointed(_posteriors(base, missing, sources).join(sized.where("source is null").select("doc_id", "n_tokens"), "doc_id"))
-    one = np.eye(len(sources))
-    gaps: list[list[np.ndarray]] = [[] for _ in mixes]
-    for _ in range(STEPS):
-        got = np.zeros_like(goal)
-        for i in range(len(mixes)):
-            got[i] = _rate(one, cap[i], gaps[i], 0.0) * held
-        if soft is not None:
-            past = gaps
-
-            def expect(batches: Iterator[pd.DataFrame], past=past) -> Iterator[pd.DataFrame]:
-                acc = np.zeros_like(goal)
-                for b in batches:
-                    q = np.vstack(b["q"].to_list())
-                    for i in range(len(goal)):
-                        acc[i] += (_rate(q, q @ cap[i], past[i], 0.0) * b["n_tokens"].to_numpy()) @ q
-                yield pd.DataFrame({"i": np.arange(acc.size), "t": acc.ravel()})
-
-            sums = soft.mapInPandas(expect, "i int, t double").groupBy("i").agg(F.sum("t").alias("t")).toPandas()
-            flat = np.zeros(goal.size)
-            flat[sums["i"]] = sums["t"]
-            got += flat.reshape(goal.shape)
-            held_soft = 1.0
-        else:
-            held_soft = 0.0
-        # A step in rates: the gap over the tokens that answer to it.
-        room = np.maximum(held, 1.0) * (1 + 0.5 * held_soft)
-        step = (goal - got) / room
-        full = (step > 0) & (np.vstack([_rate(one, cap[i], gaps[i], 0.0) for i in range(len(mixes))]) >= cap) if len(mixes) else step > 0
-        gaps = [[*g, step[i]] for i, g in enumerate(gaps)]
-        if not len(mixes) or np.all((np.abs(goal - got) <= CLOSE * np.maximum(goal, 1)) | full):
-            break
-    final = [_rate(one, cap[i], gaps[i], 0.0) for i in range(len(mixes))]
-    plan = [(m, s, float(final[i][j]), float(cap[i, j])) for i, m in enumerate(mixes) for j, s in enumerate(sources) if held[j] and final[i][j] > 0]
-    plan_df = spark.createDataFrame(plan or [("", "", 0.0, 0.0)], "mix string, source string, rate double, cap double").where("rate > 0")
-    drawn = sized.where("source is not null").join(F.broadcast(plan_df), "source")
-    if soft is not None:
-        last = gaps
-
-        def rates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                q = np.vstack(b["q"].to_list())
-                top = q.argmax(axis=1)
-                for i, m in enumerate(mixes):
-                    yield pd.DataFrame({"source": [sources[j] for j in top], "doc_id": b["doc_id"], "n_tokens": b["n_tokens"], "mix": m, "rate": np.minimum(_rate(q, q @ cap[i], last[i], 0.0), cap[i][top]), "cap": cap[i][top]})
+    for by in ("soft", "own"):
+        before = np.inf
+        for _ in range(STEPS):
+            _, by_member, by_own = expected()
+            got, room = (by_member, held[0]) if by == "soft" else (by_own, held[1])
+            gap = np.where(room > 0, goal - got, 0.0)
+            worst = (np.abs(gap) / np.maximum(goal, 1)).max()
+            # Done, or nothing moves any more, as where all that a source holds is taken.
+            if worst <= CLOSE or before - np.abs(gap).sum() <= CLOSE * goal.sum() / 100:
+                break
+            before = np.abs(gap).sum()
+            gaps = [[*g, (by, gap[i] / np.maximum(room, 1.0))] for i, g in enumerate(gaps)]
+    final = gaps
+
+    def rates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            own = b["own"].to_numpy()
+            m, one = _members(own, b["given"].to_numpy(bool), np.vstack(b["q"].to_list()).astype(float)) if len(b) else (np.zeros((0, len(sources))),) * 2
+            for i, name in enumerate(mixes):
+                r = _rate(m, one, cap[i], final[i])
+                yield pd.DataFrame({"mix": name, "source": [sources[j] for j in own], "doc_id": b["doc_id"], "n_tokens": b["n_tokens"], "rate": r, "cap": one @ cap[i]})[r > 0]
 
-        drawn = drawn.unionByName(soft.mapInPandas(rates, "source string, doc_id long, n_tokens long, mix string, rate double, cap double").where("rate > 0"))
-    return whole_copies(drawn)
+    return whole_copies(soft.mapInPandas(rates, drawn_schema))
 
 
 def whole_copies(drawn: DataFrame) -> DataFrame:
@@ -153,7 +179,8 @@ def whole_copies(drawn: DataFrame) -> DataFrame:
     by = W.partitionBy(*key)
     up = by.orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
     cuts = hist.select(*key, "bin", "t", F.sum("part").over(by).alias("wanted"), F.sum("t").over(up).alias("upto")).select(*key, "bin", "wanted", (F.col("upto") - F.col("t")).alias("before"), "upto")
-    flagged = rows.join(F.broadcast(cuts), [*key, "bin"])
+    # As many rows as mixes have sources, times BINS: left to the join's own choice, as that may be too many to broadcast.
+    flagged = rows.join(cuts, [*key, "bin"])
     inside = W.partitionBy(*key, "bin").orderBy("u", "doc_id").rowsBetween(W.unboundedPreceding, 0)
     whole = flagged.where("upto <= wanted").select("mix", "doc_id", "source", "n_tokens", (F.col("base") + F.col("more").cast("long")).alias("copies"))
     none = flagged.where("before >= wanted and upto > wanted").select("mix", "doc_id", "source", "n_tokens", F.col("base").alias("copies"))

@@ -120,7 +120,12 @@ def test_segmenters(spark):
     assert S.paragraphs(d).count() == 2
     t = spark.createDataFrame([("d", "lost\nMs SMITH: one\ntwo\nThe CHAIR:\nMr LEE: three")], "doc string, text string")
     got = [(r["no"], r["speaker"], r["speech"]) for r in S.speaker_turns(t).orderBy("no").collect()]
-    assert got == [(0, "Ms SMITH", "one\ntwo"), (1, "Mr LEE", "three")]
+    assert got == [(0, "Ms SMITH", "one\ntwo\nThe CHAIR:"), (1, "Mr LEE", "three")]
+    t = spark.createDataFrame([("d", "Ms McDONALD: a\nDr Jane MacLEAN: b\n   The CHAIR: c\nNOTE:yes\nSo he said: d\n         Mr FAR: e")], "doc string, text string")
+    got = [(r["speaker"], r["speech"]) for r in S.speaker_turns(t).orderBy("no").collect()]
+    assert got == [("Ms McDONALD", "a"), ("Dr Jane MacLEAN", "b"), ("The CHAIR", "c\nNOTE:yes\nSo he said: d\n         Mr FAR: e")]
+    head = spark.createDataFrame([("MEMBERS\nAda Lorne   Ben McVay\nchair\nMs SMITH: I am Cy Marr",), (None,)], "t string")
+    assert [r[0] for r in head.select(S.roster_names(F.col("t"))).collect()] == [["LORNE", "MCVAY"], None]
 
 
 def test_roles(spark):

@@ -142,15 +142,46 @@ def claim_query(text: C, path: C) -> Column:
     return F.btrim(F.concat_ws(" ", _c(text), F.array_join(F.coalesce(path_labels(path), F.array().cast("array<string>")), " ")))
 
 
-def canonical_doc(pid: C) -> Column:
-    """The document a passage id belongs to: hearing:, submission:, qon: or report: and its name."""
-    base = passage_base(pid)
-    return (
-        F.when(base.rlike(r"^\d{4}-\d{2}-\d{2}/"), F.concat(F.lit("hearing:"), base))
-        .when(base.startswith("submission-"), F.concat(F.lit("submission:"), F.regexp_replace(base, "^submission-", "")))
-        .when(base.startswith("qon-"), F.concat(F.lit("qon:"), F.regexp_replace(base, "^qon-", "")))
-        .otherwise(F.concat(F.lit("report:"), F.regexp_replace(base, "^report-", "")))
+def canonical(pid: C, reports: C | None = None) -> Column:
+    """Struct (doc, locator, ok) of the document a passage id belongs to and the place within; ok is false, and both are "", for any other id.
+
+    ``reports``, a map from file stem to file, names the files of reports; any other is its stem with ``.pdf``.
+    """
+    p = _c(pid)
+    base, frag = passage_base(p), F.regexp_extract(p, "^[^#]*#(?s:(.*))$", 1)
+    att = F.regexp_extract(base, r"^submission-[^.]*\.(.+)$", 1)
+    whole = F.regexp_extract(base, r"^submission-([+-]?\d+)(?:\.|$)", 1).try_cast("long")
+    number = F.regexp_extract(att, r"^([+-]?\d+)$", 1).try_cast("long")
+    submission = F.when(whole.isNull() | ((att != "") & number.isNull()), None).when(att == "", F.format_string("submission:%d", whole)).otherwise(F.format_string("submission:%d/attachment-%d", whole, number))
+    qon = r"^qon-(.+)-(\d{4}-\d{2}-\d{2})$"
+    file = F.concat(base, F.lit(".pdf"))
+    if reports is not None:
+        file = F.coalesce(F.try_element_at(_c(reports), base), file)
+    doc = (
+        F.when((base == "") | (frag == ""), None)
+        .when(base.startswith("submission-"), submission)
+        .when(base.startswith("qon-"), F.when(base.rlike(qon), F.concat(F.lit("qon:"), F.regexp_extract(base, qon, 1), F.lit("/"), F.regexp_extract(base, qon, 2))))
+        .when(base.startswith("leaderboards/"), F.concat(base, F.lit(".txt")))
+        .when(F.contains(frag, F.lit("#")), file)
+        .when(F.contains(base, F.lit("/")) & frag.startswith("t"), F.concat(F.lit("hearing:"), base))
     )
+    at = F.when(doc.startswith("hearing:"), F.concat(F.lit("line "), F.substring(frag, 2, 1 << 20))).otherwise(F.concat(F.lit("p."), F.regexp_replace(F.substring_index(frag, "#", 1), "^p", "")))
+    return F.struct(F.coalesce(doc, F.lit("")).alias("doc"), F.when(doc.isNotNull(), at).otherwise("").alias("locator"), doc.isNotNull().alias("ok"))
+
+
+def canonical_doc(pid: C) -> Column:
+    """The document a passage id belongs to, "" if to none."""
+    return canonical(pid)["doc"]
+
+
+def canonical_verdict(verdict: C) -> Column:
+    """A verdict under the name that chains use for it."""
+    return F.when(_c(verdict) == "uncorroborated", "absent").otherwise(_c(verdict))
+
+
+def single_source_verdict(verdict: C, single: C) -> Column:
+    """Where a corpus has a single source, what is absent elsewhere is uncorroborated."""
+    return F.when(_c(single) & (_c(verdict) == "absent"), "uncorroborated").otherwise(_c(verdict))
 
 
 def id_prefix(claim: C) -> Column:
@@ -207,8 +238,10 @@ def clean_verdict(raw: C) -> Column:
 
 
 def has_number_or_place(text: C) -> Column:
-    """Any ASCII digit, or a word but the first that begins with a capital and goes on in lower case."""
-    return F.coalesce(_c(text).rlike(r"[0-9]") | _c(text).rlike(r"^\s*\S+\s+(?s:.*)(?<![^\s\p{P}])\p{Lu}\p{Ll}"), F.lit(False))
+    """Any ASCII digit, or a word but the first that, without what is no ASCII letter at its ends, begins with a capital and has a small letter."""
+    words = F.split(F.regexp_replace(_c(text), r"^\s+", ""), r"\s+")
+    place = F.exists(F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda w: F.regexp_replace(w, "^[^A-Za-z]+|[^A-Za-z]+$", "").rlike("^[A-Z].*[a-z]"))
+    return F.coalesce(_c(text).rlike("[0-9]") | place, F.lit(False))
 
 
 def schema_failed(reason: C) -> Column:

@@ -13,7 +13,8 @@ FORECAST = "forecast — projections are not evidence"
 NOTHING_RETRIEVED = "no sources retrieved; verdict is model self-report"
 NOTHING_CITED = "no URLs cited in response"
 NOT_RETRIEVED = "claimed sources not present in retrieval"
-WITNESS_NAME, WITNESS_VERBS = r"([A-Z][a-z]+(?: [A-Z][a-z]+){1,2})", "of|said|told|argued|noted|stated"
+# Fixed value: a claim's attribution, by a name of two or three words.
+WITNESS = r"[Aa]ccording to ([A-Z][a-z]+(?: [A-Z][a-z]+){1,2})|([A-Z][a-z]+(?: [A-Z][a-z]+){1,2}) (?:of|said|told|argued|noted|stated)"
 
 C = Column | str
 
@@ -71,8 +72,8 @@ def page_class(route: C, claim: C, stability: C, failed: C, verdict: C) -> Colum
 
 def named_witness(text: C) -> Column:
     """The last name of whom a claim attributes itself to; "" for nobody."""
-    first, second = F.regexp_extract(_c(text), f"[Aa]ccording to {WITNESS_NAME}", 1), F.regexp_extract(_c(text), f"{WITNESS_NAME} (?:{WITNESS_VERBS})(?![a-z])", 1)
-    return F.coalesce(F.element_at(F.split(F.coalesce(F.nullif(first, F.lit("")), second), " "), -1), F.lit(""))
+    name = F.concat(F.regexp_extract(_c(text), WITNESS, 1), F.regexp_extract(_c(text), WITNESS, 2))  # of the leftmost match, which has one of them
+    return F.coalesce(F.element_at(F.split(name, " "), -1), F.lit(""))
 
 
 def route_or(own: C, other: C) -> Column:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from veriloom.functions import text as T
+
 STRINGS_OR_COMMAS = re.compile(r'"(?:\\.|[^"\\])*"|,(?=\s*[}\]])', re.S)
 
 
@@ -29,6 +31,7 @@ def loose_json(text: str | None) -> object | None:
     return None
 
 
+# Fixed value: what marks an item of a list.
 MARKER = r"^\s*(?:\d{1,2}[.)]|[-*•])\s+"
 
 
@@ -47,27 +50,45 @@ def summary_claims(rows: DataFrame, key: str, text: str) -> DataFrame:
     return rows.where(F.col(text).isNotNull()).select(key, F.posexplode(chosen).alias("no", "claim"))
 
 
-# Phrases that tell what a sentence rests on.
+# Phrases that tell what a paragraph rests on, and those of a footnote's source; case does not matter.
 KINDS = {
-    "testimony": r"\b(told|heard|submitted|gave evidence|testified|argued|stated)\b",
-    "opinion": r"\b(should|must|in our view|we consider|ought to)\b",
-    "world": r"\b(\d+ per cent|between \d{4} and \d{4}|increased|decreased|doubled|halved)\b",
+    "testimony": r"the Committee heard|told the Committee|\bwitnesses\b|submitted that|evidence to the inquiry",
+    "opinion": r"the Committee believes|the Committee considers|notes with concern|is disappointed|it is disappointing|the Committee calls (for|on)|\brecommends\b|\bshould\b",
 }
-
-
-def kinds_of(text: str | Column) -> Column:
-    """What a sentence rests on: the one kind whose phrases it has, ``mixed`` for several, ``unclear`` for none."""
-    t = F.lower(F.col(text) if isinstance(text, str) else text)
-    hits = F.filter(F.array(*(F.when(t.rlike(rx), F.lit(k)) for k, rx in KINDS.items())), lambda x: x.isNotNull())
-    return F.when(F.size(hits) == 1, F.element_at(hits, 1)).when(F.size(hits) > 1, "mixed").otherwise("unclear")
+WORLD = (
+    r"Annual Report|\bdataset\b|\bdata\b|Australian Bureau of Statistics|\bABS\b|\bAct\s+\d{4}|\bCensus\b|Audience Atlas|OzTAM|\bVOZ\b|Productivity Commission|"
+    r"Enterprise Agreement|Budget Office|cultural funding by government|Government cultural funding|Artists as Workers|\bsurvey\b|\bReport\b|<https?://|accessed \d{1,2}"
+)
+NAMED = r"Transcript of evidence|Submission\s+\d+"
+# What prose has (case does not matter in the first), and a speaker's tag, which it has not.
+ATTRIBUTED = r"the Committee|told|stated|said|submission|emphasi[sz]ed|noted|explained|highlighted|argued|according to|witness|submitted"
+RUN, TAG = r"(?:\b[a-z][a-z]+\b[ ,]+){5,}", r"[A-Z]{3,}:|\b[A-Z][a-z]+ [A-Z]{3,}\b"
+# Words that carry no content.
+STOP = tuple(
+    "the a an of to in and or for with is are was were be been that this these those on at by from as it its their they them our we us have has had can could may might "
+    "not do does no more most all any into over per such other which who whom".split()
+)
+
+
+def kinds_of(text: str | Column, notes: str | Column | None = None) -> Column:
+    """What a paragraph rests on: the one kind it has signs of, ``mixed`` for several, ``unclear`` for none.
+
+    ``notes``, an array, are its footnotes: one that names data, a report, a law or a page, and no witness, is a sign of ``world``.
+    """
+    t = F.col(text) if isinstance(text, str) else text
+    hits = [F.when(t.rlike(f"(?i){rx}"), F.lit(k)) for k, rx in KINDS.items()]
+    if notes is not None:
+        hits.append(F.when(F.exists(F.col(notes) if isinstance(notes, str) else notes, lambda x: x.rlike(f"(?i){WORLD}") & ~x.rlike(f"(?i){NAMED}")), F.lit("world")))
+    found = F.filter(F.array(*hits), lambda x: x.isNotNull())
+    return F.when(F.size(found) == 1, F.get(found, F.lit(0))).when(F.size(found) > 1, "mixed").otherwise("unclear")
 
 
 def is_prose(text: str | Column, least: int = 6) -> Column:
-    """At least ``least`` words of three letters or more, a run of three lower-case words, at most half of the words with a capital."""
+    """At least ``least`` words with content, a verb of attribution or a run of five lower-case words, no speaker's tag, at most half of the words with a capital."""
     t = F.col(text) if isinstance(text, str) else text
-    words = F.regexp_extract_all(t, F.lit(r"(\p{L}{3,})"), 1)
+    words = F.filter(F.split(t, r"\s+"), lambda w: w != "")
     capital = F.size(F.filter(words, lambda w: w.rlike(r"^\p{Lu}")))
-    return (F.size(words) >= least) & t.rlike(r"\p{Ll}+ \p{Ll}+ \p{Ll}+") & (2 * capital <= F.size(words))
+    return (F.size(T.content_words(t, STOP)) >= least) & (t.rlike(f"(?i){ATTRIBUTED}") | t.rlike(RUN)) & ~t.rlike(TAG) & (2 * capital <= F.size(words))
 
 
 def cited_documents(text: str | Column) -> Column:

@@ -11,7 +11,11 @@ from veriloom.functions.text import passage_base
 #: The least characters of a paragraph that is kept, and of a fragment that stands alone.
 LEAST, ALONE = 40, 200
 TRIM = r"^[\s\u0085  -     　]+|[\s\u0085  -     　]+$"
-TURN = r"^((?:\p{Lu}[\p{L}.'’-]* ){0,4}\p{Lu}{2}[\p{Lu}'’-]*): ?(.*)$"
+# A speaker's label, up to eight spaces in, with two capitals in a row in its last name and white space
+# after the colon; and a full name of two words or more on the roster.
+LABEL = r"^ {0,8}(The CHAIR|[A-Z][A-Za-z.'’-]*(?: [A-Z][A-Za-z.'’-]*)*[A-Z]{2}[A-Za-z.'’-]*):\s"
+FULL_NAME = r"[A-Z][a-zA-Z]+(?: [A-Z][a-zA-Z]+)+"
+TURN = LABEL + "(.*)$"
 
 
 def trimmed(text: Column) -> Column:
@@ -77,9 +81,9 @@ def role_of(speaker: Column, roster: Column) -> Column:
 
 
 def roster_names(head: Column) -> Column:
-    """A10: upper-case surnames of the lines between MEMBERS and the first label or WITNESS of a transcript's head."""
-    body = F.regexp_extract(head, r"(?s)MEMBERS(.*?)(?=\n[^\n]*\p{Lu}{2}[\p{Lu}'’-]*: |WITNESS|$)", 1)
-    return F.array_distinct(F.transform(F.filter(F.split(body, "\n"), lambda x: F.btrim(x) != ""), lambda x: F.upper(F.element_at(F.split(F.btrim(x), r"\s+"), -1))))
+    """A10: upper-case surnames of the full names between MEMBERS and the first label or WITNESS of a transcript's head."""
+    body = F.regexp_replace(F.regexp_extract(head, r"(?s)MEMBERS(.*)", 1), f"(?ms)(?:{LABEL}|WITNESS).*", "")
+    return F.array_distinct(F.transform(F.regexp_extract_all(body, F.lit(f"({FULL_NAME})"), 1), lambda x: F.upper(F.element_at(F.split(x, " "), -1))))
 
 
 def with_context(turns: DataFrame, key: str = "doc", order: str = "no") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from veriloom.functions import text as T
+from veriloom.operators import edges as D
 from veriloom.operators import chains as C
 from veriloom.operators import grounding as G
 from veriloom.operators import grouping as O  # noqa: N812
@@ -167,11 +168,11 @@ def fused_top20(spark: SparkSession, d: str) -> DataFrame:
     return R.fused(R.ranked(words), R.ranked(_cosine(spark, d), keep_zero=True)).where("rk <= 20")
 
 
-@query(f"WITH {P_}, {R_} SELECT DISTINCT record_id, pid FROM (SELECT record_id, unnest(passages) AS pid FROM R) WHERE pid NOT IN (SELECT id FROM P)")
+@query(f"WITH {P_}, {R_} SELECT DISTINCT record_id, pid FROM (SELECT record_id, unnest(passages) AS pid FROM R) WHERE pid NOT IN (SELECT id FROM P WHERE source_kind = 'hearing')")
 def missing_cites(spark: SparkSession, d: str) -> DataFrame:
-    """Passages that records name but that are not held."""
+    """Passages that records name but that a corpus of hearings alone does not hold."""
     cites = records(spark, d).select("record_id", F.explode("passages").alias("pid")).where("pid is not null").distinct()
-    return R.missing(cites, passages(spark, d).select(F.col("id").alias("pid")), "pid").select("record_id", "pid")
+    return R.missing(cites, passages(spark, d).where("source_kind = 'hearing'").select(F.col("id").alias("pid")), "pid").select("record_id", "pid")
 
 
 QUO_ = "Q AS (SELECT record_id AS key, unnest(range(len(detail.quotes))) AS pos, unnest(detail.quotes) AS quote, detail.quote_passages AS qp FROM R), QQ AS (SELECT key, pos, quote, coalesce(qp[pos + 1], '') AS pid FROM Q WHERE quote IS NOT NULL)"
@@ -429,7 +430,7 @@ def top3_per_class(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("rk", F.row_number().over(W.partitionBy("cls").orderBy(F.desc("ratio"), "num", "id"))).where("rk <= 3").select("cls", "id", "ratio", "rk")
 
 
-@query(f"WITH {B_} SELECT id, regexp_matches(text, '[0-9]') OR regexp_matches(text, '^\\s*\\S+\\s+(?s:.*)(?:^|[\\s\\p{{P}}])\\p{{Lu}}\\p{{Ll}}') AS concrete FROM B WHERE text IS NOT NULL")
+@query(f"WITH {B_}, x AS (SELECT id, text, list_transform(regexp_split_to_array(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '\\s+')[2:], lambda w: regexp_replace(regexp_replace(w, '^[^A-Za-z]+', ''), '[^A-Za-z]+$', '')) AS ws FROM B WHERE text IS NOT NULL) SELECT id, regexp_matches(text, '[0-9]') OR len(list_filter(ws, lambda w: regexp_matches(w, '^[A-Z].*[a-z]'))) > 0 AS concrete FROM x")
 def number_or_place(spark: SparkSession, d: str) -> DataFrame:
     """Whether a claim names a number or a place."""
     return brief(spark, d).where("text is not null").select("id", T.has_number_or_place("text").alias("concrete"))
@@ -454,10 +455,22 @@ def source_counts(spark: SparkSession, d: str) -> DataFrame:
     return S.source_counts(passages(spark, d))
 
 
-@query(f"WITH {P_}, b AS (SELECT split_part(id, '#', 1) AS base FROM P) SELECT CASE WHEN regexp_matches(base, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}/') THEN 'hearing:' || base WHEN base LIKE 'submission-%' THEN 'submission:' || substr(base, 12) WHEN base LIKE 'qon-%' THEN 'qon:' || substr(base, 5) ELSE 'report:' || regexp_replace(base, '^report-', '') END AS doc, count(*) AS n FROM b GROUP BY ALL")
+@query(f"""WITH {P_}, b AS (SELECT id, split_part(id, '#', 1) AS base, CASE WHEN contains(id, '#') THEN substr(id, strpos(id, '#') + 1) ELSE '' END AS frag FROM P),
+c AS (SELECT *, CASE WHEN base = '' OR frag = '' THEN NULL
+ WHEN base LIKE 'submission-%' THEN CASE WHEN regexp_full_match(base, 'submission-[0-9]+\\.?') THEN 'submission:' || regexp_extract(base, '([0-9]+)', 1)::BIGINT WHEN regexp_full_match(base, 'submission-[0-9]+\\.[0-9]+') THEN 'submission:' || regexp_extract(base, '-([0-9]+)', 1)::BIGINT || '/attachment-' || regexp_extract(base, '\\.([0-9]+)', 1)::BIGINT END
+ WHEN base LIKE 'qon-%' THEN CASE WHEN regexp_matches(base, '^qon-.+-[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$') THEN 'qon:' || substr(base, 5, length(base) - 15) || '/' || right(base, 10) END
+ WHEN base LIKE 'leaderboards/%' THEN base || '.txt' WHEN contains(frag, '#') THEN base || '.pdf' WHEN contains(base, '/') AND frag LIKE 't%' THEN 'hearing:' || base END AS doc FROM b)
+SELECT coalesce(doc, '') AS doc, count(*) AS n, count(DISTINCT CASE WHEN doc LIKE 'hearing:%' THEN 'line ' || substr(frag, 2) WHEN doc IS NOT NULL THEN 'p.' || regexp_replace(split_part(frag, '#', 1), '^p', '') ELSE '' END) AS n_places FROM c GROUP BY ALL""")
 def canonical_docs(spark: SparkSession, d: str) -> DataFrame:
-    """Documents by their canonical ids."""
-    return passages(spark, d).groupBy(T.canonical_doc("id").alias("doc")).agg(F.count(F.lit(1)).alias("n"))
+    """Documents by their canonical ids, with their passages and places."""
+    x = passages(spark, d).select(T.canonical("id").alias("c"))
+    return x.groupBy("c.doc").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("c.locator").alias("n_places"))
+
+
+@query("WITH x AS (SELECT doc_id, unnest(string_split(text, chr(12))) AS body, unnest(range(len(string_split(text, chr(12))))) + 1 AS page FROM documents WHERE text IS NOT NULL), y AS (SELECT doc_id, page, list_filter(list_transform(string_split_regex(body, '\\n\\s*\\n'), lambda p: regexp_replace(regexp_replace(p, '^[\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+', ''), '[\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+$', '')), lambda p: length(p) >= 40) AS kept FROM x) SELECT doc_id, page::INTEGER AS page, (unnest(range(len(kept))))::INTEGER AS no, unnest(kept) AS paragraph FROM y")
+def document_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The paragraphs of every page of every document."""
+    return S.pages(table(spark, d, "documents").where("text is not null"), "doc_id")
 
 
 @query("WITH x AS (SELECT doc_id, string_split_regex(replace(text, chr(12), chr(10) || chr(10)), '\\n\\s*\\n') AS parts FROM documents WHERE text IS NOT NULL), y AS (SELECT doc_id, list_filter(list_transform(parts, lambda p: regexp_replace(regexp_replace(p, '^[\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+', ''), '[\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+$', '')), lambda p: length(p) >= 40) AS kept FROM x) SELECT doc_id, (unnest(range(len(kept))))::INTEGER AS no, unnest(kept) AS paragraph FROM y")
@@ -472,12 +485,17 @@ def merged_fragments(spark: SparkSession, d: str) -> DataFrame:
     return S.merged_fragments(table(spark, d, "documents").where("text is not null"), "doc_id")
 
 
-@query()
+_LABEL = "^ {0,8}(The CHAIR|[A-Z][A-Za-z.''’-]*(?: [A-Z][A-Za-z.''’-]*)*[A-Z]{2}[A-Za-z.''’-]*):\\s"
+
+
+@query(f"""WITH l AS (SELECT doc_id, unnest(p) AS line, unnest(range(len(p))) AS pos FROM (SELECT doc_id, string_split(replace(text, chr(13), ''), chr(10)) AS p FROM documents WHERE source = 'hansard' AND text IS NOT NULL)),
+o AS (SELECT *, regexp_matches(line, '{_LABEL}') AS opens FROM l), t AS (SELECT *, sum(opens::INTEGER) OVER (PARTITION BY doc_id ORDER BY pos) AS turn FROM o),
+g AS (SELECT doc_id, turn, max(CASE WHEN opens THEN regexp_extract(line, '{_LABEL}', 1) END) AS speaker, string_agg(CASE WHEN opens THEN regexp_replace(line, '{_LABEL}', '') ELSE line END, chr(10) ORDER BY pos) AS said FROM t WHERE turn > 0 GROUP BY ALL),
+s AS (SELECT doc_id, turn, speaker, regexp_replace(regexp_replace(said, '^[\\s\\x{{0b}}\\x{{85}}\\x{{a0}}\\x{{2000}}-\\x{{200a}}\\x{{3000}}]+', ''), '[\\s\\x{{0b}}\\x{{85}}\\x{{a0}}\\x{{2000}}-\\x{{200a}}\\x{{3000}}]+$', '') AS speech FROM g)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY turn) - 1)::INTEGER AS no, speaker, speech FROM s WHERE speech <> ''""")
 def document_turns(spark: SparkSession, d: str) -> DataFrame:
     """The speaker turns of every transcript among the documents."""
-    named = F.regexp_replace("text", r"(?m)^(\p{Lu}\p{Ll}+) (\p{Lu}{2}[\p{Lu}'’-]*):", "$1 $2:")
-    docs = table(spark, d, "documents").where("source = 'hansard' and text is not null").select("doc_id", named.alias("text"))
-    return S.speaker_turns(docs, "doc_id")
+    return S.speaker_turns(table(spark, d, "documents").where("source = 'hansard' and text is not null"), "doc_id")
 
 
 @query(f"WITH {P_} SELECT id, CASE WHEN regexp_matches(date_text, '^\\d{{4}}-\\d{{2}}-\\d{{2}}$') THEN try_strptime(date_text, '%Y-%m-%d')::DATE WHEN regexp_matches(date_text, '^\\d{{1,2}}/\\d{{1,2}}/\\d{{4}}$') THEN try_strptime(date_text, '%d/%m/%Y')::DATE WHEN regexp_matches(date_text, '^\\d{{8}}$') THEN try_strptime(date_text, '%Y%m%d')::DATE WHEN regexp_matches(date_text, '^\\d{{1,2}} [A-Za-z]+ \\d{{4}}$') THEN coalesce(try_strptime(date_text, '%d %B %Y'), try_strptime(date_text, '%d %b %Y'))::DATE END::VARCHAR AS held FROM (SELECT id, trim(date_text, ' ') AS date_text FROM P)")
@@ -516,10 +534,19 @@ def lifted_anchors(spark: SparkSession, d: str) -> DataFrame:
     return x.join(g, "anchor", "left").select("route_no", F.coalesce("n", F.lit(1).cast("long")).alias("n_alike"), F.coalesce("first", "route_no").alias("stands_for"))
 
 
-@query(f"WITH {R_}, x AS (SELECT DISTINCT chain, idx, unnest(passages) AS pid FROM R WHERE idx IS NOT NULL), n AS (SELECT chain, idx, count(*) AS n FROM x WHERE pid IS NOT NULL GROUP BY ALL), s AS (SELECT a.chain, a.idx AS idx_a, b.idx AS idx_b, count(*) AS shared FROM x a JOIN x b ON a.chain = b.chain AND a.pid = b.pid AND a.idx < b.idx GROUP BY ALL) SELECT s.chain, idx_a, idx_b, shared FROM s JOIN n na ON na.chain = s.chain AND na.idx = idx_a JOIN n nb ON nb.chain = s.chain AND nb.idx = idx_b WHERE 2 * shared >= least(na.n, nb.n)")
+@query(f"WITH {R_}, x AS (SELECT DISTINCT claim_id, record_id, unnest(passages) AS pid FROM R WHERE claim_id IS NOT NULL), n AS (SELECT record_id, count(*) AS n FROM x WHERE pid IS NOT NULL GROUP BY ALL), s AS (SELECT a.claim_id, a.record_id AS record_a, b.record_id AS record_b, count(*) AS shared FROM x a JOIN x b ON a.claim_id = b.claim_id AND a.pid = b.pid AND a.record_id < b.record_id GROUP BY ALL) SELECT s.claim_id, record_a, record_b, shared FROM s JOIN n na ON na.record_id = record_a JOIN n nb ON nb.record_id = record_b WHERE 2 * shared >= least(na.n, nb.n)")
 def shared_at_least_half(spark: SparkSession, d: str) -> DataFrame:
-    """Claims of one chain that share at least half of the smaller set of passages."""
-    return O.overlaps(records(spark, d).select("chain", "idx", F.explode("passages").alias("pid")))
+    """Records of one claim that share at least half of the smaller set of passages."""
+    rows = records(spark, d).where("claim_id is not null").select(F.col("claim_id").alias("chain"), F.col("record_id").alias("idx"), F.explode("passages").alias("pid"))
+    return O.overlaps(rows).select(F.col("chain").alias("claim_id"), F.col("idx_a").alias("record_a"), F.col("idx_b").alias("record_b"), "shared")
+
+
+@query(f"WITH x AS (SELECT route_no, section, finding, regex_phrase, {NORM.format('regex_phrase')} AS anchor FROM routes_input), g AS (SELECT anchor AS k, arg_min(regex_phrase, route_no) AS anchor, arg_min(coalesce(section, ''), route_no) AS world, arg_min(coalesce(finding, ''), route_no) AS settles, count(*) AS n FROM x WHERE anchor <> '' GROUP BY x.anchor HAVING count(*) > 1) SELECT anchor, world, settles, n FROM g")
+def method_notes(spark: SparkSession, d: str) -> DataFrame:
+    """Open edges of one anchor lifted to one note, with what the first of them says."""
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    edges = table(spark, d, "routes_input").select(F.col("route_no").alias("edge"), F.col("route_no").alias("ord"), F.lit("open").alias("verdict"), F.col("regex_phrase").alias("anchor"), blank("section").alias("world"), blank("finding").alias("settles"))
+    return D.lifted(edges)[1]
 
 
 @query()

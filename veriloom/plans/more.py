@@ -109,16 +109,38 @@ def quote_labels(spark: SparkSession, d: str) -> DataFrame:
     return x.join(labels, "doc", "left").select("record_id", "pos", F.coalesce("label", F.lit("")).alias("label"))
 
 
-@query("WITH x AS (SELECT route_no, regexp_extract_all(finding, '\\p{L}{3,}') AS w, finding FROM routes_input WHERE finding IS NOT NULL) SELECT route_no, len(w) >= 6 AND regexp_matches(finding, '\\p{Ll}+ \\p{Ll}+ \\p{Ll}+') AND 2 * len(list_filter(w, lambda x: regexp_matches(x, '^\\p{Lu}'))) <= len(w) AS prose FROM x")
+_STOP = "'the','a','an','of','to','in','and','or','for','with','is','are','was','were','be','been','that','this','these','those','on','at','by','from','as','it','its','their','they','them','our','we','us','have','has','had','can','could','may','might','not','do','does','no','more','most','all','any','into','over','per','such','other','which','who','whom'"
+
+
+@query(f"""WITH x AS (SELECT route_no, paragraph AS p, list_filter(regexp_extract_all(lower(paragraph), '[a-z0-9$%]+'), lambda w: length(w) > 2 AND w NOT IN ({_STOP})) AS w, list_filter(regexp_split_to_array(paragraph, '\\s+'), lambda w: w <> '') AS t FROM routes_input WHERE paragraph IS NOT NULL)
+SELECT route_no, len(w) >= 6 AND (regexp_matches(p, '(?i)the committee|told|stated|said|submission|emphasi[sz]ed|noted|explained|highlighted|argued|according to|witness|submitted') OR regexp_matches(p, '(?:\\b[a-z][a-z]+\\b[ ,]+){{5,}}')) AND NOT regexp_matches(p, '[A-Z]{{3,}}:|\\b[A-Z][a-z]+ [A-Z]{{3,}}\\b') AND 2 * len(list_filter(t, lambda w: regexp_matches(w, '^\\p{{Lu}}'))) <= len(t) AS prose FROM x""")
 def prose_findings(spark: SparkSession, d: str) -> DataFrame:
-    """Findings that are prose."""
-    return table(spark, d, "routes_input").where("finding is not null").select("route_no", X.is_prose("finding").alias("prose"))
+    """Paragraphs that are prose."""
+    return table(spark, d, "routes_input").where("paragraph is not null").select("route_no", X.is_prose("paragraph").alias("prose"))
 
 
-@query("WITH h AS (SELECT route_no, list_filter([CASE WHEN regexp_matches(lower(finding), '\\b(told|heard|submitted|gave evidence|testified|argued|stated)\\b') THEN 'testimony' END, CASE WHEN regexp_matches(lower(finding), '\\b(should|must|in our view|we consider|ought to)\\b') THEN 'opinion' END, CASE WHEN regexp_matches(lower(finding), '\\b(\\d+ per cent|between \\d{4} and \\d{4}|increased|decreased|doubled|halved)\\b') THEN 'world' END], lambda x: x IS NOT NULL) AS k FROM routes_input WHERE finding IS NOT NULL) SELECT route_no, CASE len(k) WHEN 0 THEN 'unclear' WHEN 1 THEN k[1] ELSE 'mixed' END AS kind FROM h")
+@query("""WITH h AS (SELECT route_no, regexp_matches(p, '(?i)the committee heard|told the committee|\\bwitnesses\\b|submitted that|evidence to the inquiry') AS a, regexp_matches(p, '(?i)the committee (believes|considers|calls (for|on))|notes with concern|is disappointed|it is disappointing|\\brecommends\\b|\\bshould\\b') AS b,
+regexp_matches(n, '(?i)annual report|\\bdataset\\b|\\bdata\\b|australian bureau of statistics|\\babs\\b|\\bact\\s+\\d{4}|\\bcensus\\b|audience atlas|oztam|\\bvoz\\b|productivity commission|enterprise agreement|budget office|cultural funding by government|government cultural funding|artists as workers|\\bsurvey\\b|\\breport\\b|<https?://|accessed \\d{1,2}') AND NOT regexp_matches(n, '(?i)transcript of evidence|submission\\s+\\d+') AS c
+FROM (SELECT route_no, paragraph AS p, coalesce(finding, '') AS n FROM routes_input WHERE paragraph IS NOT NULL))
+SELECT route_no, CASE WHEN a::INTEGER + b::INTEGER + c::INTEGER > 1 THEN 'mixed' WHEN a THEN 'testimony' WHEN b THEN 'opinion' WHEN c THEN 'world' ELSE 'unclear' END AS kind FROM h""")
 def finding_kinds(spark: SparkSession, d: str) -> DataFrame:
-    """What each finding rests on."""
-    return table(spark, d, "routes_input").where("finding is not null").select("route_no", X.kinds_of("finding").alias("kind"))
+    """What each paragraph rests on, its finding read as its note."""
+    rows = table(spark, d, "routes_input").where("paragraph is not null")
+    return rows.select("route_no", X.kinds_of("paragraph", F.array(F.coalesce("finding", F.lit("")))).alias("kind"))
+
+
+@query(f"WITH {P_}, {B_}, x AS (SELECT id, {CLEAN.format('faith')} AS v, (SELECT count(DISTINCT source_kind) FROM P WHERE source_kind = 'report') = 1 AS single FROM B) SELECT id, CASE WHEN single AND v = 'absent' THEN 'uncorroborated' ELSE v END AS shown, CASE WHEN v = 'uncorroborated' THEN 'absent' ELSE v END AS kept FROM x WHERE id IS NOT NULL")
+def single_source_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """Each claim's verdict as shown where the reports are the only source, and as chains name it."""
+    v = T.clean_verdict("faith")
+    shown = T.single_source_verdict(v, F.lit(True))
+    return brief(spark, d).where("id is not null").select("id", shown.alias("shown"), T.canonical_verdict(shown).alias("kept"))
+
+
+@query(f"WITH {B_}, x AS (SELECT id, regexp_extract(text, '[Aa]ccording to ([A-Z][a-z]+(?: [A-Z][a-z]+){{1,2}})|([A-Z][a-z]+(?: [A-Z][a-z]+){{1,2}}) (?:of|said|told|argued|noted|stated)', ['a', 'b']) AS m FROM B WHERE text IS NOT NULL) SELECT id, split_part(m.a || m.b, ' ', -1) AS witness FROM x")
+def named_witnesses(spark: SparkSession, d: str) -> DataFrame:
+    """Whom each claim attributes itself to."""
+    return brief(spark, d).where("text is not null").select("id", V.named_witness("text").alias("witness"))
 
 
 @query(f"WITH {P_} SELECT 'passages' AS corpus, source_kind AS source, count(*) AS n, sum(len({TOK.format('text')}))::BIGINT AS n_tokens FROM P WHERE text IS NOT NULL GROUP BY ALL UNION ALL SELECT 'documents', source, count(*), sum(len({TOK.format('text')}))::BIGINT FROM documents WHERE text IS NOT NULL GROUP BY ALL")

@@ -131,6 +131,16 @@ def _shares(edges: list[tuple[int, int]], n: int) -> np.ndarray:
     return m / np.maximum(m.sum(axis=1, keepdims=True), 1.0)
 
 
+def _overlap(left: list[set[str]], right: list[set[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(members in common, sizes as a column, sizes as a row) of two lists of sets."""
+    no = {x: i for i, x in enumerate(sorted(set().union(*left, *right)))}
+    m, k = np.zeros((len(left), len(no))), np.zeros((len(right), len(no)))
+    for one, sets in ((m, left), (k, right)):
+        for i, x in enumerate(sets):
+            one[i, [no[y] for y in x]] = 1.0
+    return m @ k.T, m.sum(axis=1)[:, None], k.sum(axis=1)[None, :]
+
+
 def flood(was: dict[str, list[str]], is_: dict[str, list[str]], value: dict[tuple[str, str], float]) -> dict[tuple[str, str], float]:
     """Similarity flooding between two schema graphs, given by path and kinds; the scores of all pairs of paths.
 
@@ -141,18 +151,23 @@ def flood(was: dict[str, list[str]], is_: dict[str, list[str]], value: dict[tupl
     """
     a, ea = graph_of(was)
     b, eb = graph_of(is_)
-    grams = [[{x[i : i + 2] for i in range(len(x) - 1)} for x in (f"^{n.rpartition('.')[2]}$" for n in nodes)] for nodes in (a, b)]
     start = np.zeros((len(a), len(b)))
-    for i, x in enumerate(a):
-        for j, y in enumerate(b):
-            if x[:2] == y[:2]:
-                p, q = x[2:], y[2:]
-                if x == y:
-                    start[i, j] = 1.0
-                elif x[:2] == "p:" and p and q:
-                    kp, kq = set(was.get(p, ())), set(is_.get(q, ()))
-                    like = 2 * len(grams[0][i] & grams[1][j]) / max(1, len(grams[0][i]) + len(grams[1][j]))
-                    start[i, j] = 0.25 * like + 0.15 * len(kp & kq) / max(1, len(kp | kq)) + 0.6 * value.get((p, q), 0.0)
+    # Paths stand first among the nodes; that of the whole record, the first of them, is like no field.
+    pa, pb = ([n[2:] for n in nodes if n.startswith("p:")] for nodes in (a, b))
+    names = [[{x[i : i + 2] for i in range(len(x) - 1)} for x in (f"^{p.rpartition('.')[2]}$" for p in ps)] for ps in (pa, pb)]
+    sorts = [[set(k.get(p, ())) for p in ps] for k, ps in ((was, pa), (is_, pb))]
+    (both, size_a, size_b), (alike, kinds_a, kinds_b) = _overlap(*names), _overlap(*sorts)
+    like = 0.25 * 2 * both / np.maximum(1, size_a + size_b) + 0.15 * alike / np.maximum(1, kinds_a + kinds_b - alike)
+    like[0, :] = like[:, 0] = 0.0
+    start[: len(pa), : len(pb)] = like
+    at = {n: j for j, n in enumerate(b)}
+    no = {p: i for i, p in enumerate(pa)}
+    for (p, q), v in value.items():
+        if p in no and f"p:{q}" in at:
+            start[no[p], at[f"p:{q}"]] += 0.6 * v
+    for i, n in enumerate(a):
+        if n in at:
+            start[i, at[n]] = 1.0
     ways = []
     for sort in ea:
         to_a, to_b = _shares(ea[sort], len(a)), _shares(eb[sort], len(b))
@@ -167,7 +182,8 @@ def flood(was: dict[str, list[str]], is_: dict[str, list[str]], value: dict[tupl
         score = new
         if moved < SETTLED:
             break
-    return {(x[2:], y[2:]): float(score[i, j]) for i, x in enumerate(a) if x[:2] == "p:" for j, y in enumerate(b) if y[:2] == "p:"}
+    found = score[: len(pa), : len(pb)].tolist()
+    return {(p, q): x for p, row in zip(pa, found) for q, x in zip(pb, row)}
 
 
 def schema_changes(lines: DataFrame) -> DataFrame:

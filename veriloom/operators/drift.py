@@ -190,10 +190,13 @@ def schema_changes(lines: DataFrame) -> DataFrame:
     """Every change between one file of a series and the next: series, file_name, change_kind, field, new_field, old_kinds, new_kinds."""
     parsed = parsed_lines(lines)
     complete = parsed.where("ok")
-    first = parsed.groupBy("series", "file_name").agg(F.min("written_at").alias("began"))
-    per_field = complete.select("series", "file_name", F.explode("kinds").alias("field", "kind")).groupBy("series", "file_name", "field").agg(F.sort_array(F.collect_set("kind")).alias("kinds"), F.count(F.lit(1)).alias("n"))
-    inside = complete.select("series", "file_name", F.explode("below").alias("path")).groupBy("series", "file_name").agg(F.sort_array(F.collect_set("path")).alias("below"))
-    files = per_field.groupBy("series", "file_name").agg(F.sort_array(F.collect_list(F.struct("field", "kinds", "n"))).alias("schema")).join(first, ["series", "file_name"]).join(inside, ["series", "file_name"], "left")
+    first = lines.where("series is not null and file_name is not null").groupBy("series", "file_name").agg(F.min(F.col("written_at").cast("timestamp")).alias("began"))
+    # Fields with their kinds and what lies inside them are counted in one pass, so that lines are parsed once for the schemas.
+    held = F.transform(F.map_entries("kinds"), lambda e: F.struct(F.lit(True).alias("top"), e["key"].alias("path"), e["value"].alias("kind")))
+    inside = F.transform("below", lambda x: F.struct(F.lit(False).alias("top"), x.alias("path"), F.lit("").alias("kind")))
+    seen = complete.select("series", "file_name", F.explode(F.concat(held, inside)).alias("x")).select("series", "file_name", "x.*").groupBy("series", "file_name", "top", "path").agg(F.sort_array(F.collect_set("kind")).alias("kinds"), F.count(F.lit(1)).alias("n"))
+    field = F.when(F.col("top"), F.struct(F.col("path").alias("field"), "kinds", "n"))
+    files = seen.groupBy("series", "file_name").agg(F.sort_array(F.collect_list(field)).alias("schema"), F.sort_array(F.collect_list(F.when(~F.col("top"), F.col("path")))).alias("below")).join(first, ["series", "file_name"])
     order = W.partitionBy("series").orderBy("began", "file_name")
     steps = files.select("series", "file_name", "schema", "below", *(F.lag(c).over(order).alias(f"old_{n}") for c, n in (("file_name", "file"), ("schema", "schema"), ("below", "below")))).where("old_file is not null")
     had, has = F.transform("old_schema", lambda s: s["field"]), F.transform("schema", lambda s: s["field"])

@@ -323,6 +323,27 @@ def test_scanned_pages(spark):
     assert para["p0"] == "Our part-time platform reviewed the costume in Harrow. The" and para["p1"] == "The modest plan."
 
 
+def test_scanned_pages_are_gathered_once(spark):
+    texts, scan = repaired(spark, ["Inquiry into things 45\nThe rnodest plan.", "Inquiry into things\nthe plan"], ["the modest plan"] * 3)
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    found = scans.repairs(texts, scan.mapInPandas(count, scan.schema))
+    assert found.where("noise = 'word'").first()["item"] == "modest" and read.value <= 4  # texts and documents of two pages, once each
+
+
+def test_plain_texts_are_cut_as_others(spark, monkeypatch):
+    texts = spark.createDataFrame([(t, False) for t in ("The o'clock-plan, $5|a @b! 7x", " A\n\tB--c_d ", "", "it’s plain é", "K_Y\x7f z^q", None)], "text string, scanned boolean")
+    got = sorted(map(str, scans.pair_counts(texts).collect()))
+    assert scans.NO_PLAIN_WORD != scans.NO_WORD
+    monkeypatch.setattr(scans, "NO_PLAIN_WORD", scans.NO_WORD)
+    assert sorted(map(str, scans.pair_counts(texts).collect())) == got
+
+
 def test_words_of_three_confusions_meet(spark):
     rng = random.Random(5)
     words = ["momentum", "commitment", "communal", "aboriginal", "harbour", "wilderness", "kindling", "dominion", "summarily"]

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 
 import numpy as np
 import pytest
@@ -344,6 +345,46 @@ def test_plain_texts_are_cut_as_others(spark, monkeypatch):
     assert sorted(map(str, scans.pair_counts(texts).collect())) == got
 
 
+def test_only_lines_that_tables_change_go_to_the_tables(monkeypatch):
+    plain = [c for c in map(chr, [*range(0xD800), *range(0xE000, 0x10000)]) if not scans.SUSPECT.match(c)]
+    assert all(lookalike.by_table(c) == c for c in plain) and {"a", "é", "–"} <= set(plain)
+    seen = []
+    monkeypatch.setattr(scans, "by_table", lambda line: seen.append(line) or lookalike.by_table(line))
+    assert scans.clean_page("café – 12\nthе plan\na plan\nnaïve") == "café – 12\nthe plan\na plan\nnaïve" and seen == ["thе plan"]
+
+
+def test_only_unknown_words_are_placed():
+    class Known(frozenset):
+        asked = 0
+
+        def __contains__(self, w):
+            Known.asked += 1
+            return super().__contains__(w)
+
+    got = list(scans.words_beside("The café’s plan is part-tirne, a $5|x plan", Known({"the", "café’s", "plan", "is", "a"})))
+    assert got == [(19, 29, "part-tirne", "is", "a"), (33, 37, "$5|x", "a", "plan")] and Known.asked == 8
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text("abIZé5@!|$-'’_ .\u00ad–“Σİʼ²", max_size=30), st.sets(st.sampled_from(["a", "b", "ab", "i", "5", "é"])))
+def test_words_beside_as_stated(text, known):
+    # A word: letters, digits and signs before one, in parts with a hyphen or apostrophe between.
+    part = r"(?:[^\W_]+|[@!|$](?=[^\W_]))+"
+    toks = [(*m.span(), m[0].lower()) for m in re.finditer(f"{part}(?:[-'’]{part})*", text)]
+    want = [(s, e, w, toks[i - 1][2] if i else "", toks[i + 1][2] if i + 1 < len(toks) else "") for i, (s, e, w) in enumerate(toks) if w not in known]
+    assert list(scans.words_beside(text, frozenset(known))) == want
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text("aBlÉ12 |-–.:[]\u00ad\t@", max_size=16))
+def test_titles_as_stated(line):
+    bare = re.sub(r"^\s*[0-9]{1,4}(?=[\s|])\W*|\W*(?<=[\s|])[0-9]{1,4}\s*$", "", line.strip()).strip(" \t|–—-[]")
+    small = line.lstrip()[:1].islower() and line.lstrip()[:1] != "l"
+    ends = bare[-1:] in ".,;:?!" + scans.HYPHENS or line.rstrip()[-1:] in scans.HYPHENS
+    title = bare and not small and not ends and len(bare.split()) > 1 and (bare[0].isupper() or bare[0].isdigit() or bare[0] == "l")
+    assert scans.head_key(line) == (title and scans.fold(re.sub(r"[^\w@]", "", bare.lower())) or None)
+
+
 def test_words_of_three_confusions_meet(spark):
     rng = random.Random(5)
     words = ["momentum", "commitment", "communal", "aboriginal", "harbour", "wilderness", "kindling", "dominion", "summarily"]

@@ -436,6 +436,14 @@ def test_heads_misread_in_any_place(spark):
     assert got == {f"p{i}": [0] for i in range(6)}
 
 
+def test_heads_are_counted_once_and_met_in_their_document_alone(spark):
+    pages = [("a", "Of Many Things"), ("a", "Of Mxmy Things"), ("b", "Of Mxny Things"), ("b", "OF QUITE OTHER THINGS")] + [("a", "Of Many Things")] * 4
+    scan = spark.createDataFrame([(f"p:{d}#p{i}", i, d, f"{t}\nthe plan goes on") for i, (d, t) in enumerate(pages)], "rec string, ord long, doc string, text string")
+    heads = scans.running_heads(scan)
+    assert {r["rec"][2:] for r in heads.collect()} == {"a#p0", "a#p1", "b#p3", *(f"a#p{i}" for i in range(4, 8))}
+    assert "max(marked" not in heads._jdf.queryExecution().toString()
+
+
 def test_scans_empty(spark):
     texts, scan = repaired(spark, [], ["a"])
     none = spark.createDataFrame([], "rec string, ord long, doc string, text string")
